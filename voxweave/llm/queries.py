@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxweave.llm.fingerprints import op1_fingerprints
+from voxweave.llm.near import op2_ngram_join
 from voxweave.llm.packing import op3_packing
 from voxweave.llm.tables import table
 from voxweave.llm.wavelet import op6_wavelet
@@ -15,6 +16,7 @@ from voxweave.llm.wavelet import op6_wavelet
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": lambda spark, d: op1_fingerprints(table(spark, d, "documents")),
+        "op2_ngram_join": lambda spark, d: op2_ngram_join(table(spark, d, "documents")),
         "op3_packing": lambda spark, d: op3_packing(table(spark, d, "documents")),
         "op6_wavelet": lambda spark, d: op6_wavelet(table(spark, d, "documents")),
     }
