@@ -11,6 +11,7 @@ from voxweave.llm.language import op10_language
 from voxweave.llm.near import op2_ngram_join
 from voxweave.llm.packing import op3_packing
 from voxweave.llm.quality import op7_quality
+from voxweave.llm.secret_scan import op5_secrets
 from voxweave.llm.tables import table
 from voxweave.llm.toxicity import op4_toxicity
 from voxweave.llm.wavelet import op6_wavelet
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": lambda spark, d: op2_ngram_join(table(spark, d, "documents")),
         "op3_packing": lambda spark, d: op3_packing(table(spark, d, "documents")),
         "op4_toxicity": lambda spark, d: op4_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op5_secrets": lambda spark, d: op5_secrets(table(spark, d, "documents")),
         "op6_wavelet": lambda spark, d: op6_wavelet(table(spark, d, "documents")),
         "op7_quality": lambda spark, d: op7_quality(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_language": lambda spark, d: op10_language(table(spark, d, "documents")),
