@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxweave.llm import decontaminate, licenses
 from voxweave.llm.fingerprints import op1_fingerprints
 from voxweave.llm.language import op10_language
 from voxweave.llm.near import op2_ngram_join
@@ -26,9 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secrets": lambda spark, d: op5_secrets(table(spark, d, "documents")),
         "op6_wavelet": lambda spark, d: op6_wavelet(table(spark, d, "documents")),
         "op7_quality": lambda spark, d: op7_quality(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op8_decontaminate": lambda spark, d: decontaminate.op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op9_licenses": lambda spark, d: licenses.op9_licenses(table(spark, d, "documents")),
         "op10_language": lambda spark, d: op10_language(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.SQL, "op9_licenses": licenses.SQL}
