@@ -22,6 +22,21 @@ def whole(name, text, end):
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
+ODD = [
+    "a,b c.d² e½. 'tis it's x's. _a_ __ a_b. «é».  x", "tab\there\n\nnew \n line   three", "Σας ΟΔΟΣ. é, ñ!! ¿qué? 中文。 a' b'' c'.", "ﬁ. Ⅷ. ª, ʰ.", "", " ", "  ", "\n", " a", "a ", "a  ",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_parts_give_the_ids_of_whole_texts(name):
+    from voxweave.llm.tokens import PartEncoder
+
+    made = PartEncoder(public_tokenizers.path(name), kept=5)
+    for _ in range(2):
+        for text, ids in zip(ODD, made.encode(ODD), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole(name, text, 0)[:-1].tolist(), text
+
+
 def check_packing(docs, out):
     texts = {r.doc_id: whole("byte_bpe_50k.json", r.text, 0) for r in docs.collect()}
     pieces, windows = defaultdict(list), defaultdict(list)

@@ -13,9 +13,11 @@ import re
 import numpy as np
 
 #: Parts that a Python worker keeps; when as many are there, it begins anew.
-KEPT_PARTS = 800_000
+KEPT_PARTS = 2_000_000
 #: White space that a part's own ids might not account for.
 ODD_SPACE = re.compile(r"\s\s(?:\s|\Z)")
+#: Letters and then ASCII punctuation other than an apostrophe: two pre-tokens in both vocabularies.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
 _encoders: dict[str, "PartEncoder"] = {}
 
@@ -31,10 +33,16 @@ class PartEncoder:
         self.tokenizer.encode_special_tokens = True
         self.kept = kept
         self.parts: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
+            known.update(zip(some, self._whole([before + p for p in some]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if ODD_SPACE.search(t) else t.split(" ") for t in texts]
         known = self.parts
@@ -44,10 +52,13 @@ class PartEncoder:
         for parts in split:
             if parts is not None:
                 wanted.update(parts[1:])
-        new = [p for p in wanted if p not in known]
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            known.update(zip(some, self._whole([" " + p for p in some]), strict=True))
+        new = {p for p in wanted if p not in known}
+        marked = [(m[0], m[1], m[2]) for p in new if (m := WORD_AND_MARKS.match(p)) and m[1].isalpha()]
+        new.difference_update(p for p, _, _ in marked)
+        new.update(word for _, word, _ in marked if word not in known)
+        self._learn(known, list(new), " ")
+        self._learn(self.marks, list({m for _, _, m in marked} - self.marks.keys()), "")
+        known.update((p, known[word] + self.marks[m]) for p, word, m in marked)
         heads = self._whole([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)])
         ids = known.__getitem__
         return [head if parts is None else head + b"".join(map(ids, parts[1:])) for head, parts in zip(heads, split, strict=True)]
