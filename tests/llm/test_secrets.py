@@ -26,7 +26,7 @@ def entropy(s):
 
 def extra(text, known):
     out = []
-    for m in re.finditer(scan.RUN, text):
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
         if len(m[0]) < scan.WINDOW or re.search(scan.ALLOWED, m[0]):
             continue
         bits = scan.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", m[0]) else scan.TEXT_BITS

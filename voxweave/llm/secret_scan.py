@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-RUN = r"[A-Za-z0-9+/_=-]+"
+#: Runs of these cannot begin within a longer one, so the least length may stand in the pattern itself.
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
+LONG_RUN = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Least entropy, in bits a character, of a window over hex digits and over the larger alphabet.
 HEX_BITS, TEXT_BITS = 3.0, 3.9
 #: Runs that are no secrets: plain or joined words, numbers and dates, and samples.
@@ -83,13 +84,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(body)
     named = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
-    rows = docs.select("*", named.alias("_named"), body.contains("AKIA").alias("_akia"), body.rlike("[0-9a-f]{32}").alias("_hex"), body.rlike(f"{RUN[:-1]}{{{WINDOW}}}").alias("_run"))
+    rows = docs.select("*", named.alias("_named"), body.contains("AKIA").alias("_akia"), body.rlike("[0-9a-f]{32}").alias("_hex"), body.rlike(LONG_RUN).alias("_run"))
     none = F.array().cast(NO_SPANS)
     assign = F.when(F.col("_named"), _spans(F.filter(_found(body, ASSIGN, 2), lambda m: F.char_length(m.value) >= 8), 0)).otherwise(none)
-    access = F.when(F.col("_akia"), _spans(F.filter(_found(body, ACCESS, 0), lambda m: F.char_length(m.value) >= 16), 1)).otherwise(none)
-    hexes = F.when(F.col("_hex"), _spans(F.filter(_found(body, HEX, 0), lambda m: F.char_length(m.value) >= 32), 2)).otherwise(none)
+    access = F.when(F.col("_akia"), _spans(_found(body, ACCESS, 0), 1)).otherwise(none)
+    hexes = F.when(F.col("_hex"), _spans(_found(body, HEX, 0), 2)).otherwise(none)
     rows = rows.select("*", F.array_sort(F.concat(assign, access, hexes)).alias("base_spans"))
-    runs = F.filter(_found(body, RUN, 0), lambda m: (F.char_length(m.value) >= WINDOW) & ~m.value.rlike(ALLOWED))
+    runs = F.filter(_found(body, LONG_RUN, 0), lambda m: ~m.value.rlike(ALLOWED))
     bits = lambda v: F.when(v.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(TEXT_BITS))
     windows = F.transform(runs, lambda m: F.struct(m.start.alias("start"), _window_span(m.value, bits(m.value)).alias("w")))
     extra = F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x.start + x.w.first).alias("start"), F.lit(3).alias("kind"), (x.start + x.w["last"] + WINDOW).alias("end")))
