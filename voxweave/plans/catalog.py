@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxweave.functions.text import UNKNOWN, clock, seconds, srt_time, stripped
 from voxweave.operators import align, chunks, reassemble, render, resume
 from voxweave.plans.sql import SQL
+from voxweave.shared import saved
 from voxweave.sources import audio, fixtures
 
 __all__ = ["QUERIES", "SQL"]
@@ -305,7 +306,7 @@ def _numbered(rows: DataFrame, column: str, alias: str) -> DataFrame:
     """Rows numbered from 1 in the order of a column: counted by range partitions first, so that no task sees all rows."""
     dealt = rows.repartitionByRange(column).sortWithinPartitions(column).withColumn("_id", F.monotonically_increasing_id())
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    dealt = dealt.select("*", part.alias("_part"), place.alias("_place")).checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else dealt.select("*", part.alias("_part"), place.alias("_place"))
+    dealt = saved(dealt.select("*", part.alias("_part"), place.alias("_place")))  # ranges are sampled: they must be dealt once
     sizes = dealt.groupBy("_part").agg((F.max("_place") + 1).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     base = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
