@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxweave.shared import saved, scratch, shared_dir
+
+__all__ = ["id_ranges", "saved", "scratch", "shared_dir", "table"]
+
 #: Bounds of the number of doc_id ranges, and the rows that a range should hold.
 MAX_RANGES = 20_000
 RANGE_ROWS = 2_000
@@ -16,28 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    if not path:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut, and it survives the loss of executors."""
-    path = scratch(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_ranges(docs: DataFrame, id_col: str = "doc_id") -> tuple[Column, int]:
     """A column that numbers equal-width ranges of the id, in ascending order, and their count.
 
