@@ -13,9 +13,10 @@ The work is done in steps that each lose no link:
 4. *T-occurrence.* The partners of a pivot are indexed by the pivot's shingles, block by block. Short lists
    are merged by a heap, long ones probed by binary search (DivideSkip), and the partners that reach the
    overlap their sizes require are linked.
-5. Linked sets form components. Sets that share a list of step 3 but lie in different components yet are
-   paired and searched as in 4, each pair once; so pairs within a group of copies are never all formed,
-   and every component is whole.
+5. Linked sets form components. The sets that are connected by lists on which components still meet are
+   dealt to blocks of about SEARCH_BLOCK, and each set is searched, as in 4, once in every block with which
+   it shares such a list, among the sets of other components. So pairs within a group of copies are never
+   all formed, and every component is whole.
 
 Null and empty texts have no shingles and link with nothing. Rows with equal doc_id are rows of their own.
 """
@@ -379,13 +380,59 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Each set of a list with the list's pivots in its band of sizes and the bands beside it."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    rows = lists.withColumn("band", band)
+    rows = lists.select("h", "node", "n", band.alias("band"))
     pivots = rows.groupBy("h", "band").agg(F.min("node").alias("p0"), F.min_by("node", F.xxhash64("node")).alias("p1"))
     pivots = pivots.select("h", "band", F.explode(F.array("p0", "p1")).alias("a")).distinct()
     pivots = pivots.select("h", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), "a")
     return rows.join(pivots, ["h", "band"]).filter("a <> node").select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")).distinct()
 
 
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of lists on which more than one component meets, with their roots."""
+    within = lists.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = within.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
+    return within.join(mixed, "h", "left_semi")
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 5's last search: links (a, b) between sets of different components that share a list of rows (h, node, n, root)."""
+    least = rows.groupBy("h").agg(F.min("node").alias("a"))
+    groups = saved(components(rows.join(least, "h").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "group"))
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / SEARCH_BLOCK)).cast("int")
+    placed = saved(groups.join(sizes, "group").select("node", "group", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    at = rows.join(placed, "node").select("h", "node", "group", "block")
+    asked = rows.select("h", F.col("node").alias("x")).join(at.select("h", "group", "block").distinct(), "h").select(F.col("x").alias("node"), "group", "block").distinct()
+    known = rows.select("node", "root").distinct().join(sets, "node").select("node", "root", "n", "shingles")
+    members = placed.join(known, "node").select("group", "block", F.lit(0).alias("kind"), "node", "root", "n", "shingles")
+    queries = asked.join(known, "node").select("group", "block", F.lit(1).alias("kind"), "node", "root", "n", "shingles")
+    dealt = members.unionByName(queries).repartition("group", "block").sortWithinPartitions("group", "block", "kind", "node")
+
+    def searched(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+        for batch in batches:
+            out: list[list[int]] = [[], []]
+            for group, block, kind, node, root, n, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, block) != key:
+                    key, held = (group, block), []
+                found = np.frombuffer(shingles, "u8")
+                if kind == 0:
+                    held.append((node, root, n, found))
+                    continue
+                others = [x for x in held if x[0] > node and x[1] != root and min(x[2], n) * 100 >= max(x[2], n) * percent]
+                required = [max(1, -(-percent * (n + x[2]) // (100 + percent))) for x in others]
+                for x, got in zip(others, t_occurrence(np.sort(found), [x[3] for x in others], required), strict=True):
+                    if got >= 0:
+                        out[0].append(node)
+                        out[1].append(x[0])
+            if out[0]:
+                yield _record(out, ["a", "b"], [pa.int64()] * 2)
+
+    return dealt.mapInArrow(searched, "a long, b long")
+
+
 def _oriented(pairs: DataFrame) -> DataFrame:
     """Pairs (x, y) with the end that occurs more often as the pivot a."""
     ends = pairs.select(F.col("x").alias("e")).unionByName(pairs.select(F.col("y").alias("e"))).groupBy("e").agg(F.count(F.lit(1)).alias("c"))
@@ -398,20 +445,13 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     counts = saved(shared_counts(docs))
     sets = saved(shared_sets(docs, counts, percent))
     lists = saved(search_lists(sets))
-    tried = saved(_pivot_pairs(lists, percent))
-    links = saved(verified(_oriented(tried), sets, percent))
+    links = saved(verified(_oriented(saved(_pivot_pairs(lists, percent))), sets, percent))
     roots = saved(components(links))
-    within = lists.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-    # lists on which components still meet
-    open_lists = within.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-    open_rows = within.join(open_lists, "h", "left_semi")
-    other = open_rows.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    rest = open_rows.select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(other, "h")
-    rest = rest.filter("x < y and rx <> ry").filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).select("x", "y").distinct()
-    rest = saved(rest.join(tried, ["x", "y"], "left_anti"))
-    if not rest.isEmpty():
-        more = saved(verified(_oriented(rest), sets, percent))
-        roots = saved(components(links.unionByName(more)))
+    rows = saved(_open(lists, roots))
+    if not rows.isEmpty():
+        more = saved(block_links(rows, sets, percent))
+        if not more.isEmpty():
+            roots = saved(components(links.unionByName(more)))
     lone = counts.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = lone.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = lone.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
