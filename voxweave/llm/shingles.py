@@ -79,7 +79,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def column_sets(column, most: int = 4 << 20):
+def column_sets(column, most: int = 1 << 20):
     """The shingle sets of an Arrow string column, row by row; null counts as empty."""
     import pyarrow as pa
 
