@@ -23,7 +23,7 @@ def whole(name, text, end):
 
 
 ODD = [
-    "a,b c.d² e½. 'tis it's x's. _a_ __ a_b. «é».  x", "tab\there\n\nnew \n line   three", "Σας ΟΔΟΣ. é, ñ!! ¿qué? 中文。 a' b'' c'.", "ﬁ. Ⅷ. ª, ʰ.", "", " ", "  ", "\n", " a", "a ", "a  ",
+    "a,b c.d² e½. 'tis it's x's. _a_ __ a_b. «é».  x", "tab\there\n\nnew \n line   three", "Σας ΟΔΟΣ. é, ñ!! ¿qué? 中文。 a' b'' c'.", "ﬁ. Ⅷ. ª, ʰ.", "", " ", "  ", "\n", " a", "a ", "a  ", "İstanbul İ", "E\u0301cole É STRASSE ẞ Ǆ ΑΣ. ΟΔΟΣ", "<|ENDOFTEXT|> x", "Don'T can'T",
 ]
 
 

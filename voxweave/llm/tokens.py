@@ -7,10 +7,11 @@ not hold inside longer runs of white space, so a text with such a run goes to th
 
 from __future__ import annotations
 
+import json
 import os
 import re
-
-import numpy as np
+import unicodedata
+from array import array
 
 #: Parts that a Python worker keeps; when as many are there, it begins anew.
 KEPT_PARTS = 2_000_000
@@ -19,11 +20,19 @@ ODD_SPACE = re.compile(r"\s\s(?:\s|\Z)")
 #: Letters and then ASCII punctuation other than an apostrophe: two pre-tokens in both vocabularies.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others in order from U+0100.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 _encoders: dict[str, "PartEncoder"] = {}
 
 
 class PartEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, without special tokens."""
+    """Encodes texts to unsigned 32-bit ids (little-endian, as on all machines that Spark's Arrow transfer supports), without special tokens.
+
+    folds: the vocabulary is of lower case and drops white space, so that a part's case, and the space before
+    it, make no difference to its ids.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,18 +41,34 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept = kept
+        model = json.loads(self.tokenizer.to_str())
+        self.folds = "Lowercase" in json.dumps(model["normalizer"]) and model["model"]["end_of_word_suffix"] == "</w>"
         self.parts: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.tobytes() for x in ids]
 
     def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
+        # letters alone are one pre-token, which the model takes as it is once its bytes are spelled as characters
+        space = "" if self.folds else before.translate(SPELLED)
+        tokenize = self.tokenizer.model.tokenize
+        other = []
+        for p in new:
+            if p.isalpha() and (not self.folds or p.lower() == p and unicodedata.is_normalized("NFC", p)):
+                spelled = p if p.isascii() else p.encode().decode("latin-1").translate(SPELLED)
+                known[p] = array("I", [t.id for t in tokenize(space + spelled)]).tobytes()
+            else:
+                other.append(p)
+        new = other
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
             known.update(zip(some, self._whole([before + p for p in some]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.folds:  # the two letters whose lower case the library forms otherwise are left to it
+            texts = [t if "Σ" in t or "İ" in t else t.lower() for t in texts]
         split = [None if ODD_SPACE.search(t) else t.split(" ") for t in texts]
         known = self.parts
         if len(known) > self.kept:
@@ -51,7 +76,7 @@ class PartEncoder:
         wanted = {""}
         for parts in split:
             if parts is not None:
-                wanted.update(parts[1:])
+                wanted.update(parts if self.folds else parts[1:])
         new = {p for p in wanted if p not in known}
         marked = [(m[0], m[1], m[2]) for p in new if (m := WORD_AND_MARKS.match(p)) and m[1].isalpha()]
         new.difference_update(p for p, _, _ in marked)
@@ -59,8 +84,10 @@ class PartEncoder:
         self._learn(known, list(new), " ")
         self._learn(self.marks, list({m for _, _, m in marked} - self.marks.keys()), "")
         known.update((p, known[word] + self.marks[m]) for p, word, m in marked)
-        heads = self._whole([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)])
         ids = known.__getitem__
+        if self.folds:
+            return [self._whole([t])[0] if parts is None else b"".join(map(ids, parts)) for t, parts in zip(texts, split, strict=True)]
+        heads = self._whole([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)])
         return [head if parts is None else head + b"".join(map(ids, parts[1:])) for head, parts in zip(heads, split, strict=True)]
 
 
