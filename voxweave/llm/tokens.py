@@ -14,7 +14,7 @@ import unicodedata
 from array import array
 
 #: Parts that a Python worker keeps; when as many are there, it begins anew.
-KEPT_PARTS = 2_000_000
+KEPT_PARTS = 700_000
 #: White space that a part's own ids might not account for.
 ODD_SPACE = re.compile(r"\s\s(?:\s|\Z)")
 #: Letters and then ASCII punctuation other than an apostrophe: two pre-tokens in both vocabularies.
