@@ -27,7 +27,7 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A language takes part in a script if at least this share of its letters are in it.
 SCRIPT_SHARE = 0.01
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: First and last code point of the letters of each script.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)],

@@ -35,7 +35,7 @@ from voxweave.llm.tables import saved
 
 PERCENT = 75
 #: Documents and shingles that a block of step 1 holds, and entries that a bucket of lists should hold.
-BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_ENTRIES = 4096, 2_000_000, 250_000
+BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_ENTRIES = 4096, 1_000_000, 250_000
 #: Partners of one pivot that are searched together.
 SEARCH_BLOCK = 256
 
