@@ -8,6 +8,11 @@ enters and the one that leaves; the run counts from the first to the last window
 alphabet's bound. Runs on the allow-list (plain words, numbers, samples) and spans inside a base match are
 left out.
 
+A run may join words and values, so the ``piece`` kind judges its windows by their own characters too: every
+stretch of a run that is of one of the alphabets of PIECES, within one piece between separators, is slid over
+under that alphabet's bound. Pieces without both a letter and a digit, or with the word of a sample, and spans
+inside a base match or an entropy span are left out.
+
 Places are code points, ends exclusive. Null text counts as empty. Repeated rows are rows of their own.
 """
 
@@ -20,11 +25,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Runs of these cannot begin within a longer one, so the least length may stand in the pattern itself.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-KINDS = ("assign", "access", "hex", "entropy")
+KINDS = ("assign", "access", "hex", "entropy", "piece")
 WINDOW = 20
 LONG_RUN = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Least entropy, in bits a character, of a window over hex digits and over the larger alphabet.
 HEX_BITS, TEXT_BITS = 3.0, 3.9
+#: Alphabets of stretches within a piece of a run, and the least entropy of a window over each.
+PIECES = (("0-9a-f", 3.0), ("0-9A-F", 3.0), ("0-9a-z", 3.4), ("0-9A-Z", 3.4), ("0-9A-Za-z", 3.7))
+SAMPLES = "example|sample|dummy|placeholder|changeme|xxxxx|0123456789|abcdefgh"
 #: Runs that are no secrets: plain or joined words, numbers and dates, and samples.
 ALLOWED = r"^(?:[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*|[0-9+/_=-]+|(?i:.*(?:example|sample|dummy|placeholder|changeme|xxxxx|0123456789|abcdefgh).*)|[^0-9]*|[^A-Za-z]*)[+/_=-]*$"
 
@@ -72,6 +80,23 @@ def _window_span(value: Column, bits: Column) -> Column:
     return F.aggregate(codes, start, step, lambda acc: F.struct(acc.first.alias("first"), acc["last"].alias("last")))
 
 
+def _piece_spans(run: Column) -> Column:
+    """Spans of the stretches of a run that reach their alphabet's bound, each once."""
+    pieces = F.filter(_found(run.value, rf"[0-9A-Za-z]{{{WINDOW},}}", 0), lambda p: p.value.rlike("[0-9]") & p.value.rlike("[A-Za-z]") & ~p.value.rlike(f"(?i:{SAMPLES})"))
+
+    def hits(piece: Column, chars: str, bits: float) -> Column:
+        stretches = F.filter(_found(piece.value, rf"[{chars}]{{{WINDOW},}}", 0), lambda x: x.value.rlike("[0-9]") & x.value.rlike("[A-Za-z]"))
+        windows = F.transform(stretches, lambda x: F.struct((run.start + piece.start + x.start).alias("at"), _window_span(x.value, F.lit(bits)).alias("w")))
+        return F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x["at"] + x.w.first).alias("start"), F.lit(4).alias("kind"), (x["at"] + x.w["last"] + WINDOW).alias("end")))
+
+    return F.flatten(F.transform(pieces, lambda p: F.concat(*[hits(p, chars, bits) for chars, bits in PIECES])))
+
+
+def _outermost(spans: Column) -> Column:
+    """Distinct spans that lie in no other one."""
+    return F.filter(F.array_distinct(spans), lambda x: ~F.exists(spans, lambda y: (y.start <= x.start) & (x.end <= y.end) & ((y.start < x.start) | (x.end < y.end))))
+
+
 def _spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda m: F.struct(m.start.alias("start"), F.lit(kind).alias("kind"), m.end.alias("end")))
 
@@ -80,7 +105,10 @@ NO_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with two more columns, base_spans and secret_spans: arrays of (start, kind, end), by start and kind (the kind's place in KINDS)."""
+    """docs with four more columns, arrays of (start, kind, end) by start and kind (the kind's place in KINDS).
+
+    base_spans; run_spans, these and the entropy spans of whole runs; piece_spans; and secret_spans, all of them.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(body)
     named = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
@@ -96,7 +124,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     extra = F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x.start + x.w.first).alias("start"), F.lit(3).alias("kind"), (x.start + x.w["last"] + WINDOW).alias("end")))
     extra = F.filter(extra, lambda x: ~F.exists("base_spans", lambda b: (b.start <= x.start) & (x.end <= b.end)))
     rows = rows.select("*", F.when(F.col("_run"), extra).otherwise(none).alias("_extra"))
-    rows = rows.select("*", F.array_sort(F.concat("base_spans", "_extra")).alias("secret_spans"))
+    rows = rows.select("*", F.array_sort(F.concat("base_spans", "_extra")).alias("run_spans"))
+    pieces = _outermost(F.flatten(F.transform(runs, _piece_spans)))
+    pieces = F.filter(pieces, lambda x: ~F.exists("run_spans", lambda b: (b.start <= x.start) & (x.end <= b.end)))
+    rows = rows.select("*", F.when(F.col("_run"), F.array_sort(pieces)).otherwise(none).alias("piece_spans"))
+    rows = rows.select("*", F.array_sort(F.concat("run_spans", "piece_spans")).alias("secret_spans"))
     return rows.drop("_named", "_akia", "_hex", "_run", "_extra")
 
 
@@ -119,5 +151,5 @@ def op5_secrets(docs: DataFrame) -> DataFrame:
     rows = scan(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s.kind == kind)).cast("long")
     return rows.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("secret_spans")).alias("spans")
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("run_spans")).alias("spans"), as_text(F.col("piece_spans")).alias("piece_spans")
     )
