@@ -33,7 +33,18 @@ def test_joined_values(spark):
     assert min(shares.values()) >= 0.85, {k: v for k, v in shares.items() if v < 0.85}
 
 
-@pytest.mark.parametrize("text", ["see key=internationalization_of_everything", "see sample_0123456789abcdef0123", "see key=20240102030405060708090", "/usr/lib/python3/dist-packages/numpy/core2/include"])
+def test_values_beside_samples(spark):
+    shares = found_shares(spark, ["/sample/", "example_", "dummy=x/"])
+    assert min(shares.values()) >= 0.85, {k: v for k, v in shares.items() if v < 0.85}
+    key = "q7Rk/Zp2+Lw9Xc4Vb8+Nm1/Ty6Hd3Gf5+Sa0Ju"  # no piece of it is as long as a window
+    for text, rest in [(f"/sample/{key}", "/sample"), (f"{key}/sample", "sample")]:
+        row = scan.scan(spark.createDataFrame([(text,)], "text string")).select(scan.redacted(scan.F.col("text"), scan.F.col("secret_spans")).alias("t")).first()
+        assert rest in row.t and key[:30] not in row.t and "[REDACTED]" in row.t
+    long = "example_" + "ab1/" * 20000
+    assert scan.scan(spark.createDataFrame([(long,)], "text string")).first().secret_spans == []
+
+
+@pytest.mark.parametrize("text", ["wJalrXUtnFEMIbPxRfiCYEXAMPLEKEY1", "/sample/dummy_example_placeholder/2024", "see key=internationalization_of_everything", "see sample_0123456789abcdef0123", "see key=20240102030405060708090", "/usr/lib/python3/dist-packages/numpy/core2/include"])
 def test_no_secrets(spark, text):
     assert scan.scan(spark.createDataFrame([(text,)], "text string")).first().piece_spans == []
 

@@ -11,7 +11,9 @@ left out.
 A run may join words and values, so the ``piece`` kind judges its windows by their own characters too: every
 stretch of a run that is of one of the alphabets of PIECES, within one piece between separators, is slid over
 under that alphabet's bound. Pieces without both a letter and a digit, or with the word of a sample, and spans
-inside a base match or an entropy span are left out.
+inside a base match or an entropy span are left out. Where a run is on the allow-list because some of its pieces
+hold the word of a sample, its other pieces are judged like those of any run, and the stretches between such
+pieces like whole runs.
 
 Places are code points, ends exclusive. Null text counts as empty. Repeated rows are rows of their own.
 """
@@ -33,6 +35,8 @@ HEX_BITS, TEXT_BITS = 3.0, 3.9
 #: Alphabets of stretches within a piece of a run, and the least entropy of a window over each.
 PIECES = (("0-9a-f", 3.0), ("0-9A-F", 3.0), ("0-9a-z", 3.4), ("0-9A-Z", 3.4), ("0-9A-Za-z", 3.7))
 SAMPLES = "example|sample|dummy|placeholder|changeme|xxxxx|0123456789|abcdefgh"
+#: What is left of a run between the pieces that hold the word of a sample.
+UNSAMPLED = rf"(?:[+/_=-]|(?<![0-9A-Za-z])(?![0-9A-Za-z]*(?i:{SAMPLES}))[0-9A-Za-z]++)++"
 #: Runs that are no secrets: plain or joined words, numbers and dates, and samples.
 ALLOWED = r"^(?:[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*|[0-9+/_=-]+|(?i:.*(?:example|sample|dummy|placeholder|changeme|xxxxx|0123456789|abcdefgh).*)|[^0-9]*|[^A-Za-z]*)[+/_=-]*$"
 
@@ -80,6 +84,10 @@ def _window_span(value: Column, bits: Column) -> Column:
     return F.aggregate(codes, start, step, lambda acc: F.struct(acc.first.alias("first"), acc["last"].alias("last")))
 
 
+def _run_bits(value: Column) -> Column:
+    return F.when(value.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(TEXT_BITS))
+
+
 def _piece_spans(run: Column) -> Column:
     """Spans of the stretches of a run that reach their alphabet's bound, each once."""
     pieces = F.filter(_found(run.value, rf"[0-9A-Za-z]{{{WINDOW},}}", 0), lambda p: p.value.rlike("[0-9]") & p.value.rlike("[A-Za-z]") & ~p.value.rlike(f"(?i:{SAMPLES})"))
@@ -92,6 +100,13 @@ def _piece_spans(run: Column) -> Column:
     return F.flatten(F.transform(pieces, lambda p: F.concat(*[hits(p, chars, bits) for chars, bits in PIECES])))
 
 
+def _unsampled_spans(run: Column) -> Column:
+    """Entropy spans of the stretches of a run between its samples."""
+    rest = F.filter(_found(run.value, UNSAMPLED, 0), lambda x: (F.char_length(x.value) >= WINDOW) & ~x.value.rlike(ALLOWED))
+    windows = F.transform(rest, lambda x: F.struct((run.start + x.start).alias("at"), _window_span(x.value, _run_bits(x.value)).alias("w")))
+    return F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x["at"] + x.w.first).alias("start"), F.lit(4).alias("kind"), (x["at"] + x.w["last"] + WINDOW).alias("end")))
+
+
 def _outermost(spans: Column) -> Column:
     """Distinct spans that lie in no other one."""
     return F.filter(F.array_distinct(spans), lambda x: ~F.exists(spans, lambda y: (y.start <= x.start) & (x.end <= y.end) & ((y.start < x.start) | (x.end < y.end))))
@@ -118,14 +133,16 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     access = F.when(F.col("_akia"), _spans(_found(body, ACCESS, 0), 1)).otherwise(none)
     hexes = F.when(F.col("_hex"), _spans(_found(body, HEX, 0), 2)).otherwise(none)
     rows = rows.select("*", F.array_sort(F.concat(assign, access, hexes)).alias("base_spans"))
-    runs = F.filter(_found(body, LONG_RUN, 0), lambda m: ~m.value.rlike(ALLOWED))
-    bits = lambda v: F.when(v.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(TEXT_BITS))
-    windows = F.transform(runs, lambda m: F.struct(m.start.alias("start"), _window_span(m.value, bits(m.value)).alias("w")))
+    every = _found(body, LONG_RUN, 0)
+    runs = F.filter(every, lambda m: ~m.value.rlike(ALLOWED))
+    sampled = F.filter(every, lambda m: m.value.rlike(ALLOWED) & m.value.rlike(f"(?i:{SAMPLES})"))
+    windows = F.transform(runs, lambda m: F.struct(m.start.alias("start"), _window_span(m.value, _run_bits(m.value)).alias("w")))
     extra = F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x.start + x.w.first).alias("start"), F.lit(3).alias("kind"), (x.start + x.w["last"] + WINDOW).alias("end")))
     extra = F.filter(extra, lambda x: ~F.exists("base_spans", lambda b: (b.start <= x.start) & (x.end <= b.end)))
     rows = rows.select("*", F.when(F.col("_run"), extra).otherwise(none).alias("_extra"))
     rows = rows.select("*", F.array_sort(F.concat("base_spans", "_extra")).alias("run_spans"))
-    pieces = _outermost(F.flatten(F.transform(runs, _piece_spans)))
+    pieces = F.concat(F.flatten(F.transform(runs, _piece_spans)), F.flatten(F.transform(sampled, lambda m: F.concat(_piece_spans(m), _unsampled_spans(m)))))
+    pieces = _outermost(pieces)
     pieces = F.filter(pieces, lambda x: ~F.exists("run_spans", lambda b: (b.start <= x.start) & (x.end <= b.end)))
     rows = rows.select("*", F.when(F.col("_run"), F.array_sort(pieces)).otherwise(none).alias("piece_spans"))
     rows = rows.select("*", F.array_sort(F.concat("run_spans", "piece_spans")).alias("secret_spans"))
