@@ -61,3 +61,14 @@ def test_sums_are_insertion_and_deletion(spark):
     one = spark.createDataFrame([(lanes["a"], lanes["b"], lanes["ab"], lanes["aab"])], "a array<bigint>, b array<bigint>, ab array<bigint>, aab array<bigint>")
     r = one.select(fp.combined(F.col("a"), F.col("b")).alias("sum"), fp.removed(F.col("ab"), F.col("b")).alias("less"), fp.combined(F.col("ab"), F.col("a")).alias("more"), fp.likeness(F.col("ab"), F.col("ab")).alias("same"), fp.likeness(F.col("a"), F.col("b")).alias("other")).first()
     assert r.sum == lanes["ab"] and r.less == lanes["a"] and r.more == lanes["aab"] and r.same == 1.0 and r.other < 0.6
+
+
+def test_a_word_put_in_keeps_texts_alike(spark):
+    words = [f"w{k * k % 211}x{k}" for k in range(120)]
+    texts = [words, ["new", *words], words[:40] + words[41:], ["other", *(w[::-1] for w in words)], ["a", "b"], []]
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "k long, text string")
+    lanes = {r.k: r.lanes for r in fp.fingerprint(rows, ["k"], "text").collect()}
+    assert [lanes[k][fp.EQUAL_LANES] for k in range(6)] == [117, 118, 116, 118, 1, 0]
+    pairs = spark.createDataFrame([(k, lanes[0], lanes[k]) for k in (1, 2, 3)], "k long, a array<bigint>, b array<bigint>")
+    like = {r.k: r.v for r in pairs.select("k", fp.likeness(F.col("a"), F.col("b")).alias("v")).collect()}
+    assert like[1] > 0.85 and like[2] > 0.8 and like[3] < 0.5

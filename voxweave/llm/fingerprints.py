@@ -8,8 +8,9 @@ A vector has three parts:
 
 - ``EQUAL_LANES`` lanes modulo 2**32, drawn from the SHA-256 digest of the whole paragraph. They decide
   equality of the multisets of paragraphs.
-- one lane modulo 2**32 that counts the paragraph's runs of ``RUN_WORDS`` words, and
-- ``SKETCH_LANES`` lanes modulo 2**20 that count the runs whose hash has a given bit set. Centred by the
+- one lane modulo 2**32 that counts the paragraph's runs of ``RUN_WORDS`` words, one from every word that has
+  as many after it (a paragraph of fewer words is one run), and
+- ``SKETCH_LANES`` lanes modulo 2**30 that count the runs whose hash has a given bit set. Centred by the
   count they are a sum of random signs (an AMS sketch), so the cosine of two fingerprints estimates the
   likeness of the texts, with a standard error near ``SKETCH_LANES ** -0.5``.
 
@@ -24,12 +25,18 @@ from pyspark.sql import functions as F
 from voxweave.llm.tables import id_ranges
 
 EQUAL_LANES = 16
-#: Hashes of a run, and how their bits are packed while they are summed: three lanes to a long, 20 bits apart.
-HASHES, PACKED, STRIDE = 2, 3, 20
+#: Hashes of a run, and how their bits are packed while they are summed: two lanes to a long, 30 bits apart.
+HASHES, PACKED, STRIDE = 2, 2, 30
 SKETCH_LANES = HASHES * PACKED * STRIDE
 RUN_WORDS = 4
 MASK = (1 << 32) - 1
-RUNS = r"(?:\S++\s*+){1," + str(RUN_WORDS) + "}"
+
+
+def _runs(paragraph: Column) -> Column:
+    """All runs of RUN_WORDS words, overlapping; a shorter paragraph is one run, and one without words has none."""
+    more = RUN_WORDS - 1
+    every = F.regexp_extract_all(paragraph, F.lit(rf"(?<!\S)(?=(\S++(?:\s++\S++){{{more}}}))"), F.lit(1))
+    return F.when(paragraph.rlike(rf"(?:\S++\s++){{{more}}}\S"), every).otherwise(F.regexp_extract_all(paragraph, F.lit(r"(?s)\S.*+"), F.lit(0)))
 
 
 def _equality_sums() -> list[Column]:
@@ -50,7 +57,7 @@ def fingerprint(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     If rows are already dealt by some of the keys, the sums need no further shuffle.
     """
     paragraphs = rows.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_par"))
-    paragraphs = paragraphs.select(*keys, F.sha2("_par", 256).alias("_digest"), F.regexp_extract_all("_par", F.lit(RUNS), F.lit(0)).alias("_runs"))
+    paragraphs = paragraphs.select(*keys, F.sha2("_par", 256).alias("_digest"), _runs(F.col("_par")).alias("_runs"))
     runs = paragraphs.select(*keys, "_digest", F.posexplode_outer("_runs").alias("_at", "_run"))
     first = F.coalesce(F.col("_at"), F.lit(0)) == 0
     runs = runs.select(
