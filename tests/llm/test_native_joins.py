@@ -48,6 +48,16 @@ def test_decontamination_cases(spark, monkeypatch, rows):
     assert decontaminate.op8_decontaminate(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination_without_ids(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    a, b, c = "one two three four five six", "red green blue black white grey", "up down left right in out"
+    docs = spark.createDataFrame([(None, "x " + a), (None, c + " y"), (1, "z " + b), (2, "nothing at all of these items")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, b), (1, a), (2, c), (3, "not in any of these documents")], "item_id long, text string")
+    found = decontaminate.op8_decontaminate(docs, items)
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.shared) for r in found.collect()} == {(None, 1, 2, 2), (None, 2, 2, 2), (1, None, 2, 2)}
+
+
 def test_licenses_table(spark):
     ours = got(licenses.op9_licenses(table(spark, SF, "documents")))
     assert ours == oracle(licenses.SQL) and len(ours[1]) > 5

@@ -70,3 +70,13 @@ def test_awkward_rows(spark):
             now = saved(stage(spark, now, SF))
             assert now.columns == corpus_pipeline.COLUMNS
         corpus_pipeline.STAGES[-1][1](spark, now, SF).count()
+
+
+def test_leaks_without_ids(spark, tmp_path):
+    item = "one two three four five six seven"
+    spark.createDataFrame([(1, item), (None, "red green blue black white grey")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(None, "x " + item), (None, "clean without an id"), (None, None), (1, "a " + item), (1, "clean with the same id"), (2, "so red green blue black white grey"), (3, "clean")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], cases.SCHEMA)
+    kept = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == [(1, "clean with the same id"), (3, "clean")]
+    assert {r.text for r in kept.collect() if r.doc_id is None} == {"clean without an id", None}

@@ -10,7 +10,7 @@ exact shingles.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. Null and empty texts contain
 nothing and are contained in nothing. Rows with equal doc_id or item_id count as one document or item that
-has the shingles of all of them.
+has the shingles of all of them; null is an id like any other.
 """
 
 from __future__ import annotations
@@ -42,13 +42,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left and right joined where their keys are equal or both null; the key stands in the result once."""
+    other = right.withColumnRenamed(key, "_other")
+    return left.join(other, F.col(key).eqNullSafe(F.col("_other")), how).drop("_other")
+
+
 def item_shingles(items: DataFrame) -> DataFrame:
     """item_id, shingle (its words joined by a space), width (its words), h (its hash), n (shingles of the item)."""
     rows = items.select("item_id", words(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
     rows = rows.select("item_id", F.explode(runs(F.col("_w"), F.least(F.size("_w"), F.lit(SHINGLE)))).alias("_s"))
     rows = rows.select("item_id", F.concat_ws(" ", "_s").alias("shingle"), F.size("_s").alias("width"), F.xxhash64("_s").alias("h")).distinct()
     sizes = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(sizes, "item_id")
+    return joined(rows, sizes, "item_id")
 
 
 def sketches(shingles: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -73,12 +79,12 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Data
     shingles = saved(item_shingles(items))
     found = saved(candidates(docs, sketches(shingles, percent)))
     at = small(found.select("doc_id").distinct())
-    texts = docs.join(at, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_w"))
+    texts = joined(docs, at, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_w"))
     widths = [1, 2, 3, 4, SHINGLE]
     every = F.array_distinct(F.concat(*[F.transform(runs(F.col("_w"), k), lambda s: F.concat_ws(" ", s)) for k in widths]))
     has = texts.select("doc_id", every.alias("_has"))
     lists = shingles.groupBy("item_id", "n").agg(F.collect_set("shingle").alias("_want"))
-    pairs = has.join(found, "doc_id").join(small(lists), "item_id")
+    pairs = joined(joined(has, found, "doc_id"), small(lists), "item_id")
     each = pairs.select("doc_id", "item_id", "n", F.explode(F.array_intersect("_want", "_has")).alias("_s")).distinct()
     out = each.groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") * 100 >= F.col("n") * percent)
     return out.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "shared", (F.col("shared") / F.col("n")).alias("containment"))
