@@ -31,11 +31,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of the n-gram Jaccard join."""
-    docs = docs.select(*COLUMNS)
-    found = near.near_components(docs.select("doc_id", "text"))
-    first = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    """Keeps one row of each component of the n-gram Jaccard join: that of the smallest doc_id, null last.
+
+    Rows are numbered, so that repeated and missing doc_ids are told apart; ties of doc_id go by the text's
+    digest. Rows without a shingle link with nothing and stay. Components are reduced by an aggregate over
+    numbers and digests, which meets a hot component by partial sums.
+    """
+    docs = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    found = near.near_components(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.sha2("text", 256).alias("digest"), F.col("_row").alias("row"))
+    first = docs.select("_row", order.alias("_order")).join(found, "_row").groupBy("component_id").agg(F.min("_order").alias("_least"))
+    kept = saved(first.select(F.col("_least.row").alias("_row")))
+    return docs.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,17 @@ def test_leaks_without_ids(spark, tmp_path):
     kept = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == [(1, "clean with the same id"), (3, "clean")]
     assert {r.text for r in kept.collect() if r.doc_id is None} == {"clean without an id", None}
+
+
+def test_one_row_of_each_group(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    c = " ".join(f"c{k}" for k in range(60))
+    texts = [(None, a), (None, a + " end"), (7, a), (None, b), (None, b + " end"), (None, b), (5, c), (5, c), (5, "alone with the id of others"), (9, "alone too as it seems"), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], cases.SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert len(kept) == 6 and (7, a) in kept and kept.count((5, c)) == 1
+    assert sum(1 for k, t in kept if t and t.startswith("b")) == 1 and (None, None) in kept
+    assert {(5, texts[8][1]), (9, texts[9][1])} <= set(kept)
+    twice = corpus_pipeline.one_of_each_group(spark, docs.filter("text is not null").union(docs.filter("text is not null")), SF)
+    assert twice.count() == 5
