@@ -213,3 +213,17 @@ def test_streams(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("labelled").collect()) == want
     events = fixtures.table(spark, SF, "events")
     assert streams.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_chunked_recordings_compare_words_at_boundaries(spark, tmp_path):
+    (tmp_path / "talk.wav").write_bytes(wav([(2000, True), (1500, False), (2000, True), (1000, False), (1000, True)]))
+    files = pipeline.read(spark, str(tmp_path))
+    plan = chunks.ChunkPlan(target_ms=3000, max_ms=4000, window_ms=1000)
+    pieces = pipeline.plan_chunks(files, plan).orderBy("idx").collect()
+    assert len(pieces) == 3 and pieces[1].overlap_start_ms > 0
+    said = " ".join(f"word{k}" for k in range(30))
+    over = pieces[1].overlap_start_ms
+    rows = [(0, 0, 0, 2000, said), (1, 0, 0, over + 300, said), (1, 1, over + 300, over + 900, "then more"), (2, 0, 0, over + 700, "and the end")]
+    done = spark.createDataFrame([(pieces[0].source_id, i, k, a, b, t, 0.9) for i, k, a, b, t in rows], "source_id string, idx long, seq long, start_ms long, end_ms long, text string, confidence double")
+    out = pipeline.transcribe_chunked(files, plan, done=done).orderBy("seq").collect()
+    assert [(r.source_id, r.seq, r.text) for r in out] == [(pieces[0].source_id, k, t) for k, t in enumerate([said, "then more", "and the end"])]

@@ -65,7 +65,7 @@ def reassembled(results: DataFrame, chunks: DataFrame, autojunk: bool = True) ->
         done["seq"] = range(len(done))
         return done[["source_id", "seq", "idx", "start_ms", "end_ms", "text", "confidence"]]
 
-    return kept.groupBy("source_id").applyInPandas(merged, "source_id long, seq long, idx long, start_ms long, end_ms long, text string, confidence double")
+    return kept.groupBy("source_id").applyInPandas(merged, f"source_id {kept.schema['source_id'].dataType.simpleString()}, seq long, idx long, start_ms long, end_ms long, text string, confidence double")
 
 
 def concatenated(results: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -61,13 +61,8 @@ def transcribe_chunked(files: DataFrame, plan: chunks.ChunkPlan, transcriber: Ca
     named = cut(files, todo).select(F.concat_ws("\t", "path", F.col("idx").cast("string")).alias("path"), "content")
     parts = F.split("source_id", "\t")
     made = models.transcribed(named, transcriber).select(parts[0].alias("source_id"), parts[1].cast("long").alias("idx"), "seq", "start_ms", "end_ms", "text", "confidence")
-    return _merged(made if done is None else made.unionByName(done), pieces)
-
-
-def _merged(results: DataFrame, pieces: DataFrame) -> DataFrame:
-    kept = reassemble.without_start_overlap(reassemble.shifted(results, pieces))
-    number = F.row_number().over(reassemble.Window.partitionBy("source_id").orderBy("idx", "seq")) - 1
-    return kept.select("source_id", number.cast("long").alias("seq"), "start_ms", "end_ms", "text", "confidence")
+    merged = reassemble.reassembled(made if done is None else made.unionByName(done), pieces)
+    return merged.select("source_id", "seq", "start_ms", "end_ms", "text", "confidence")
 
 
 def transcribe_and_diarize(files: DataFrame, transcriber=models.LoudnessTranscriber, diarizer=models.AlternatingDiarizer, num_speakers: int | None = None, flip: bool = False) -> DataFrame:
