@@ -1,6 +1,7 @@
 """op3 and op6 against the tokenizers library applied to whole texts."""
 
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -18,12 +19,12 @@ SF = "/root/testdata/sf0.001"
 
 def whole(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
 ODD = [
     "a,b c.d² e½. 'tis it's x's. _a_ __ a_b. «é».  x", "tab\there\n\nnew \n line   three", "Σας ΟΔΟΣ. é, ñ!! ¿qué? 中文。 a' b'' c'.", "ﬁ. Ⅷ. ª, ʰ.", "", " ", "  ", "\n", " a", "a ", "a  ", "İstanbul İ", "E\u0301cole É STRASSE ẞ Ǆ ΑΣ. ΟΔΟΣ", "<|ENDOFTEXT|> x", "Don'T can'T",
+    "ŞEHRİ. SEVGİ, x", "क़, फ़. ਫ਼!", "<|endoftext|>", "a b<|startoftext|> c", "ﾟ, a\u0301. \u0345,", "a\x1c b \x85 c\xa0 d",
 ]
 
 
@@ -37,6 +38,24 @@ def test_parts_give_the_ids_of_whole_texts(name):
             assert np.frombuffer(ids, "<u4").tolist() == whole(name, text, 0)[:-1].tolist(), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point_before_a_mark(name):
+    from voxweave.llm.tokens import PartEncoder
+
+    texts = []
+    for c in range(0x30000):
+        alike = 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or c >= 0x12000  # of these every 61st
+        if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co") and not (alike and c % 61):
+            texts += [f"Ab{chr(c)}, {chr(c)}", f"x {chr(c)}{chr(c)}'s{chr(c)} á{chr(c)}. {chr(c)}1"]
+    rng = random.Random(11)
+    for some in ("ab C,.'s1\n\t ", "aÉéß ñÑ.,'\n İIΣσ", "  \n\n\tA b'", "<|endoftext|> aB", "a\x1c\x1d \x85\xa0b.", "Жж ÁàŸ9.'", "ÅΩẞ\u0345α A"):
+        texts += ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    made = PartEncoder(public_tokenizers.path(name), kept=20_000)
+    wrong = [text for text, want, got in zip(texts, t.encode_batch(texts, add_special_tokens=False), made.encode(texts), strict=True) if want.ids != np.frombuffer(got, "<u4").tolist()]
+    assert not wrong
+
+
 def check_packing(docs, out):
     texts = {r.doc_id: whole("byte_bpe_50k.json", r.text, 0) for r in docs.collect()}
     pieces, windows = defaultdict(list), defaultdict(list)
@@ -96,14 +115,19 @@ def test_fill_against_brute_force():
 
 
 def check_wavelet(docs, out):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    start, want = 0, []
-    for doc, text in rows:
-        ids = whole("word_bpe_49k.json", text, 1)
-        want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in out.collect()), key=lambda r: r[1])
-    assert got == want
+    """Rows of one doc_id may come in any order."""
+    want = defaultdict(list)
+    for r in docs.collect():
+        ids = whole("word_bpe_49k.json", r.text, 1)
+        want[r.doc_id].append((len(ids), zlib.crc32(ids.tobytes()), int((ids == 1).sum())))
+    rows = sorted(out.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [doc for doc in sorted(want, key=lambda x: (x is not None, x or 0)) for _ in want[doc]]
+    start, got = 0, defaultdict(list)
+    for r in rows:
+        assert r.start == start
+        start += r.n_tokens
+        got[r.doc_id].append((r.n_tokens, r.ids_crc32, r.n_end_ids))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 @pytest.mark.parametrize("extra", [False, True])
@@ -143,3 +167,31 @@ def test_files_are_read_without_their_source(spark):
     path = scratch(spark, "wavelet")
     wavelet.write_shards(cases.frame(spark), public_tokenizers.path("word_bpe_49k.json"), path)
     assert wavelet.read_shards(spark, path).count() == len(cases.TEXTS)
+
+
+def test_one_id_for_many_rows_and_one_far_away(spark, monkeypatch):
+    """No range is large because of a repeated, a missing or an outlying id, and shards end by their ids."""
+    monkeypatch.setattr(wavelet, "SHARD_IDS", 50)
+    rows = [(7, "same text here")] * 300 + [(None, f"text {k}") for k in range(300)] + [(k, "x") for k in range(100)] + [(10**17, "far")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = scratch(spark, "wavelet")
+    wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), path)
+    files = spark.read.parquet(path)
+    per_part = [r.n for r in files.groupBy("part").agg({"n_tokens": "sum"}).toDF("part", "n").collect()]
+    assert len(per_part) == 4 and max(per_part) < 2 * sorted(per_part)[1]
+    assert files.agg({"n_tokens": "max"}).first()[0] < 60
+    check_wavelet(docs, wavelet.read_shards(spark, path))
+
+
+def test_occurrences_by_selects(spark):
+    path, docs = scratch(spark, "wavelet"), cases.frame(spark)
+    wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), path)
+    want = []
+    for r in docs.collect():
+        ids = whole("word_bpe_49k.json", r.text, 1)
+        want += [(r.doc_id, k) for k in np.flatnonzero(ids == ids[0]).tolist()] if r.doc_id == 7 else []
+        token = int(ids[0]) if r.doc_id == 7 else None
+        if token is not None:
+            chosen = token
+    got = wavelet.occurrences(spark, path, chosen).filter("doc_id = 7").collect()
+    assert sorted((r.doc_id, r.place) for r in got) == sorted(want)

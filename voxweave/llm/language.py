@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxweave.llm.arrow import mapped
+
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 16
 SWITCH = 12.0
@@ -207,7 +209,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "at", "n"])
 
     rows = sampled(labelled.filter("lang is not null and text is not null"), sample_rows).select("lang", "text")
-    found = rows.mapInArrow(counted, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
+    found = mapped(rows, counted, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in found})
     counts = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
     for r in found:
@@ -236,7 +238,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(predicted, f"{schema}, lang_pred string, lang_score double, lang_spans long")
+    return mapped(rows, predicted, f"{schema}, lang_pred string, lang_score double, lang_spans long")
 
 
 def op10_language(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxweave.llm.arrow import mapped
 from voxweave.llm.components import components
 from voxweave.llm.tables import saved
 
@@ -232,7 +233,8 @@ def _by_src(batches):
 
 
 def _exchange(entries: DataFrame, whole: bool) -> DataFrame:
-    lists = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _lists(it, whole), "src long, kind int, a binary, b binary")
+    lists = entries.repartition("bucket").sortWithinPartitions("bucket")
+    lists = mapped(lists, lambda it: _lists(it, whole), "src long, kind int, a binary, b binary")
     return lists.repartition("src").sortWithinPartitions("src", "kind")
 
 
@@ -263,8 +265,8 @@ def shared_counts(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4
             yield _record([heads[:, 0], heads[:, 1], heads[:, 2], shared], ["doc_id", "n", "node", "shared"], kinds)
 
-    entries = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(scan, ENTRY)
-    out = _exchange(entries, False).mapInArrow(counted, "doc_id long, n long, node long, shared long")
+    entries = mapped(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), scan, ENTRY)
+    out = mapped(_exchange(entries, False), counted, "doc_id long, n long, node long, shared long")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63)).cast("long")))
 
 
@@ -316,8 +318,8 @@ def shared_sets(docs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
             if out[0]:
                 yield _record(out, ["node", "n", "shingles", "first"], [pa.int64(), pa.int64(), pa.binary(), pa.int32()])
 
-    found = _exchange(texts.mapInArrow(scan, ENTRY), True)
-    return found.mapInArrow(ordered, "node long, n long, shingles binary, first int")
+    found = _exchange(mapped(texts, scan, ENTRY), True)
+    return mapped(found, ordered, "node long, n long, shingles binary, first int")
 
 
 def search_lists(sets: DataFrame) -> DataFrame:
@@ -333,7 +335,7 @@ def search_lists(sets: DataFrame) -> DataFrame:
             if sum(counts):
                 yield _record([np.concatenate(hs), np.repeat(np.array(node, "i8"), counts), np.repeat(np.array(n, "i8"), counts)], ["h", "node", "n"], [pa.int64()] * 3)
 
-    return sets.mapInArrow(listed, "h long, node long, n long")
+    return mapped(sets, listed, "h long, node long, n long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -374,7 +376,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if others:
             yield flush()
 
-    return rows.mapInArrow(searched, "a long, b long")
+    return mapped(rows, searched, "a long, b long")
 
 
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -430,7 +432,7 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if out[0]:
                 yield _record(out, ["a", "b"], [pa.int64()] * 2)
 
-    return dealt.mapInArrow(searched, "a long, b long")
+    return mapped(dealt, searched, "a long, b long")
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:

@@ -7,27 +7,32 @@ closest to its end; its counts are read back from the program's steps and used a
 counts allow. Where no multiset fills a window, a rest is cut to fill it. What is left in the last window
 of a pool is cut into lengths that are powers of two, which need no padding.
 
-Pools do not span partitions, so nothing is shuffled, and a pool holds ``POOL`` documents at most. A
-window's number is the partition's number times 2**32 plus a count. Null text counts as empty: such a
+Pools do not span partitions, so nothing is shuffled, and a pool ends with the document that brings it to
+``POOL`` documents or ``POOL_IDS`` ids. A window's number is the partition's number times 2**32 plus a count. Null text counts as empty: such a
 document is its end id alone. Equal and repeated rows are packed one by one.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-POOL = 4096
+from voxweave.llm.arrow import mapped
+
+POOL, POOL_IDS = 4096, 4_000_000
 WINDOW = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
-    """The multiset of lengths, as (length, count), whose sum comes closest to room without passing it."""
+def fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> list[tuple[int, int]]:
+    """The multiset of lengths, as (length, count), whose sum comes closest to room without passing it; lengths: those that are left, ascending."""
+    lengths = sorted(x for x, n in counts.items() if n) if lengths is None else lengths
     reach, mask, steps = 1, (1 << (room + 1)) - 1, []
-    for length in sorted((x for x, n in counts.items() if n and x <= room), reverse=True):
+    for k in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[k]
         left, take = min(counts[length], room // length), 1
         while left:
             take = min(take, left)
@@ -47,53 +52,41 @@ def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
 
 def plan(rests: dict[int, list[int]], window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (document, first id, length) in order; rests has the documents of each rest's length, and is emptied."""
-    counts = {length: len(docs) for length, docs in rests.items() if docs}
-    total = sum(length * n for length, n in counts.items())
+    counts: dict[int, int] = {}
+    lengths: list[int] = []
+    for length in sorted(x for x, docs in rests.items() if docs):
+        counts[length] = len(rests[length])
+        lengths.append(length)
 
     def take(length: int) -> tuple[int, int, int]:
+        counts[length] -= 1
+        if not counts[length]:
+            del counts[length]
+            del lengths[bisect_left(lengths, length)]
         return rests[length].pop(), 0, length
 
     carried: tuple[int, int, int] | None = None
-    while total or carried:
-        first = [carried] if carried else []
+    while lengths or carried:
+        whole = carried is None
+        first = carried or take(lengths[-1])
         carried = None
-        if not first:
-            top = max(x for x, n in counts.items() if n)
-            counts[top] -= 1
-            total -= top
-            first = [take(top)]
-            pattern_first = top
-        else:
-            pattern_first = 0
-        room = window - sum(x[2] for x in first)
-        pattern = fill(counts, room) if room else []
+        room = window - first[2]
+        pattern = fill(counts, room, lengths) if room else []
         slack = room - sum(length * n for length, n in pattern)
         times = 1
-        if pattern_first and not slack:  # as often as the counts allow
-            need = {pattern_first: 1}
+        if whole and not slack:  # as often as the counts allow
+            need = {first[2]: 1}
             for length, n in pattern:
                 need[length] = need.get(length, 0) + n
-            times = max(1, min((counts[x] + (x == pattern_first)) // n for x, n in need.items()))
+            times = max(1, min((counts.get(x, 0) + (x == first[2])) // n for x, n in need.items()))
         for k in range(times):
-            if k:
-                counts[pattern_first] -= 1
-                total -= pattern_first
-                first = [take(pattern_first)]
-            for length, n in pattern:
-                counts[length] -= n
-                total -= length * n
-                first += [take(length) for _ in range(n)]
-            if slack and total:
-                cut = min((x for x, n in counts.items() if n and x > slack), default=0)
-                if cut:
-                    counts[cut] -= 1
-                    total -= cut
-                    doc, begin, length = take(cut)
-                    first.append((doc, begin, slack))
-                    carried = (doc, begin + slack, length - slack)
-            yield first
-        for x in [x for x, n in counts.items() if not n]:
-            del counts[x]
+            pieces = [take(first[2]) if k else first]
+            pieces += [take(length) for length, n in pattern for _ in range(n)]
+            if slack and (at := bisect_right(lengths, slack)) < len(lengths):
+                doc, begin, length = take(lengths[at])
+                pieces.append((doc, begin, slack))
+                carried = (doc, begin + slack, length - slack)
+            yield pieces
 
 
 def in_powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -133,7 +126,7 @@ def pack_pool(ids: list[bytes], window: int) -> Iterator[list[tuple[int, int, in
             yield from in_powers(pieces)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, pool: int = POOL, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, pool: int = POOL, pool_ids: int = POOL_IDS, with_ids: bool = False) -> DataFrame:
     """One row per piece: where it lies in its document and in its window; with_ids adds the ids themselves, as binary.
 
     docs needs doc_id and text.
@@ -145,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
 
         from voxweave.llm.tokens import encoder
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         end = int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
         keys: list = []
@@ -169,19 +162,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
             kinds = [pa.int64()] * 7 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in list(zip(cols, kinds, strict=True))[: 8 if with_ids else 7]], names=names[: 8 if with_ids else 7])
 
+        held = 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 512):
-                keys += found[at : at + 512]
-                ids += [x + end for x in encode(texts[at : at + 512])]
-                if len(ids) >= pool:
+            for key, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                keys.append(key)
+                ids.append(found + end)
+                held += len(found) // 4 + 1
+                if len(ids) >= pool or held >= pool_ids:
                     yield flush()
+                    held = 0
         if ids:
             yield flush()
 
     schema = SCHEMA + (", ids binary" if with_ids else "")
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(packed, schema)
+    return mapped(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), packed, schema)
 
 
 def op3_packing(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxweave.llm.arrow import mapped
 from voxweave.llm.language import held_out, sampled
 from voxweave.llm.shingles import _word_hashes
 
@@ -216,7 +217,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["label", "features", "lengths"])
 
     rows = sampled(labelled.filter("label is not null"), sample_rows).select(F.col("label").cast("int").alias("label"), "text")
-    found = rows.mapInArrow(featured, "label int, features binary, lengths binary").orderBy("label", "features").collect()
+    found = mapped(rows, featured, "label int, features binary, lengths binary").orderBy("label", "features").collect()
     if len({r.label for r in found}) < 2:
         return QualityModel(np.zeros(FEATURES), np.zeros((2, 2)))
     parts = [np.frombuffer(r.features, "f4").reshape(-1, FEATURES) for r in found]
@@ -248,7 +249,7 @@ def assess(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "quality", "bad_share", "lines", "bad_lines"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(assessed, f"{schema}, quality double, bad_share double, lines long, bad_lines long")
+    return mapped(docs.select(*keep, F.col("text").alias("_text")), assessed, f"{schema}, quality double, bad_share double, lines long, bad_lines long")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:

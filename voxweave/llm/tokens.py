@@ -1,8 +1,13 @@
 """Token ids of whole texts by the tokenizers library, with the ids of space-delimited parts kept for reuse.
 
-Both vocabularies that the queries use split a text before any pre-token that begins with a space, so the
-ids of a text are the ids of its parts, each part with the space before it, one after the other. This does
-not hold inside longer runs of white space, so a text with such a run goes to the library as a whole.
+A byte-level vocabulary splits a text before any pre-token that begins with a space, so the ids of a text are
+the ids of its parts, each part with the space before it, one after the other. This holds where the space
+is part of no longer run of white space that the splitting pattern takes as one; a text with such a run is
+cut only at single spaces. A vocabulary that drops white space may be cut at any space.
+
+A part of EASY characters is split into pre-tokens here, by the vocabulary's own pattern over these
+characters; each pre-token goes to the library's model. Any other part, and any text that holds the string of a special
+token, goes to the library as it is. So ids equal those of the library's plain call.
 """
 
 from __future__ import annotations
@@ -10,15 +15,27 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from array import array
+from collections.abc import Iterator
 
-#: Parts that a Python worker keeps; when as many are there, it begins anew.
-KEPT_PARTS = 700_000
-#: White space that a part's own ids might not account for.
+from voxweave.llm.arrow import at_task_end
+
+#: Parts in a generation of a worker's cache, of which there are two, and the longest part that is kept.
+KEPT_PARTS, KEPT_LENGTH = 400_000, 64
+#: A run of white space that a cut at a space might split.
 ODD_SPACE = re.compile(r"\s\s(?:\s|\Z)")
-#: Letters and then ASCII punctuation other than an apostrophe: two pre-tokens in both vocabularies.
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
+SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters beside A-Z that have one code point, one lower case, and no mark to compose with.
+LETTERS = "À-ÖØ-öø-įı-ſЀ-ҁҊ-ӿ"
+EASY = re.compile(rf"[\t-\r!-~{LETTERS}]*\Z")
+#: Characters of which lower case may be taken before the library composes marks.
+FOLDABLE = re.compile(rf"[\x00-\x7f{LETTERS} -©«-´¶-¹»-¿×÷‐-‧、-〩ぁ-ゖァ-ヺ一-龥가-힣]*\Z")
+#: How the two kinds of vocabulary split, over EASY characters.
+SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LETTERS}]+| ?[0-9]+| ?[^\sA-Za-z0-9{LETTERS}]+|\s+(?!\S)|\s+")
+UNSPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\sa-z0-9{LETTERS}]+")
+
+#: A word and the marks after it, two pre-tokens in either kind.
+WORD_AND_MARKS = re.compile(rf"([A-Za-z{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)\Z")
 
 #: How byte-level vocabularies spell bytes: printable ones as themselves, the others in order from U+0100.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -27,8 +44,46 @@ SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _P
 _encoders: dict[str, "PartEncoder"] = {}
 
 
+class _Pieces(dict):
+    """Ids of pre-tokens of EASY characters and spaces, by their text; those of an earlier generation are taken over when they are asked for."""
+
+    def __init__(self, tokenize, old: dict):
+        self.tokenize, self.old = tokenize, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            spelled = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(SPELLED)
+            ids = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = ids
+        return ids
+
+
+class _Parts(dict):
+    """Ids of parts with the space before them."""
+
+    def __init__(self, encoder: PartEncoder, old: dict):
+        self.ids, self.old, self.pieces = encoder.part, old, encoder.pieces
+        self.tokenize, self.space, self.folds = encoder.tokenize, encoder.spelled_before, encoder.folds
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            if not (found := WORD_AND_MARKS.match(part)) or self.folds and not part.islower():
+                ids = self.ids(part)
+            elif marks := found[2]:
+                ids = self[found[1]] + self.pieces[marks]
+            else:
+                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(SPELLED)
+                ids = array("I", [t.id for t in self.tokenize(self.space + spelled)]).tobytes()
+        if len(part) <= KEPT_LENGTH and "\n" not in part:
+            self[part] = ids
+        return ids
+
+
 class PartEncoder:
-    """Encodes texts to unsigned 32-bit ids (little-endian, as on all machines that Spark's Arrow transfer supports), without special tokens.
+    """Encodes texts to unsigned 32-bit ids (little-endian, as on all machines that Spark's Arrow transfer supports), adding no special tokens.
 
     folds: the vocabulary is of lower case and drops white space, so that a part's case, and the space before
     it, make no difference to its ids.
@@ -39,60 +94,68 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kept = kept
         model = json.loads(self.tokenizer.to_str())
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in model["added_tokens"]) or r"(?!)")
         self.folds = "Lowercase" in json.dumps(model["normalizer"]) and model["model"]["end_of_word_suffix"] == "</w>"
-        self.parts: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [x.tobytes() for x in ids]
-
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        # letters alone are one pre-token, which the model takes as it is once its bytes are spelled as characters
-        space = "" if self.folds else before.translate(SPELLED)
-        tokenize = self.tokenizer.model.tokenize
-        other = []
-        for p in new:
-            if p.isalpha() and (not self.folds or p.lower() == p and unicodedata.is_normalized("NFC", p)):
-                spelled = p if p.isascii() else p.encode().decode("latin-1").translate(SPELLED)
-                known[p] = array("I", [t.id for t in tokenize(space + spelled)]).tobytes()
-            else:
-                other.append(p)
-        new = other
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            known.update(zip(some, self._whole([before + p for p in some]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.folds:  # the two letters whose lower case the library forms otherwise are left to it
-            texts = [t if "Σ" in t or "İ" in t else t.lower() for t in texts]
-        split = [None if ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        known = self.parts
-        if len(known) > self.kept:
-            known.clear()
-        wanted = {""}
-        for parts in split:
-            if parts is not None:
-                wanted.update(parts if self.folds else parts[1:])
-        new = {p for p in wanted if p not in known}
-        marked = [(m[0], m[1], m[2]) for p in new if (m := WORD_AND_MARKS.match(p)) and m[1].isalpha()]
-        new.difference_update(p for p, _, _ in marked)
-        new.update(word for _, word, _ in marked if word not in known)
-        self._learn(known, list(new), " ")
-        self._learn(self.marks, list({m for _, _, m in marked} - self.marks.keys()), "")
-        known.update((p, known[word] + self.marks[m]) for p, word, m in marked)
-        ids = known.__getitem__
+        self.before, self.spelled_before = ("", "") if self.folds else (" ", " ".translate(SPELLED))
+        self.pattern = UNSPACED if self.folds else SPACED
+        self.tokenize = self.tokenizer.model.tokenize
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces = _Pieces(self.tokenize, {})
+        self.parts = _Parts(self, {})
+
+    def _next_generation(self) -> None:
+        if len(self.parts) > self.kept or len(self.pieces) > self.kept:
+            self.parts.old = self.pieces.old = {}
+            self.pieces = _Pieces(self.tokenize, self.pieces)
+            self.parts = _Parts(self, self.parts)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _head(self, part: str) -> bytes:
+        """The ids of a part without a space before it."""
+        if not EASY.match(part):
+            return self._whole(part)
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(part)))
+
+    def part(self, part: str) -> bytes:
+        """The ids of a part with the space before it, for a part that is more than a word of A-Z."""
+        if not EASY.match(part):
+            return self._whole(self.before + part)
+        if self.folds and not part.islower():
+            return self.parts[low] if (low := part.lower()) != part else self._head(part)
+        first, *more = self.pattern.findall(self.before + part) or [""]
+        word = first[len(self.before) :]
+        if not more or not word.isalpha():
+            return b"".join(map(self.pieces.__getitem__, (first, *more) if first else ()))
+        return b"".join((self.parts[word], *map(self.pieces.__getitem__, more)))
+
+    def encode_one(self, text: str) -> bytes:
+        if self.special.search(text):
+            return self._whole(text)
+        ids = self.parts.__getitem__
         if self.folds:
-            return [self._whole([t])[0] if parts is None else b"".join(map(ids, parts)) for t, parts in zip(texts, split, strict=True)]
-        heads = self._whole([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)])
-        return [head if parts is None else head + b"".join(map(ids, parts[1:])) for head, parts in zip(heads, split, strict=True)]
+            return b"".join(map(ids, (text.lower() if text.isascii() or FOLDABLE.match(text) else text).split(" ")))
+        head, *parts = SINGLE_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
+        return b"".join((self._head(head) if head[:1] != " " else self._whole(head), *map(ids, parts)))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return list(self.encode_all(texts))
+
+    def encode_all(self, texts) -> Iterator[bytes]:
+        """The ids of each text, or Arrow string, one by one; null counts as empty."""
+        for text in texts:
+            self._next_generation()
+            yield self.encode_one((text if isinstance(text, str) or text is None else text.as_py()) or "")
 
 
 def encoder(path: str) -> PartEncoder:
-    """One encoder per Python worker and vocabulary."""
+    """One encoder per Python worker and vocabulary; what it keeps goes at the end of a task."""
     if path not in _encoders:
         _encoders[path] = PartEncoder(path)
+        at_task_end(_encoders[path].forget)
     return _encoders[path]

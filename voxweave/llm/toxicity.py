@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxweave.llm.arrow import mapped
 from voxweave.llm.language import held_out, sampled
 from voxweave.llm.quality import fit_logistic, labelled_texts
 
@@ -181,7 +182,7 @@ def _assessed(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFra
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "evidence", "toxicity", "passages"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, F.col("text").alias("_text")).mapInArrow(assessed, f"{schema}, evidence double, toxicity double, passages array<struct<start: int, end: int, evidence: double>>")
+    return mapped(rows.select(*keep, F.col("text").alias("_text")), assessed, f"{schema}, evidence double, toxicity double, passages array<struct<start: int, end: int, evidence: double>>")
 
 
 def assess(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
