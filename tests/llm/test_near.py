@@ -91,11 +91,36 @@ def test_table(spark):
     assert got(near.op2_ngram_join(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("entries", [400, 250_000])
+def test_sets_that_share_rare_shingles_and_do_not_link(spark, monkeypatch, entries):
+    """Lists on which many components meet, in one block and in several; a line that all documents share; a link that only one pair makes."""
+    monkeypatch.setattr(near, "BLOCK_ENTRIES", entries)
+    rng = random.Random(4)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    parts = [fresh(14) for _ in range(9)]
+    line = fresh(8)
+    # of nine shared passages each takes seven, so that nearly all shingles are shared and few pairs are alike
+    rows = []
+    for k in range(130):
+        chosen = rng.sample(parts, 7)
+        rows.append((k, " ".join(w for p in chosen for w in p) + "\n" + " ".join(line)))
+    rows += [(1000 + k, " ".join(line)) for k in range(5)] + [(2000, rows[3][1] + " end"), (-(2**63), rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(near.op2_ngram_join(df)) == brute(rows)
+
+
+def test_missing_ids_stay_missing(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (-(2**63), "x y z u v w"), (0, "q")], "doc_id long, text string")
+    assert {r.doc_id for r in near.op2_ngram_join(df).collect()} == {None, -(2**63), 0}
+
+
 def test_t_occurrence_against_counts():
     rng = np.random.default_rng(2)
     for _ in range(100):
         query = np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype("u8")
         sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype("u8") for _ in range(12)]
-        required = [int(rng.integers(1, 20)) for _ in sets]
+        required = rng.integers(1, 20, len(sets))
+        wanted = rng.random(len(sets)) < 0.8
         want = [len(np.intersect1d(query, s)) for s in sets]
-        assert near.t_occurrence(query, sets, required) == [w if w >= r else -1 for w, r in zip(want, required)]
+        found = near.t_occurrence(query, near.Index(sets), required, wanted)
+        assert sorted(found.tolist()) == [k for k, (w, r) in enumerate(zip(want, required)) if wanted[k] and w >= r]

@@ -5,7 +5,9 @@ A document of n shingles can link only with one that holds at least T = ceil(n *
 The work is done in steps that each lose no link:
 
 1. *Occurrences.* Every shingle goes to the inverted list of its hash, in blocks of a few bytes an entry. A
-   document stays only if at least T of its shingles lie in lists of other documents too.
+   document stays only if at least T of its shingles lie in lists of other documents too. A block of documents
+   sends each of its shingles once, however many of them hold it, so a shingle that all documents share has as many
+   entries as there are blocks.
 2. Equal sets among those that stay become one, and step 1 is done again over the sets, with exact lists.
    It gives each set its shared shingles ordered by the length of their lists, shortest first.
 3. *Candidates.* The T - 1 longest lists of a set are left aside; a partner must appear in one of the rest.
@@ -13,10 +15,12 @@ The work is done in steps that each lose no link:
 4. *T-occurrence.* The partners of a pivot are indexed by the pivot's shingles, block by block. Short lists
    are merged by a heap, long ones probed by binary search (DivideSkip), and the partners that reach the
    overlap their sizes require are linked.
-5. Linked sets form components. The sets that are connected by lists on which components still meet are
-   dealt to blocks of about SEARCH_BLOCK, and each set is searched, as in 4, once in every block with which
-   it shares such a list, among the sets of other components. So pairs within a group of copies are never
-   all formed, and every component is whole.
+5. Linked sets form components. The sets that are connected by lists on which components still meet are dealt
+   to blocks of about BLOCK_ENTRIES shingles, with an index each. Within a block, and from each block to those
+   after it, a set is searched, as in 4, among the sets that do not yet lie in its component, be it by links of
+   before or by those just found. So pairs within a group of copies are never all formed, and every component is
+   whole. A set is sent to a block only if it shares such a list with one of its sets, or, where that makes fewer
+   rows, to all blocks of its group.
 
 Null and empty texts have no shingles and link with nothing. Rows with equal doc_id are rows of their own.
 """
@@ -39,6 +43,10 @@ PERCENT = 75
 BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_ENTRIES = 4096, 1_000_000, 250_000
 #: Partners of one pivot that are searched together.
 SEARCH_BLOCK = 256
+#: Shingles of the sets of a block in the last search.
+BLOCK_ENTRIES = 250_000
+#: In place of a document's number: a shingle that several documents of the block hold.
+SEVERAL = 65535
 
 
 def needed(n, percent: int = PERCENT):
@@ -46,27 +54,34 @@ def needed(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
-def t_occurrence(query: np.ndarray, sets: list[np.ndarray], required: list[int], mu: float = 0.01) -> list[int]:
-    """The overlaps of query with the sets that reach what is required of them; -1 for the others (DivideSkip)."""
-    if not sets:
-        return []
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    at = np.searchsorted(query, flat)
-    at[at == len(query)] = 0
-    hit = query[at] == flat if len(query) else np.zeros(len(flat), bool)
-    of, at = of[hit], at[hit]
-    order = np.argsort(at, kind="stable")
-    of, at = of[order], at[order]
-    bounds = np.searchsorted(at, np.arange(len(query) + 1))
-    lists = [of[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b > a]
+class Index:
+    """Inverted lists of the shingles of some sets: the numbers of the sets that hold a shingle, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        of = np.repeat(np.arange(len(sets), dtype="i4"), [len(s) for s in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, "u8")
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.of, self.n = flat[order], of[order], len(sets)
+
+    def lists(self, query: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
+        """Of the query's shingles, the lists that are not empty, without the sets that are not wanted (a flag per set)."""
+        begins, ends = np.searchsorted(self.flat, query, "left"), np.searchsorted(self.flat, query, "right")
+        out = [self.of[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True) if b > a]
+        out = [x[wanted[x]] for x in out]
+        return [x for x in out if len(x)]
+
+
+def t_occurrence(query: np.ndarray, index: Index, required: np.ndarray, wanted: np.ndarray, mu: float = 0.01) -> np.ndarray:
+    """The wanted sets of the index whose overlap with query reaches what is required of them (DivideSkip)."""
+    none = np.zeros(0, "i8")
+    if not wanted.any():
+        return none
+    lists = index.lists(query, wanted)
     lists.sort(key=len)
-    least = min(required)
-    out = [-1] * len(sets)
+    least = int(required[wanted].min())
     if len(lists) < least:
-        return out
-    longest = len(lists[-1])
-    n_long = min(least - 1, int(least / (mu * math.log2(longest + 1) + 1)))
+        return none
+    n_long = min(least - 1, int(least / (mu * math.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
     floor = least - n_long
     # each set number in the short lists, ascending, with how often it occurs: a heap of the lists' heads
@@ -87,17 +102,13 @@ def t_occurrence(query: np.ndarray, sets: list[np.ndarray], required: list[int],
         if times >= floor:
             found.append(top)
             counts.append(times)
-    total = np.array(counts, "i8")
-    members = np.array(found, "i8")
+    total, members = np.array(counts, "i8"), np.array(found, "i8")
     for x in long:
         if len(members):
             spot = np.searchsorted(x, members)
             spot[spot == len(x)] = 0
             total += x[spot] == members
-    for m, c in zip(found, total.tolist(), strict=True):
-        if c >= required[m]:
-            out[m] = c
-    return out
+    return members[total >= required[members]] if len(members) else none
 
 
 def _record(cols, names, kinds):
@@ -131,21 +142,32 @@ class _Block:
 
         heads = np.array(self.heads, "i8")
         flat = np.concatenate(self.sets) if self.sets else np.zeros(0, "u8")
-        of = np.repeat(np.arange(len(self.sets), dtype="u2"), [len(s) for s in self.sets])
-        bucket = ((flat >> np.uint64(32)) % np.uint64(self.buckets)).astype("u4")
+        each, at, back, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+        bucket = _bucket(each, self.buckets)
         order = np.argsort(bucket.astype("u2") if self.buckets < 65536 else bucket, kind="stable")
         bucket = bucket[order]
         # step 1 needs no more than 24 bits: a clash of two shingles only makes a list look longer
-        low = flat[order].astype("<u8").view("u1").reshape(-1, 8)[:, : 8 if self.whole else 3]
-        of = of[order]
+        low = each[order].astype("<u8").view("u1").reshape(-1, 8)[:, : 8 if self.whole else 3]
+        if self.whole:
+            note = times[order].astype("<u4")
+        else:
+            of = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
+            note = np.where(times > 1, SEVERAL, of[at])[order].astype("<u2")
+            # those that several documents here hold are shared, whatever other blocks have
+            heads = np.column_stack([heads, np.bincount(of[times[back] > 1], minlength=len(self.sets))])
         here, starts = np.unique(bucket, return_index=True)
         ends = np.append(starts[1:], len(bucket))
         n = len(here) + 1
-        a = [heads.tobytes()] + [low[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-        b = [flat.tobytes() if self.whole else b""] + [of[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        a = [heads.tobytes()] + [low[i:j].tobytes() for i, j in spans]
+        b = [flat.tobytes() if self.whole else b""] + [note[i:j].tobytes() for i, j in spans]
         yield _record([[src * 2654435761 % 4294967291 % self.buckets, *here.tolist()], [src] * n, [0] + [1] * len(here), a, b], ["bucket", "src", "kind", "a", "b"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype("u4")
+
+
 def _blocks(sets, buckets: int, whole: bool):
     """sets yields (hashes, head); blocks are numbered within the task's partition."""
     from pyspark import TaskContext
@@ -163,7 +185,11 @@ def _blocks(sets, buckets: int, whole: bool):
 
 
 def _lists(batches, whole: bool):
-    """Rows of ENTRY, ordered by bucket -> the same without entries whose list has one set; b then also has the lists' lengths."""
+    """Rows of ENTRY, ordered by bucket -> what their blocks need to know of the lists that more than one set shares.
+
+    Step 1: the documents that the block's entries stand for, and how many of each one's are shared. Else: the
+    hashes, and the lengths of their lists.
+    """
     import pyarrow as pa
 
     names, kinds = ["src", "kind", "a", "b"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -175,28 +201,31 @@ def _lists(batches, whole: bool):
         low = np.zeros((sum(len(a) for _, a, _ in rows) // width, 8), "u1")
         low[:, :width] = np.concatenate([np.frombuffer(a, "u1") for _, a, _ in rows]).reshape(-1, width)
         low = low.view("<u8").ravel()
+        notes = [np.frombuffer(b, "<u4" if whole else "<u2") for _, _, b in rows]
+        weight = np.concatenate(notes).astype("i8")
+        if not whole:
+            weight = np.where(weight == SEVERAL, 2, 1)
         order = np.argsort(low, kind="stable")
         ordered = low[order]
-        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
-        sizes = np.empty(len(low), "u4")
-        sizes[order] = np.repeat(np.diff(edges), np.diff(edges))
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        sizes = np.empty(len(low), "<u4")
+        sizes[order] = np.repeat(np.add.reduceat(weight[order], starts), np.diff(np.append(starts, len(low))))
         at = 0
         out: list[list] = [[], [], [], []]
-        for src, _, b in rows:
-            of = np.frombuffer(b, "u2")
-            mine = sizes[at : at + len(of)]
-            shared = mine > 1
+        for (src, _, _), note in zip(rows, notes, strict=True):
+            mine = sizes[at : at + len(note)]
+            shared = mine > 1 if whole else (mine > 1) & (note != SEVERAL)
             if shared.any():
                 out[0].append(src)
                 out[1].append(1)
                 if whole:
-                    out[2].append(of[shared].tobytes())
-                    out[3].append(low[at : at + len(of)][shared].tobytes() + mine[shared].tobytes())
+                    out[2].append(low[at : at + len(note)][shared].tobytes())
+                    out[3].append(mine[shared].tobytes())
                 else:
-                    docs, times = np.unique(of[shared], return_counts=True)
+                    docs, times = np.unique(note[shared], return_counts=True)
                     out[2].append(docs.tobytes())
-                    out[3].append(times.astype("u4").tobytes())
-            at += len(of)
+                    out[3].append(times.astype("<u4").tobytes())
+            at += len(note)
         if out[0]:
             yield _record(out, names, kinds)
 
@@ -250,7 +279,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for doc, hashes in zip(ids, column_sets(batch.column(1)), strict=True):
-                    yield hashes, (-(2**63) if doc is None else doc, len(hashes), set_digest(hashes))
+                    yield hashes, (doc or 0, 2 * len(hashes) + (doc is None), set_digest(hashes))
 
         yield from _blocks(sets(), buckets, False)
 
@@ -258,16 +287,15 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for a, _, back in _by_src(batches):
-            heads = np.frombuffer(a, "i8").reshape(-1, 3)
-            shared = np.zeros(len(heads), "i8")
+            heads = np.frombuffer(a, "i8").reshape(-1, 4)
+            shared = heads[:, 3].copy()
             for of, times in back:
                 shared[np.frombuffer(of, "u2")] += np.frombuffer(times, "u4")
-            kinds = [pa.int64()] * 4
-            yield _record([heads[:, 0], heads[:, 1], heads[:, 2], shared], ["doc_id", "n", "node", "shared"], kinds)
+            docs = pa.array(heads[:, 0], pa.int64(), mask=heads[:, 1] % 2 == 1)
+            yield _record([docs, heads[:, 1] // 2, heads[:, 2], shared], ["doc_id", "n", "node", "shared"], [pa.int64()] * 4)
 
     entries = mapped(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), scan, ENTRY)
-    out = mapped(_exchange(entries, False), counted, "doc_id long, n long, node long, shared long")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63)).cast("long")))
+    return mapped(_exchange(entries, False), counted, "doc_id long, n long, node long, shared long")
 
 
 def shared_sets(docs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -296,13 +324,19 @@ def shared_sets(docs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     def ordered(batches):
         import pyarrow as pa
 
-        for a, _, back in _by_src(batches):
+        for a, whole, back in _by_src(batches):
             heads = np.frombuffer(a, "i8").reshape(-1, 3)
             if not back:
                 continue
-            of = np.concatenate([np.frombuffer(x, "u2") for x, _ in back])
-            low = np.concatenate([np.frombuffer(y[: 8 * (len(x) // 2)], "<u8") for x, y in back])
-            sizes = np.concatenate([np.frombuffer(y[8 * (len(x) // 2) :], "u4") for x, y in back])
+            flat = np.frombuffer(whole, "u8")
+            known = np.concatenate([np.frombuffer(x, "<u8") for x, _ in back])
+            length = np.concatenate([np.frombuffer(y, "<u4") for _, y in back])
+            by = np.argsort(known)
+            known, length = known[by], length[by]
+            spot = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            shared = known[spot] == flat
+            of = np.repeat(np.arange(len(heads)), heads[:, 1])[shared]
+            low, sizes = flat[shared], length[spot[shared]]
             order = np.lexsort((low, sizes, of))
             of, low = of[order], low[order]
             bounds = np.searchsorted(of, np.arange(len(heads) + 1))
@@ -355,8 +389,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         others: list[int] = []
 
         def flush():
-            got = t_occurrence(query, sets, required)
-            linked = [b for b, x in zip(others, got, strict=True) if x >= 0]
+            got = t_occurrence(query, Index(sets), np.array(required), np.ones(len(sets), bool))
+            linked = [others[k] for k in got.tolist()]
             sets.clear(), required.clear(), others.clear()
             return _record([[node] * len(linked), linked], ["a", "b"], [pa.int64()] * 2)
 
@@ -396,45 +430,104 @@ def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return within.join(mixed, "h", "left_semi")
 
 
-def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 5's last search: links (a, b) between sets of different components that share a list of rows (h, node, n, root)."""
+def _placed(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, group (sets connected by lists of rows), block, blocks of the group, and its sets."""
     least = rows.groupBy("h").agg(F.min("node").alias("a"))
-    groups = saved(components(rows.join(least, "h").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "group"))
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / SEARCH_BLOCK)).cast("int")
-    placed = saved(groups.join(sizes, "group").select("node", "group", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    at = rows.join(placed, "node").select("h", "node", "group", "block")
-    asked = rows.select("h", F.col("node").alias("x")).join(at.select("h", "group", "block").distinct(), "h").select(F.col("x").alias("node"), "group", "block").distinct()
+    groups = components(rows.join(least, "h").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "group")
+    sized = saved(groups.join(sets.select("node", (F.octet_length("shingles") / 8).alias("entries")), "node"))
+    sizes = sized.groupBy("group").agg(F.ceil(F.sum("entries") / BLOCK_ENTRIES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
+    return sized.join(sizes, "group").select("node", "group", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks", "members")
+
+
+def _asked(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """node, group, block: the blocks after its own in which each set of a group of several blocks is to be searched."""
+    several = placed.filter("blocks > 1")
+    at = saved(rows.select("h", "node").join(several, "node"))
+    lists = at.groupBy("h", "group", "blocks", "members").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("block").alias("here"))
+    cost = lists.groupBy("group", "blocks", "members").agg(F.sum(F.col("n") * F.col("here")).alias("by_list"))
+    by_list = saved(cost.filter(F.col("by_list") < F.col("members") * F.col("blocks")).select("group"))
+    later = F.when(F.col("block") + 1 < F.col("blocks"), F.sequence(F.col("block") + 1, F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
+    every = several.join(by_list, "group", "left_anti").select("node", "group", F.explode(later).alias("block"))
+    some = at.join(by_list, "group", "left_semi").select("h", "node", "group", "block")
+    meets = some.select("h", "group", F.col("block").alias("to")).distinct()
+    listed = some.join(meets, ["h", "group"]).filter("to > block").select("node", "group", F.col("to").alias("block")).distinct()
+    return every.unionByName(listed)
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 5's last search: links (a, b) that join the components which sets that share a list of rows (h, node, n, root) make up."""
+    placed = saved(_placed(rows, sets))
     known = rows.select("node", "root").distinct().join(sets, "node").select("node", "root", "n", "shingles")
     members = placed.join(known, "node").select("group", "block", F.lit(0).alias("kind"), "node", "root", "n", "shingles")
-    queries = asked.join(known, "node").select("group", "block", F.lit(1).alias("kind"), "node", "root", "n", "shingles")
+    queries = _asked(rows, placed).join(known, "node").select("group", "block", F.lit(1).alias("kind"), "node", "root", "n", "shingles")
     dealt = members.unionByName(queries).repartition("group", "block").sortWithinPartitions("group", "block", "kind", "node")
 
     def searched(batches):
-        import pyarrow as pa
-
         key, held = None, []
+        block: _SearchBlock | None = None
         for batch in batches:
             out: list[list[int]] = [[], []]
-            for group, block, kind, node, root, n, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (group, block) != key:
-                    key, held = (group, block), []
-                found = np.frombuffer(shingles, "u8")
+            for group, at, kind, node, root, n, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, at) != key:
+                    _within(held, block, percent, out)
+                    key, held, block = (group, at), [], None
                 if kind == 0:
-                    held.append((node, root, n, found))
-                    continue
-                others = [x for x in held if x[0] > node and x[1] != root and min(x[2], n) * 100 >= max(x[2], n) * percent]
-                required = [max(1, -(-percent * (n + x[2]) // (100 + percent))) for x in others]
-                for x, got in zip(others, t_occurrence(np.sort(found), [x[3] for x in others], required), strict=True):
-                    if got >= 0:
-                        out[0].append(node)
-                        out[1].append(x[0])
+                    held.append((node, root, n, np.frombuffer(shingles, "u8")))
+                elif block := _within(held, block, percent, out):  # a block may be empty
+                    block.search(node, root, n, np.frombuffer(shingles, "u8"), out)
             if out[0]:
-                yield _record(out, ["a", "b"], [pa.int64()] * 2)
+                yield _links(out)
+        out = [[], []]
+        _within(held, block, percent, out)
+        yield _links(out)
 
     return mapped(dealt, searched, "a long, b long")
 
 
+def _links(out: list[list[int]]):
+    import pyarrow as pa
+
+    return _record(out, ["a", "b"], [pa.int64()] * 2)
+
+
+def _within(held: list, block: _SearchBlock | None, percent: int, out: list[list[int]]) -> _SearchBlock | None:
+    """The block of the sets held, searched within once when it is made."""
+    if block is None and held:
+        block = _SearchBlock(held, percent)
+        for k, (node, root, n, shingles) in enumerate(held):
+            block.search(node, root, n, shingles, out, k + 1)
+    return block
+
+
+class _SearchBlock:
+    """Sets with an index, and the components that are known or found here."""
+
+    def __init__(self, held: list, percent: int):
+        self.nodes, self.sizes, self.percent = [x[0] for x in held], np.array([x[2] for x in held], "i8"), percent
+        self.index = Index([x[3] for x in held])
+        self.number: dict[int, int] = {}
+        self.root = np.array([self.number.setdefault(x[1], len(self.number)) for x in held], "i8")
+        self.now = {k: k for k in range(len(self.number))}
+
+    def search(self, node: int, root: int, n: int, shingles: np.ndarray, out: list[list[int]], first: int = 0) -> None:
+        """Adds a link from the set to one set of each component that it links with, among the sets from the first on."""
+        mine = self.number.setdefault(root, len(self.number))
+        mine = self.now.setdefault(mine, mine)
+        wanted = (self.root != mine) & (np.minimum(self.sizes, n) * 100 >= np.maximum(self.sizes, n) * self.percent)
+        wanted[:first] = False
+        # |A and B| >= p / (100 + p) * (|A| + |B|)
+        required = np.maximum(1, -(-self.percent * (n + self.sizes) // (100 + self.percent)))
+        for k in t_occurrence(shingles, self.index, required, wanted).tolist():
+            other = int(self.root[k])
+            if other != mine:
+                out[0].append(node)
+                out[1].append(self.nodes[k])
+                self.root[self.root == other] = mine
+                for name, now in self.now.items():
+                    if now == other:
+                        self.now[name] = mine
+
+
 def _oriented(pairs: DataFrame) -> DataFrame:
     """Pairs (x, y) with the end that occurs more often as the pivot a."""
     ends = pairs.select(F.col("x").alias("e")).unionByName(pairs.select(F.col("y").alias("e"))).groupBy("e").agg(F.count(F.lit(1)).alias("c"))
