@@ -84,3 +84,20 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(1, text), (2, "plain é"), (3, None)], "doc_id long, text string")
     out = {r.doc_id: r.t for r in scan.scan(docs).select("doc_id", scan.redacted(scan.F.col("text"), scan.F.col("secret_spans")).alias("t")).collect()}
     assert out == {1: 'x [REDACTED]" y', 2: "plain é", 3: None}
+
+
+def test_very_long_runs_and_many_matches(spark):
+    """Neither ends the JVM nor takes time in proportion to the square: a megabyte of joined letters, a run of base64, thousands of matches."""
+    rng = random.Random(5)
+    draw = lambda some, n: "".join(rng.choice(some) for _ in range(n))
+    texts = ["a-" * 500_000, draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 60_000), " ".join(draw("0123456789abcdef", 32) for _ in range(20_000)), " ".join(draw("0123456789ABCDEFabcxyz", 24) for _ in range(3_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    check(joined(docs))
+    rows = scan.scan(docs).select("doc_id", "text", "secret_spans", scan.redacted(scan.F.col("text"), scan.F.col("secret_spans")).alias("t")).collect()
+    for r in rows:
+        at, want = 0, []
+        for s in sorted(r.secret_spans, key=lambda s: (s.start, -s.end)):
+            if s.start >= at:
+                want += [r.text[at : s.start], "[REDACTED]"]
+            at = max(at, s.end)
+        assert r.t == "".join(want) + r.text[at:]

@@ -15,11 +15,16 @@ inside a base match or an entropy span are left out. Where a run is on the allow
 hold the word of a sample, its other pieces are judged like those of any run, and the stretches between such
 pieces like whole runs.
 
-Places are code points, ends exclusive. Null text counts as empty. Repeated rows are rows of their own.
+Places are code points, ends exclusive. Null text counts as empty. Repeated rows are rows of their own. Very long
+texts, runs and lists of matches are taken whole: the patterns use possessive groups, which the regex engine
+repeats without recursion, sums and largest ends up to each match are taken in blocks of about the square root of
+their number, and a window looks at no more than its own characters.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +43,30 @@ SAMPLES = "example|sample|dummy|placeholder|changeme|xxxxx|0123456789|abcdefgh"
 #: What is left of a run between the pieces that hold the word of a sample.
 UNSAMPLED = rf"(?:[+/_=-]|(?<![0-9A-Za-z])(?![0-9A-Za-z]*(?i:{SAMPLES}))[0-9A-Za-z]++)++"
 #: Runs that are no secrets: plain or joined words, numbers and dates, and samples.
-ALLOWED = r"^(?:[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*|[0-9+/_=-]+|(?i:.*(?:example|sample|dummy|placeholder|changeme|xxxxx|0123456789|abcdefgh).*)|[^0-9]*|[^A-Za-z]*)[+/_=-]*$"
+ALLOWED = r"^(?:[A-Za-z]++(?:[+/_=-]++[A-Za-z]++)*+|[0-9+/_=-]+|(?i:.*(?:example|sample|dummy|placeholder|changeme|xxxxx|0123456789|abcdefgh).*)|[^0-9]*|[^A-Za-z]*)[+/_=-]*$"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once, also where body has it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _blocks(array: Column, size: Column) -> Column:
+    """The array's elements in arrays of a size."""
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), F.size(array) - 1, size), lambda i: F.slice(array, i + 1, size))).otherwise(F.array())
+
+
+def _scan(array: Column, merge) -> Column:
+    """An array of ints of 0 and more -> for each element merge over those before it, 0 for none (merge: a sum or a maximum)."""
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("out"))
+    few = lambda x: F.aggregate(x, start, lambda acc, v: F.struct(merge(acc.now, v).alias("now"), F.concat(acc.out, F.array(acc.now)).alias("out")))
+
+    def joined(parts: Column) -> Column:
+        """parts: now and out of each block."""
+        before = few(F.transform(parts, lambda p: p.now)).out
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p.out, lambda v: merge(v, b))))
+
+    return _let(array, lambda x: F.when(F.size(x) > 0, _let(F.transform(_blocks(x, F.ceil(F.sqrt(F.size(x))).cast("int")), few), joined)).otherwise(F.array().cast("array<int>")))
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
@@ -49,39 +77,44 @@ def _found(text: Column, pattern: str, group: int) -> Column:
     whole = F.lit(rf"\G((?s:.*?))({pattern})")
     gaps = F.regexp_extract_all(text, whole, F.lit(1))
     matches = F.regexp_extract_all(text, whole, F.lit(2))
-    values = F.regexp_extract_all(text, whole, F.lit(2 + group))
-    parts = F.zip_with(F.zip_with(gaps, matches, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m"))), values, lambda p, v: F.struct(p.g.alias("g"), p.m.alias("m"), v.alias("v")))
-    kind = "array<struct<start:int,end:int,value:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc.at + p.g + p.m).alias("at"),
-        F.concat(acc.out, F.array(F.struct((acc.at + p.g).alias("start"), (acc.at + p.g + p.m).alias("end"), p.v.alias("value")))).alias("out"),
-    )
-    return F.aggregate(parts, begin, step, lambda acc: acc.out)
+    values = F.regexp_extract_all(text, whole, F.lit(2 + group)) if group else matches
+    sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
+
+    def placed(parts: Column) -> Column:
+        before = _scan(F.transform(parts, lambda p: p.g + p.m), lambda a, b: a + b)
+        return F.zip_with(parts, before, lambda p, at: F.struct((at + p.g).alias("start"), (at + p.g + p.m).alias("end")))
+
+    return F.zip_with(_let(sizes, placed), values, lambda p, v: F.struct(p.start.alias("start"), p.end.alias("end"), v.alias("value")))
 
 
 def _window_span(value: Column, bits: Column) -> Column:
-    """First and last window of the value whose entropy reaches bits, as a struct of their first characters; nulls if none."""
+    """First and last window of the value whose entropy reaches bits, as a struct of their first characters; nulls if none.
+
+    The entropy follows from the sum of c * log2(c) over the counts c of the window's characters. From a window to the
+    next the sum changes by the counts of the character that enters and the one that leaves.
+    """
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    g = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), codes.alias("codes")
-    )
+    g = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
+    grown = F.array(*[F.lit(b - a) for a, b in zip(g[:-1], g[1:], strict=True)])
+    nothing = F.lit(None).cast("int")
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("at"), nothing.alias("first"), nothing.alias("last"), F.array().cast("array<int>").alias("held"))
+    most = WINDOW * (F.lit(math.log2(WINDOW)) - bits) + F.lit(1e-9)
+
+    def noted(acc: Column) -> list[Column]:
+        """The first and last window that reaches bits, with the one that ends before the character to come."""
+        here = F.when((acc.at >= WINDOW) & (acc.s <= most), acc.at - WINDOW)
+        return [F.coalesce(acc.first, here).alias("first"), F.coalesce(here, acc["last"]).alias("last")]
 
     def step(acc: Column, code: Column) -> Column:
-        # the character that leaves, none while the first window fills
-        gone = F.when(acc.at >= WINDOW, F.get(acc.codes, acc.at - WINDOW)).otherwise(F.lit(-1))
-        had = F.get(acc.counts, code)
-        less = F.when(gone >= 0, F.get(acc.counts, gone) + F.when(gone == code, 1).otherwise(0)).otherwise(F.lit(0))
-        s = acc.s + g(had + 1) - g(had) + F.when(gone >= 0, g(less - 1) - g(less)).otherwise(F.lit(0.0))
-        counts = F.transform(acc.counts, lambda c, i: c + F.when(i == code, 1).otherwise(0) - F.when(i == gone, 1).otherwise(0))
-        hit = (acc.at >= WINDOW - 1) & (F.lit(WINDOW).cast("double") * (F.log2(F.lit(float(WINDOW))) - bits) >= s)
-        here = acc.at - (WINDOW - 1)
-        return F.struct(
-            counts.alias("counts"), s.alias("s"), (acc.at + 1).alias("at"), F.coalesce(acc.first, F.when(hit, here)).alias("first"), F.when(hit, here).otherwise(acc["last"]).alias("last"), acc.codes.alias("codes")
-        )
+        # of the window before, what stays when the character that leaves is gone
+        full = acc.at >= WINDOW
+        stays = F.when(full, F.slice(acc.held, 2, WINDOW - 1)).otherwise(acc.held)
+        n = F.least(acc.at, F.lit(WINDOW - 1))
+        more = lambda x: F.get(grown, n - F.size(F.array_remove(stays, x)))
+        s = acc.s + more(code) - F.when(full, more(F.get(acc.held, 0))).otherwise(F.lit(0.0))
+        return F.struct(s.alias("s"), (acc.at + 1).alias("at"), *noted(acc), F.concat(stays, F.array(code)).alias("held"))
 
-    return F.aggregate(codes, start, step, lambda acc: F.struct(acc.first.alias("first"), acc["last"].alias("last")))
+    return F.aggregate(codes, start, step, lambda acc: F.struct(*noted(acc)))
 
 
 def _run_bits(value: Column) -> Column:
@@ -107,9 +140,37 @@ def _unsampled_spans(run: Column) -> Column:
     return F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x["at"] + x.w.first).alias("start"), F.lit(4).alias("kind"), (x["at"] + x.w["last"] + WINDOW).alias("end")))
 
 
+def _largest_before(spans: Column) -> Column:
+    """Of spans in order, the largest end of those before each one."""
+    return _scan(F.transform(spans, lambda x: x.end), F.greatest)
+
+
+def _longest_first(spans: Column, rank: int) -> Column:
+    """Spans that sort by start, and of those that begin together the longest first."""
+    return F.transform(spans, lambda x: F.struct(x.start.alias("start"), (-x.end).alias("less"), F.lit(rank).alias("rank"), x.kind.alias("kind"), x.end.alias("end")))
+
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
+
+
 def _outermost(spans: Column) -> Column:
-    """Distinct spans that lie in no other one."""
-    return F.filter(F.array_distinct(spans), lambda x: ~F.exists(spans, lambda y: (y.start <= x.start) & (x.end <= y.end) & ((y.start < x.start) | (x.end < y.end))))
+    """Distinct spans that lie in no other one, in order."""
+
+    def kept(x: Column) -> Column:
+        return _plain(F.transform(F.filter(F.zip_with(x, _largest_before(x), lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda p: p.s.end > p.e), lambda p: p.s))
+
+    return _let(F.sort_array(_longest_first(spans, 0)), kept)
+
+
+def _outside(spans: Column, others: Column) -> Column:
+    """The spans that lie in none of the others, in order."""
+
+    def kept(x: Column) -> Column:
+        ends = _scan(F.transform(x, lambda s: F.when(s["rank"] == 0, s.end).otherwise(F.lit(0))), F.greatest)
+        return _plain(F.transform(F.filter(F.zip_with(x, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda p: (p.s["rank"] == 1) & (p.s.end > p.e)), lambda p: p.s))
+
+    return _let(F.sort_array(F.concat(_longest_first(others, 0), _longest_first(spans, 1))), kept)
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -132,21 +193,32 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     assign = F.when(F.col("_named"), _spans(F.filter(_found(body, ASSIGN, 2), lambda m: F.char_length(m.value) >= 8), 0)).otherwise(none)
     access = F.when(F.col("_akia"), _spans(_found(body, ACCESS, 0), 1)).otherwise(none)
     hexes = F.when(F.col("_hex"), _spans(_found(body, HEX, 0), 2)).otherwise(none)
-    rows = rows.select("*", F.array_sort(F.concat(assign, access, hexes)).alias("base_spans"))
-    every = _found(body, LONG_RUN, 0)
-    runs = F.filter(every, lambda m: ~m.value.rlike(ALLOWED))
-    sampled = F.filter(every, lambda m: m.value.rlike(ALLOWED) & m.value.rlike(f"(?i:{SAMPLES})"))
-    windows = F.transform(runs, lambda m: F.struct(m.start.alias("start"), _window_span(m.value, _run_bits(m.value)).alias("w")))
-    extra = F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x.start + x.w.first).alias("start"), F.lit(3).alias("kind"), (x.start + x.w["last"] + WINDOW).alias("end")))
-    extra = F.filter(extra, lambda x: ~F.exists("base_spans", lambda b: (b.start <= x.start) & (x.end <= b.end)))
-    rows = rows.select("*", F.when(F.col("_run"), extra).otherwise(none).alias("_extra"))
-    rows = rows.select("*", F.array_sort(F.concat("base_spans", "_extra")).alias("run_spans"))
-    pieces = F.concat(F.flatten(F.transform(runs, _piece_spans)), F.flatten(F.transform(sampled, lambda m: F.concat(_piece_spans(m), _unsampled_spans(m)))))
-    pieces = _outermost(pieces)
-    pieces = F.filter(pieces, lambda x: ~F.exists("run_spans", lambda b: (b.start <= x.start) & (x.end <= b.end)))
-    rows = rows.select("*", F.when(F.col("_run"), F.array_sort(pieces)).otherwise(none).alias("piece_spans"))
-    rows = rows.select("*", F.array_sort(F.concat("run_spans", "piece_spans")).alias("secret_spans"))
-    return rows.drop("_named", "_akia", "_hex", "_run", "_extra")
+    rows = rows.select("*", F.sort_array(F.concat(assign, access, hexes)).alias("base_spans"))
+    judge = lambda m: F.struct(m.start.alias("start"), m.end.alias("end"), m.value.alias("value"), m.value.rlike(ALLOWED).alias("allowed"), m.value.rlike(f"(?i:{SAMPLES})").alias("sample"))
+
+    def outside_base(found: Column) -> Column:
+        """The runs that lie in no base match; kind has their places among all."""
+        spans = F.transform(found, lambda m, i: F.struct(m.start.alias("start"), i.alias("kind"), m.end.alias("end")))
+        return F.transform(_outside(spans, F.col("base_spans")), lambda x: F.get(found, x.kind))
+
+    judged = F.transform(_let(_found(body, LONG_RUN, 0), outside_base), judge)
+
+    def of_run(m: Column) -> Column:
+        """The entropy span of a run, if it has one, and its spans of pieces."""
+        window = _window_span(m.value, _run_bits(m.value))
+        whole = F.when(~m.allowed, _let(window, lambda w: F.when(w.first.isNotNull(), F.array(F.struct((m.start + w.first).alias("start"), F.lit(3).alias("kind"), (m.start + w["last"] + WINDOW).alias("end"))))))
+        rest = F.when(m.allowed, _unsampled_spans(m)).otherwise(none)
+        return F.struct(F.coalesce(whole, none).alias("whole"), F.concat(_piece_spans(m), rest).alias("pieces"))
+
+    wanted = F.filter(judged, lambda m: ~m.allowed | m.sample)
+    rows = rows.select("*", F.when(F.col("_run"), F.transform(wanted, of_run)).otherwise(F.array().cast(f"array<struct<whole:{NO_SPANS},pieces:{NO_SPANS}>>")).alias("_of_runs"))
+    extra = _outside(F.flatten(F.transform("_of_runs", lambda x: x.whole)), F.col("base_spans"))
+    rows = rows.select("*", F.when(F.size("_of_runs") > 0, extra).otherwise(none).alias("_extra"))
+    rows = rows.select("*", F.sort_array(F.concat("base_spans", "_extra")).alias("run_spans"))
+    pieces = _outside(_outermost(F.flatten(F.transform("_of_runs", lambda x: x.pieces))), F.col("run_spans"))
+    rows = rows.select("*", F.when(F.size("_of_runs") > 0, pieces).otherwise(none).alias("piece_spans"))
+    rows = rows.select("*", F.sort_array(F.concat("run_spans", "piece_spans")).alias("secret_spans"))
+    return rows.drop("_named", "_akia", "_hex", "_run", "_extra", "_of_runs")
 
 
 def as_text(spans: Column) -> Column:
@@ -156,12 +228,22 @@ def as_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """The text with each stretch of overlapping spans replaced by mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc.at, s.end).alias("at"),
-        F.when(s.start >= acc.at, F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit(mark))).otherwise(acc.out).alias("out"),
-    )
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.char_length(text))))
+
+    def cut(stretches: Column) -> Column:
+        """stretches: the text that is kept before each mark, as a struct of begin and end; cut from blocks of the text."""
+
+        def block(b: Column) -> Column:
+            begin = F.get(b, 0).begin
+            some = F.substring(text, begin + 1, F.element_at(b, -1).end - begin)
+            return _let(some, lambda t: F.array_join(F.transform(b, lambda x: F.concat(F.substring(t, x.begin - begin + 1, x.end - x.begin), F.lit(mark))), ""))
+
+        return F.array_join(F.transform(_blocks(stretches, F.ceil(F.sqrt(F.size(stretches))).cast("int")), block), "")
+
+    def marked(x: Column) -> Column:
+        kept = F.filter(F.zip_with(x, _largest_before(x), lambda s, e: F.struct(e.alias("begin"), s.start.alias("end"))), lambda k: k.end >= k.begin)
+        return F.concat(_let(kept, cut), F.substring(text, F.array_max(F.transform(x, lambda s: s.end)) + 1, F.char_length(text)))
+
+    return F.when(F.size(spans) > 0, _let(F.sort_array(_longest_first(spans, 0)), marked)).otherwise(text)
 
 
 def op5_secrets(docs: DataFrame) -> DataFrame:
