@@ -1,98 +1,132 @@
 """Toxic passages by maximum-scoring segments.
 
 A word's score is its log-odds between toxic and clean documents under an informative Dirichlet prior (a
-share of the word's frequency over both), kept where it is significant. A word without a significant score
-of its own takes that of its longest prefix that has one, counted likewise; every other word costs DRIFT. The
-maximal scoring segments of a text are found in one pass over its words. A segment's score S is set against
-what chance gives: in clean text a segment of at least S is expected K * n * exp(-lambda * S) times among n
-words (Karlin and Altschul), with lambda from the scores' distribution in clean text. The evidence of a
-text sums lambda * S - ln(K * n) over its significant segments, and a logistic function of it, fitted on
-the labelled sample, is its score.
-
-Words are counted by documents with different texts, so that copies of one text count once, on a sample
-that ``SAMPLE_ROWS`` bounds; only significant words, LEXICON_WORDS at most by significance, reach the driver.
-Null and empty texts have no segment. Without rows of both labels every score is 0.
+share of the word's frequency over both), kept where it is significant, for toxic and for clean words alike. A
+word without a significant score of its own takes that of its longest prefix that has one, counted likewise;
+every other word costs DRIFT, and no clean word costs less. The maximal scoring segments of a text are found
+in one pass over its words. A segment's score S is set against what chance gives: in clean text a segment of
+at least S is expected K * n * exp(-lambda * S) times among n words (Karlin and Altschul), with lambda from the
+scores' distribution in clean text. The evidence of a text sums lambda * S - ln(K * n) over its significant
+segments, and a logistic function of it, fitted on the labelled sample, is its score.
+
+Words are runs of letters, in lower case, cut by the same function when they are counted and when they are scored. They
+are counted by documents with different texts, so that copies of one text count once, on a sample that
+``SAMPLE_ROWS`` bounds; only significant words reach the driver, as many as that sample has.
+Null and empty texts have no segment. Without rows of both labels every score is 0. A text's words are scored
+together, so a very long text takes memory in proportion to its words.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxweave.llm.arrow import keep as keep_cache
 from voxweave.llm.arrow import mapped
 from voxweave.llm.language import held_out, sampled
 from voxweave.llm.quality import fit_logistic, labelled_texts
+from voxweave.llm.tables import saved
 
 SAMPLE_ROWS = 20_000
-LEXICON_WORDS = 5_000
 PRIOR = 50.0
-#: Least z-score of a word's log-odds, documents that must have it, and the cost of any other word.
+#: Least z-score of a word's log-odds either way, documents that must have it, and the cost of any other word.
 SIGNIFICANCE, SUPPORT, DRIFT = 3.0, 3, 0.25
 #: Lengths of prefixes that are counted beside words; their entries in a lexicon end in a hyphen.
 PREFIXES = (4, 5, 6, 7)
-#: Words whose scores a Python worker keeps.
-KNOWN_WORDS = 1_000_000
+#: Words whose scores a Python worker keeps, in each of two generations, and words that it counts at once.
+KNOWN_WORDS, COUNTED_WORDS = 300_000, 1_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def maximal_segments(scores) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of (place, score) pairs in order, as (first, last place, score), in linear time.
+def lowered(text: str | None) -> str:
+    """The text in lower case, character by character."""
+    return (text or "").replace("İ", "i").lower()
 
-    Between two places all others count -DRIFT each. Candidates keep the sum before them (l) and up to their
-    end (r); a new one is joined to the last earlier one with a smaller l unless that one's r reaches the new r.
+
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a row of scores, as (first, last place, score), in linear time.
+
+    Candidates keep the sum before them and up to their end; a new one is joined to the last earlier one with a
+    smaller sum before it unless that one's sum at its end reaches the new one's. Each candidate keeps the number
+    of that earlier one, so that no candidate is looked at twice on the way back.
     """
-    held: list[list] = []  # first, last, l, r
-    total, previous = 0.0, -1
-    for place, score in scores:
-        total -= DRIFT * (place - previous - 1)
-        previous = place
-        if score <= 0:
-            total += score
-            continue
-        new = [place, place, total, total + score]
-        total += score
+    sums = np.cumsum(scores)
+    held: list[tuple[int, int, float, float, int]] = []
+    places = np.flatnonzero(scores > 0)
+    for place, begin, end in zip(places.tolist(), (sums[places] - scores[places]).tolist(), sums[places].tolist(), strict=True):
+        new = (place, place, begin, end)
         while True:
             j = len(held) - 1
             while j >= 0 and held[j][2] >= new[2]:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= new[3]:
-                held.append(new)
+                held.append((*new, j))
                 break
-            new = [held[j][0], new[1], held[j][2], new[3]]
+            new = (held[j][0], new[1], held[j][2], new[3])
             del held[j:]
-    return [(a, b, r - left) for a, b, left, r in held]
+    return [(a, b, r - left) for a, b, left, r, _ in held]
+
+
+class _Scores(dict):
+    """Scores of words that this worker has met; those of the generation before are taken over when asked for."""
+
+    def __init__(self, model: ToxicityModel, old: dict):
+        self.word, self.old = model.word, old
+
+    def __missing__(self, word: str) -> float:
+        score = self.old.get(word)
+        if score is None:
+            score = self.word(word)
+        self[word] = score
+        return score
+
+
+#: The worker's scores, by the model that they are of.
+_scores: dict[str, _Scores] = {}
+
+
+def _scores_of(model: ToxicityModel) -> _Scores:
+    known = _scores.get(model.name)
+    if known is None:
+        if not _scores:
+            keep_cache("toxicity", _scores.clear)
+        _scores.clear()
+        known = _scores[model.name] = _Scores(model, {})
+    elif len(known) > KNOWN_WORDS:
+        known.old = {}
+        known = _scores[model.name] = _Scores(model, known)
+    return known
 
 
 class ToxicityModel:
     def __init__(self, lexicon: dict[str, float], rate: float, scale: float, slope: float = 0.0, bias: float = -30.0):
         self.lexicon, self.rate, self.scale, self.slope, self.bias = lexicon, rate, scale, slope, bias
-        self.known: dict[str, float] = {}
+        self.prefixes = {w[:-1]: score for w, score in lexicon.items() if w[-1:] == "-"}
+        self.name = uuid.uuid4().hex
 
     def word(self, word: str) -> float:
-        """The score of a word, 0 if it and its prefixes have none."""
+        """The score of a word."""
         found = self.lexicon.get(word)
-        for k in reversed(PREFIXES):
-            if found is None and len(word) > k:
-                found = self.lexicon.get(f"{word[:k]}-")
-        return found or 0.0
+        if found is None:
+            for k in reversed(PREFIXES):
+                if len(word) > k and (found := self.prefixes.get(word[:k])) is not None:
+                    break
+        return -DRIFT if found is None else found
 
     def segments(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """Significant segments as (first word, last word, evidence), and the number of words."""
-        words = WORD.findall((text or "").lower())
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.word(w)
-        hits = [(k, x) for k, x in enumerate(map(known.__getitem__, words)) if x]
-        if not hits:
+        words = WORD.findall(lowered(text))
+        scores = np.fromiter(map(_scores_of(self).__getitem__, words), "f8", len(words))
+        if not len(words) or scores.max() <= 0:
             return [], len(words)
         chance = math.log(max(1.0, self.scale * len(words)))
-        found = [(a, b, self.rate * s - chance) for a, b, s in maximal_segments(hits)]
+        found = [(a, b, self.rate * s - chance) for a, b, s in maximal_segments(scores)]
         return [x for x in found if x[2] > 0], len(words)
 
     def evidence(self, text: str | None) -> float:
@@ -106,7 +140,7 @@ class ToxicityModel:
         found, _ = self.segments(text)
         if not found:
             return []
-        spans = [m.span() for m in WORD.finditer((text or "").lower())]
+        spans = [m.span() for m in WORD.finditer(lowered(text))]
         return [(spans[a][0], spans[b][1], e) for a, b, e in found]
 
 
@@ -126,41 +160,64 @@ def karlin(values: np.ndarray, odds: np.ndarray) -> float:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """word, toxic, clean: in how many texts of each label a word, or a prefix with a hyphen, occurs."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    rows = rows.select("label", words.alias("_words"))
-    longer = lambda k: F.transform(F.filter("_words", lambda w: F.char_length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("-")))
-    each = rows.select("label", F.explode(F.concat("_words", F.array_distinct(F.concat(*[longer(k) for k in PREFIXES])))).alias("word"))
-    return each.groupBy("word").agg(F.sum("label").cast("long").alias("toxic"), F.sum(1 - F.col("label")).cast("long").alias("clean"))
+    """word, toxic, clean: in how many texts of each label a word, or a prefix with a hyphen, occurs; and, with word null, the words of all."""
+
+    def counts(batches):
+        import pyarrow as pa
+
+        by: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+        def flush():
+            words = list(by[0].keys() | by[1].keys())
+            cols = [pa.array(words, pa.string()), *(pa.array([by[label][w] for w in words], pa.int64()) for label in (1, 0))]
+            by[0].clear(), by[1].clear()
+            return pa.RecordBatch.from_arrays(cols, names=["word", "toxic", "clean"])
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = WORD.findall(lowered(text.as_py()))
+                each = set(words)
+                by[label].update(each)
+                by[label].update({f"{w[:k]}-" for k in PREFIXES for w in each if len(w) > k})
+                by[label][None] += len(words)
+                if len(by[0]) + len(by[1]) > COUNTED_WORDS:
+                    yield flush()
+        yield flush()
+
+    each = mapped(rows.select("label", "text"), counts, "word string, toxic long, clean long")
+    return each.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """labelled: doc_id, text and label (1 toxic)."""
     rows = sampled(labelled.filter("label is not null and text is not null"), sample_rows).select(F.col("label").cast("int").alias("label"), "text", F.xxhash64("text").alias("same"))
-    rows = rows.groupBy("same").agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text")
-    totals = {r.label: (r.n, r.w) for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).collect()}
+    rows = saved(rows.groupBy("same").agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text"))
+    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if set(totals) != {0, 1}:
         return ToxicityModel({}, 1.0, 1.0)
-    n1, n0 = totals[1][0], totals[0][0]
+    n1, n0 = totals[1], totals[0]
+    counted = saved(_counted(rows))
+    clean_words = max(1, counted.filter("word is null").first().clean)
     share = (F.col("toxic") + F.col("clean")) / (n1 + n0)
     prior = F.lit(PRIOR) * share
     log_odds = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior + 1e-9))
     delta = log_odds(F.col("toxic"), n1) - log_odds(F.col("clean"), n0)
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    chosen = _counted(rows).filter(F.col("toxic") >= SUPPORT).select("word", "clean", delta.alias("delta"), (delta / spread).alias("z"))
-    chosen = chosen.filter(F.col("z") >= SIGNIFICANCE).orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
-    lexicon = {r.word: r.delta for r in chosen}
-    if not lexicon:
+    known = counted.filter(F.col("word").isNotNull()).select("word", "toxic", "clean", delta.alias("delta"), (delta / spread).alias("z"))
+    significant = (F.col("z") >= SIGNIFICANCE) & (F.col("toxic") >= SUPPORT) | (F.col("z") <= -SIGNIFICANCE) & (F.col("clean") >= SUPPORT)
+    chosen = sorted(known.filter(significant).collect(), key=lambda r: r.word)
+    lexicon = {r.word: r.delta if r.z > 0 else min(r.delta, -DRIFT) for r in chosen}
+    if not any(x > 0 for x in lexicon.values()):
         return ToxicityModel({}, 1.0, 1.0)
-    clean_words = max(1, totals[0][1] or 0)
     odds = np.array([(r.clean + 0.5) / clean_words for r in chosen])
-    values = np.array([r.delta for r in chosen])
+    values = np.array([lexicon[r.word] for r in chosen])
     odds, values = np.append(odds, max(1e-6, 1 - odds.sum())), np.append(values, -DRIFT)
-    rate = karlin(values, odds)
+    rate = karlin(values, odds / odds.sum())
     # K of a walk with rare steps up: the odds of a step up, discounted as in exp(-lambda * S) by the step itself
-    scale = float((odds[:-1] * np.exp(rate * values[:-1])).sum())
+    up = values > 0
+    scale = float((odds[up] * np.exp(rate * values[up])).sum())
     model = ToxicityModel(lexicon, rate, scale)
-    found = [(r.label, r.evidence) for r in _assessed(rows.select("label", "text"), model, ["label"]).collect()]
+    found = [(r.label, r.evidence) for r in _assessed(rows.select("label", "text"), model, ["label"]).select("label", "evidence").collect()]
     y, x = np.array([f[0] for f in found], "f8"), np.array([f[1] for f in found])
     model.slope, model.bias = fit_logistic(x, y)
     return model
@@ -174,15 +231,14 @@ def _assessed(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFra
 
         passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())])
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            passages = [shared.value.passages(t) for t in texts]
+            passages = [shared.value.passages(t.as_py()) for t in batch.column(len(keep))]
             evidence = [math.log1p(sum(p[2] for p in ps)) for ps in passages]
             spans = [[{"start": a, "end": b, "evidence": e} for a, b, e in ps] for ps in passages]
             cols = [batch.column(k) for k in range(len(keep))] + [pa.array(evidence, pa.float64()), pa.array([shared.value.score(e) for e in evidence], pa.float64()), pa.array(spans, pa.list_(passage))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "evidence", "toxicity", "passages"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return mapped(rows.select(*keep, F.col("text").alias("_text")), assessed, f"{schema}, evidence double, toxicity double, passages array<struct<start: int, end: int, evidence: double>>")
+    return mapped(rows.select(*keep, F.col("text").alias("_text")), assessed, f"{schema}, evidence double, toxicity double, passages array<struct<start: int, end: int, evidence: double>>", keeps="toxicity")
 
 
 def assess(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
