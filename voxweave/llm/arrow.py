@@ -2,8 +2,8 @@
 
 Spark cuts batches by rows and by bytes; its own bound of bytes is meant for one batch at a time, not for
 the text, numbers and lists that a stage makes of it. So a session that has left Spark's bound alone gets
-``BATCH_BYTES`` instead (a longer row is a batch of its own). At the end of a task caches are emptied and
-freed memory is handed back, so that a worker that waits for its next task holds little.
+``BATCH_BYTES`` instead (a longer row is a batch of its own). A cache lives on in a worker from task to task,
+until the worker begins a task of a stage that does not use it; freed memory is handed back after each task.
 """
 
 from __future__ import annotations
@@ -17,21 +17,27 @@ from pyspark.sql import DataFrame
 BATCH_BYTES = 4 << 20
 BOUND, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
-#: Called at the end of a task.
-_at_end: list[Callable[[], None]] = []
+#: What empties the caches of this worker, by their name.
+_kept: dict[str, list[Callable[[], None]]] = {}
 
 
-def at_task_end(function: Callable[[], None]) -> None:
-    if function not in _at_end:
-        _at_end.append(function)
+def keep(name: str, forget: Callable[[], None]) -> None:
+    """Notes a cache of this worker, and what empties it."""
+    _kept.setdefault(name, []).append(forget)
+
+
+def forget_others(name: str) -> None:
+    """Empties all caches but those of a name."""
+    for other, forgets in _kept.items():
+        if other != name:
+            for forget in forgets:
+                forget()
 
 
 def release() -> None:
-    """Empties what was registered, and gives unused memory back to the system."""
+    """Gives unused memory back to the system."""
     import pyarrow as pa
 
-    for function in _at_end:
-        function()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -40,13 +46,14 @@ def release() -> None:
         pass
 
 
-def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow(function, schema) over batches of about BATCH_BYTES."""
+def mapped(df: DataFrame, function: Callable, schema: str, keeps: str = "") -> DataFrame:
+    """df.mapInArrow(function, schema) over batches of about BATCH_BYTES; keeps: the name of the cache that function uses."""
     conf = df.sparkSession.conf
     if conf.get(BOUND, DEFAULT) == DEFAULT:
         conf.set(BOUND, str(BATCH_BYTES))
 
     def rows(batches):
+        forget_others(keeps)
         try:
             yield from function(batches)
         finally:

@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
             yield flush()
 
     schema = SCHEMA + (", ids binary" if with_ids else "")
-    return mapped(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), packed, schema)
+    return mapped(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), packed, schema, keeps="tokens")
 
 
 def op3_packing(docs: DataFrame) -> DataFrame:

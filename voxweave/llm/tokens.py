@@ -18,7 +18,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
-from voxweave.llm.arrow import at_task_end
+from voxweave.llm.arrow import keep
 
 #: Parts in a generation of a worker's cache, of which there are two, and the longest part that is kept.
 KEPT_PARTS, KEPT_LENGTH = 400_000, 64
@@ -154,8 +154,8 @@ class PartEncoder:
 
 
 def encoder(path: str) -> PartEncoder:
-    """One encoder per Python worker and vocabulary; what it keeps goes at the end of a task."""
+    """One encoder per Python worker and vocabulary; what it keeps goes when the worker begins a stage of another kind."""
     if path not in _encoders:
         _encoders[path] = PartEncoder(path)
-        at_task_end(_encoders[path].forget)
+        keep("tokens", _encoders[path].forget)
     return _encoders[path]

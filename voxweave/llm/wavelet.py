@@ -89,10 +89,10 @@ class WaveletMatrix:
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         now, planes = ids.astype("u2" if depth <= 16 else "u4"), []
         for k in range(depth - 1, -1, -1):
-            bit = (now >> k & 1).view("u1")[:: now.itemsize].view(bool)
+            bit = (now & now.dtype.type(1 << k)) != 0
             planes.append(Plane.of(bit))
             if k:
-                now = np.concatenate([now[~bit], now[bit]])
+                now = np.concatenate([np.compress(~bit, now), np.compress(bit, now)])
         return cls(planes, len(ids), list(doc_ids), np.asarray(lengths, dtype="<u4"))
 
     def to_bytes(self) -> bytes:
@@ -129,9 +129,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, dtype=kind)
         for k, plane in enumerate(reversed(self.planes)):
             bit = plane.bits(self.n)
+            now[plane.zeros :] |= now.dtype.type(1 << k)
             up = np.empty_like(now)
-            up[~bit] = now[: plane.zeros]
-            up[bit] = now[plane.zeros :] | now.dtype.type(1 << k)
+            up[np.flatnonzero(~bit)] = now[: plane.zeros]
+            up[np.flatnonzero(bit)] = now[plane.zeros :]
             now = up
         return now.astype("<u4")
 
@@ -219,7 +220,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text", "xxhash64(text) as tie", "monotonically_increasing_id() as row")
     order = [F.asc_nulls_first("doc_id"), "tie", "row"]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    mapped(rows, built, FILES).write.option("compression", "none").parquet(path)
+    mapped(rows, built, FILES, keeps="tokens").write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark, path: str, end_id: int = 1) -> DataFrame:
