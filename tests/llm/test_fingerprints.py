@@ -1,7 +1,10 @@
 """Fingerprints: edited texts against plain Python, equality, order, insertion, deletion and likeness."""
 
 import hashlib
+import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +15,11 @@ from voxweave.llm.tables import table
 
 
 def edited(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
-    texts = [t or "" for _, t in rows]
+    """rows: doc_id, text, hash of the text (null: empty), by which repeated doc_ids go."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]), reverse=True)
+    texts = [t or "" for _, t, _ in rows]
     out = []
-    for k, (doc, _) in enumerate(rows):
+    for k, (doc, _, _) in enumerate(rows):
         text, after = texts[k], texts[(k + 1) % len(rows)]
         cut = len(text) // 3
         whole = text[: len(text) - cut] + after[:cut]
@@ -24,7 +28,7 @@ def edited(rows):
 
 
 def check(docs):
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows = [(r.doc_id, r.text, r.tie) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()]
     got = fp.op1_fingerprints(docs).collect()
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == edited(rows)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -55,6 +59,58 @@ def test_table(spark):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_ranges_of_outlying_repeated_and_missing_ids(spark, monkeypatch):
+    """No range holds twice the rows that it should, and the order is kept across ranges."""
+    monkeypatch.setattr(tables, "RANGE_ROWS", 40)
+    rows = [(k, f"document number {k} of some") for k in range(300)] + [(10**17, "far away"), (-(2**63), "least"), (2**63 - 1, "most")]
+    rows += [(7, "the same row")] * 200 + [(8, f"another text {k}") for k in range(200)] + [(None, f"no id {k}") for k in range(100)] + [(None, None)] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, n = tables.id_ranges(docs)
+    sizes = [r["count"] for r in found.groupBy("range").count().collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 0.8 * n and max(sizes) <= 2 * 40
+    low = {r["range"]: (r.a, r.b) for r in found.groupBy("range").agg(F.min(F.struct(*tables.KEY)).alias("a"), F.max(F.struct(*tables.KEY)).alias("b")).collect()}
+    ends = [x for k in sorted(low) for x in low[k]]
+    assert ends == sorted(ends)
+    check(docs)
+
+
+def test_likeness_against_python(spark):
+    """Lanes, cosine and both likenesses of the query, from hashes that Spark gives for single runs."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").filter("doc_id < 40")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(texts, reverse=True)
+
+    def runs(text):
+        out = []
+        for paragraph in text.split("\n"):
+            words = re.findall(r"[^ \t\n\x0b\f\r]+", paragraph)
+            places = [m.span() for m in re.finditer(r"[^ \t\n\x0b\f\r]+", paragraph)]
+            out += [paragraph[places[k][0] : places[k + 3][1]] for k in range(len(words) - 3)] or ([paragraph[places[0][0] :].rstrip(" ")] if words else [])
+        return out
+
+    edited_texts = {}
+    for k, doc in enumerate(order):
+        cut = len(texts[doc]) // 3
+        edited_texts[doc] = texts[doc][: len(texts[doc]) - cut] + texts[order[(k + 1) % len(order)]][:cut]
+    every = sorted({x for t in [*texts.values(), *edited_texts.values()] for x in runs(t)})
+    hashes = spark.createDataFrame([(x,) for x in every], "x string").select("x", *[F.xxhash64("x", F.lit(w)).alias(f"h{w}") for w in range(fp.HASHES)])
+    known = {r.x: [r.h0, r.h1] for r in hashes.collect()}
+
+    def lanes(text):
+        found = runs(text)
+        return np.array([sum(known[x][w] >> (fp.STRIDE * k + b) & 1 for x in found) for w in range(fp.HASHES) for k in range(fp.PACKED) for b in range(fp.STRIDE)]) * 2.0 - len(found)
+
+    def like(a, b):
+        norm = math.sqrt(float(a @ a) * float(b @ b))
+        return min(1.0, max(0.0, float(a @ b) / norm)) if norm else 0.0
+
+    for r in fp.op1_fingerprints(docs).collect():
+        after = texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+        for got, other in ((r.near_edited, edited_texts[r.doc_id]), (r.near_next, after)):
+            same = sorted(texts[r.doc_id].split("\n")) == sorted(other.split("\n"))
+            assert abs(got - (1.0 if same else like(lanes(texts[r.doc_id]), lanes(other)))) < 1e-9
+
+
 def test_sums_are_insertion_and_deletion(spark):
     rows = spark.createDataFrame([("ab", "one two three four five\nsix"), ("a", "one two three four five"), ("b", "six"), ("aab", "six\none two three four five\none two three four five")], "k string, text string")
     lanes = {r.k: r.lanes for r in fp.fingerprint(rows, ["k"], "text").collect()}

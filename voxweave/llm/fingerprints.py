@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxweave.llm.tables import id_ranges
+from voxweave.llm.tables import KEY, id_ranges, saved, small
 
 EQUAL_LANES = 16
 #: Hashes of a run, and how their bits are packed while they are summed: two lanes to a long, 30 bits apart.
@@ -118,20 +118,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text. The documents are dealt by ranges of doc_id; each range also gets a ghost
     of the first document of the range below it (the lowest wraps round to the highest), so that every
-    neighbour is found inside one range and texts are shuffled once. Ties of doc_id go by text, descending,
-    and rows without a doc_id come last.
+    neighbour is found inside one range and texts are shuffled once. Ties of doc_id go by a hash of the text and
+    then by row, and rows without a doc_id come last, so that no repeated or missing id makes a range large.
     """
-    place, n = id_ranges(docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("range", place)
-    # the first document of each range; as many rows as there are ranges, which MAX_RANGES bounds
-    tops = rows.groupBy("range").agg(F.max("doc_id").alias("doc_id"))
+    rows, n = id_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    # the first document of each range; as many rows as there are ranges
+    tops = saved(rows.groupBy("range").agg(F.max(F.struct(*KEY)).alias("top")))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("range"))
     whole = Window.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select(F.col("range").alias("r"), F.col("doc_id").alias("top"), F.coalesce(F.lag("range").over(w), F.last("range").over(whole)).alias("to"))
-    ghosts = rows.join(F.broadcast(tops), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    ghosts = ghosts.groupBy("to").agg(F.max(F.struct("doc_id", "text")).alias("m")).select("m.doc_id", "m.text", F.col("to").alias("range"), F.lit(1).alias("ghost"))
+    tops = tops.select(F.col("range").alias("r"), "top", F.coalesce(F.lag("range").over(w), F.last("range").over(whole)).alias("to"))
+    is_top = (F.col("range") == F.col("r")) & (F.col("_has") == F.col("top._has")) & (F.col("_id") == F.col("top._id")) & (F.col("_tie") == F.col("top._tie"))
+    ghosts = rows.join(small(tops, 64), is_top).groupBy("to").agg(F.max(F.struct("doc_id", "text")).alias("m"))
+    ghosts = ghosts.select("m.doc_id", "m.text", F.col("to").alias("range"), *[F.lit(0).cast(rows.schema[k].dataType).alias(k) for k in KEY], F.lit(1).alias("ghost"))
     both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition(n, "range")
-    order = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("text"))
+    order = Window.partitionBy("range").orderBy("ghost", *[F.desc(k) for k in KEY])
     both = both.select("*", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("after"))
     edited = F.concat(F.expr("left(text, char_length(text) - char_length(text) div 3)"), F.expr("left(after, char_length(text) div 3)"))
     both = both.select("range", "at", "ghost", "doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", F.when(F.col("ghost") == 0, edited).alias("edited"))
