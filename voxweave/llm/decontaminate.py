@@ -18,12 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxweave.llm.tables import saved
+from voxweave.llm.tables import saved, small
 
 PERCENT = 75
 SHINGLE = 5
-#: Rows up to which the sketches, and the candidates, are broadcast (about 24 bytes each); beyond it they are shuffled.
-BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,11 +35,6 @@ def runs(of: Column, length: Column | int) -> Column:
     return F.when(F.size(of) >= length, F.transform(F.sequence(F.lit(1), F.size(of) - length + 1), lambda i: F.slice(of, i, length))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """left and right joined where their keys are equal or both null; the key stands in the result once."""
     other = right.withColumnRenamed(key, "_other")
@@ -70,7 +63,7 @@ def candidates(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     hashed = [F.transform(runs(F.col("_w"), k), lambda s: F.xxhash64(s)) for k in widths]
     rows = docs.select("doc_id", words(F.col("text")).alias("_w"))
     rows = rows.select("doc_id", F.explode(F.concat(*hashed) if hashed else F.array().cast("array<long>")).alias("h"))
-    return rows.join(small(sketch.select("h", "item_id")), "h").select("doc_id", "item_id").distinct()
+    return rows.join(small(sketch.select("h", "item_id"), 48), "h").select("doc_id", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -78,13 +71,13 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Data
     docs = docs.select("doc_id", "text").filter("text is not null")
     shingles = saved(item_shingles(items))
     found = saved(candidates(docs, sketches(shingles, percent)))
-    at = small(found.select("doc_id").distinct())
+    at = small(found.select("doc_id").distinct(), 64)
     texts = joined(docs, at, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_w"))
     widths = [1, 2, 3, 4, SHINGLE]
     every = F.array_distinct(F.concat(*[F.transform(runs(F.col("_w"), k), lambda s: F.concat_ws(" ", s)) for k in widths]))
     has = texts.select("doc_id", every.alias("_has"))
     lists = shingles.groupBy("item_id", "n").agg(F.collect_set("shingle").alias("_want"))
-    pairs = joined(joined(has, found, "doc_id"), small(lists), "item_id")
+    pairs = joined(joined(has, found, "doc_id"), small(lists, F.aggregate("_want", F.lit(48).cast("long"), lambda n, s: n + 24 + F.octet_length(s))), "item_id")
     each = pairs.select("doc_id", "item_id", "n", F.explode(F.array_intersect("_want", "_has")).alias("_s")).distinct()
     out = each.groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") * 100 >= F.col("n") * percent)
     return out.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "shared", (F.col("shared") / F.col("n")).alias("containment"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from voxweave.llm.arrow import mapped
 from voxweave.llm.components import components
-from voxweave.llm.tables import saved
+from voxweave.llm.tables import saved, small
 
 PERCENT = 75
 #: Documents and shingles that a block of step 1 holds, and entries that a bucket of lists should hold.
@@ -304,19 +304,21 @@ def shared_sets(docs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     The last column, ``first``, is n - T + 1 less the shingles that no other set has.
     """
     left = counts.filter((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
-    reps = left.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    reps = saved(left.groupBy("node").agg(F.min("doc_id").alias("rep")))
     size = left.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, size // BUCKET_ENTRIES)
-    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(reps.select(F.col("doc_id").alias("rep"), "node"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(small(reps, 48), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
     def scan(batches):
         from voxweave.llm.shingles import column_sets, set_digest
 
         def sets():
+            seen: set[int] = set()  # repeated rows of a doc_id are one set
             for batch in batches:
                 nodes = batch.column(0).to_pylist()
                 for node, hashes in zip(nodes, column_sets(batch.column(1)), strict=True):
-                    if set_digest(hashes) == node:  # rows of one doc_id may differ
+                    if node not in seen and set_digest(hashes) == node:  # rows of one doc_id may differ
+                        seen.add(node)
                         yield hashes, (node, len(hashes), 0)
 
         yield from _blocks(sets(), buckets, True)
@@ -374,8 +376,9 @@ def search_lists(sets: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Step 4: the pairs (a, b) whose sets reach the similarity; a is the pivot, whose row meets its partners in blocks."""
-    salted = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-    pivots = salted.select("a", "block").distinct()
+    salted = saved(pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")))
+    pivots = small(salted.select("a", "block").distinct(), 48)
+    salted = small(salted, 48)
     own = pivots.join(sets.select(F.col("node").alias("a"), "n", "shingles"), "a").select("a", "block", F.lit(0).alias("kind"), F.col("a").alias("b"), "n", "shingles")
     partners = salted.join(sets.select(F.col("node").alias("b"), "n", "shingles"), "b").select("a", "block", F.lit(1).alias("kind"), "b", "n", "shingles")
     rows = own.unionByName(partners).repartition("a", "block").sortWithinPartitions("a", "block", "kind", "b")
@@ -457,7 +460,7 @@ def _asked(rows: DataFrame, placed: DataFrame) -> DataFrame:
 def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Step 5's last search: links (a, b) that join the components which sets that share a list of rows (h, node, n, root) make up."""
     placed = saved(_placed(rows, sets))
-    known = rows.select("node", "root").distinct().join(sets, "node").select("node", "root", "n", "shingles")
+    known = saved(small(rows.select("node", "root").distinct(), 48).join(sets, "node").select("node", "root", "n", "shingles"))
     members = placed.join(known, "node").select("group", "block", F.lit(0).alias("kind"), "node", "root", "n", "shingles")
     queries = _asked(rows, placed).join(known, "node").select("group", "block", F.lit(1).alias("kind"), "node", "root", "n", "shingles")
     dealt = members.unionByName(queries).repartition("group", "block").sortWithinPartitions("group", "block", "kind", "node")
