@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxweave.llm import decontaminate, language, near, packing, secret_scan
-from voxweave.llm.tables import saved, table
+from voxweave.llm.tables import saved, small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least share of a text's letters that its main language must have.
@@ -39,10 +39,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     docs = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
     found = near.near_components(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.sha2("text", 256).alias("digest"), F.col("_row").alias("row"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"), F.col("_row").alias("row"))
     first = docs.select("_row", order.alias("_order")).join(found, "_row").groupBy("component_id").agg(F.min("_order").alias("_least"))
     kept = saved(first.select(F.col("_least.row").alias("_row")))
-    return docs.join(kept, "_row", "left_semi").select(*COLUMNS)
+    return docs.join(small(kept, 48), "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     digest = F.unhex(F.sha2("text", 256)).alias("_digest")
     texts = docs.select(digest.alias("doc_id"), "text")
     found = decontaminate.contained(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_digest")).distinct()
-    return docs.select("*", digest).join(decontaminate.small(saved(found)), "_digest", "left_anti").select(*COLUMNS)
+    return docs.select("*", digest).join(small(saved(found), 64), "_digest", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
