@@ -51,12 +51,10 @@ SCRIPTS = {
 
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point: whether it is a letter or a mark on one, and the number of its script (0: none of them)."""
-    letter = np.zeros(0x110000, dtype=bool)
-    spans = [(0, 0x33FF), (0xA000, 0xABFF), (0xF900, 0xFFFF), (0x10000, 0x1FFFF)]
-    for a, b in spans:
-        letter[a : b + 1] = [unicodedata.category(chr(c))[0] in "LM" for c in range(a, b + 1)]
-    letter[0x3400:0xA000] = letter[0xAC00:0xD7A4] = letter[0x20000:0x32000] = True
+    """Per code point: 2 for a letter, 1 for a mark, which may stand in a word, 0 for others; and the number of its script (0: none of them)."""
+    letter = np.zeros(0x110000, dtype="u1")
+    for a, b in ((0, 0x34000), (0xE0000, 0xE0200)):  # no letter or mark is assigned elsewhere
+        letter[a:b] = ["ML".find(unicodedata.category(chr(c))[0]) + 1 for c in range(a, b)]
     script = np.zeros(0x110000, dtype="u1")
     for k, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
@@ -65,11 +63,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _words(texts: list[str]):
-    """Over all texts: hashes of trigrams, one per letter; where each word begins among them; words per text; words' scripts."""
+    """Over all texts: hashes of trigrams, one per letter or mark; where each word begins among them; words per text; words' scripts and letters."""
     letter, script = _tables()
     joined = " ".join([" ", *texts, " "]).lower()
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    is_letter = letter[np.minimum(code, 0x10FFFF)]
+    kind = letter[np.minimum(code, 0x10FFFF)]
+    is_letter = kind > 0
     at = np.flatnonzero(is_letter)
     now = np.where(is_letter, code, 0).astype("u4")
     h = now[at] * np.uint32(0x9E3779B1) ^ (now[at - 1] * np.uint32(0x85EBCA6B)) ^ (now[at + 1] * np.uint32(0xC2B2AE35))
@@ -82,7 +81,8 @@ def _words(texts: list[str]):
         lengths = [len(t.lower()) for t in texts]
     ends = np.cumsum(np.array(lengths, "i8") + 1) + 2
     bounds = np.searchsorted(at[first], np.concatenate([[0], ends]))
-    return h, first, np.diff(bounds), script[code[at[first]]]
+    letters = np.add.reduceat(kind[at] == 2, first, dtype="i8") if len(first) else np.zeros(0, "i8")
+    return h, first, np.diff(bounds), script[code[at[first]]], letters
 
 
 def _blocks(texts: list[str]):
@@ -98,9 +98,10 @@ def _blocks(texts: list[str]):
 
 
 def sampled(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """About ``most`` of the rows, at random by a hash of the key and thus the same ones each time; all if there are not as many."""
-    n = rows.select(key).count()
-    return rows if n <= most else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
+    """At most ``most`` of the rows, at random by a hash of the key and thus the same ones each time; all if there are not as many."""
+    h = F.xxhash64(key)
+    found = rows.select(h.alias("h")).orderBy("h").limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h")).first()
+    return rows if found.n <= most else rows.filter(h < F.lit(found.h))
 
 
 class LanguageModel:
@@ -118,15 +119,14 @@ class LanguageModel:
 
     def word_scores(self, texts: list[str]):
         """Per word: scores by language and letters; and the number of words of each text."""
-        h, first, counts, script = _words(texts)
+        h, first, counts, script, letters = _words(texts)
         if not len(first):
-            return np.zeros((0, len(self.languages)), "f4"), np.zeros(0, "i8"), counts
-        scores = np.add.reduceat(self.weights[h], first, axis=0) + self.admits[script]
-        return scores, np.diff(np.append(first, len(h))), counts
+            return np.zeros((0, len(self.languages)), "f4"), letters, counts
+        return np.add.reduceat(self.weights[h], first, axis=0) + self.admits[script], letters, counts
 
     def labels(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The best language of each word, by Viterbi over the words of each text; all texts of a block advance together."""
-        out = np.zeros(len(scores), "u1")
+        out = np.zeros(len(scores), "u2")
         order = np.argsort(-counts, kind="stable")
         begins = (np.cumsum(counts) - counts)[order]
         sizes = counts[order]
@@ -139,7 +139,7 @@ class LanguageModel:
                 best = value.argmax(axis=1)
                 top = value[np.arange(n), best][:, None] - SWITCH
                 stay = value >= top
-                back.append(np.where(stay, np.arange(now.shape[1]), best[:, None]).astype("u1"))
+                back.append(np.where(stay, np.arange(now.shape[1]), best[:, None]).astype("u2"))
                 now = now + np.where(stay, value, top)
                 now -= now.max(axis=1, keepdims=True)
             if t + 1 < len(active) and active[t + 1] < n or t + 1 == len(active):
@@ -200,9 +200,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 total = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1, "i8"))
                 for a, b in _blocks(mine):
-                    h, first, _, script = _words(mine[a:b])
+                    h, _, _, script, letters = _words(mine[a:b])
                     total[:BUCKETS] += np.bincount(h, minlength=BUCKETS)
-                    letters = np.diff(np.append(first, len(h)))
                     total[BUCKETS:] += np.bincount(script, letters, len(SCRIPTS) + 1).astype("i8")
         for lang, total in sums.items():
             at = np.flatnonzero(total)
