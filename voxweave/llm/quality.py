@@ -6,7 +6,8 @@ of the lines before and after it; the chain adds a weight for each pair of neigh
 
 Only documents are labelled. A good document's lines are all good; of a bad one's at least one is bad. The
 weights maximise the likelihood of just that: log P(all good) for the good, log(1 - P(all good)) for the
-bad, by gradients from forward-backward. They are fitted on a sample that ``SAMPLE_ROWS`` bounds.
+bad, by gradients from forward-backward. They are fitted on a sample that ``SAMPLE_ROWS``, ``SAMPLE_LINES`` and
+``LONGEST_LINES`` bound, so that what reaches the driver, 116 bytes a line, and the steps taken there are bounded too.
 
 A document's score is a logistic function of the log of its bad share: the marginal P(bad) of each line,
 weighted by the line's length. Null and empty texts have one empty line. Ties and repeated rows need no
@@ -16,7 +17,7 @@ care; without any labelled row every score is 0.5.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxweave.llm.arrow import mapped
@@ -24,6 +25,8 @@ from voxweave.llm.language import held_out, sampled
 from voxweave.llm.shingles import _word_hashes
 
 SAMPLE_ROWS = 6_000
+#: Lines of the sampled texts in all, and of one of them; a text of more is not learned from.
+SAMPLE_LINES, LONGEST_LINES = 250_000, 2_000
 STEPS = 250
 BLOCK_BYTES = 4 << 20
 SHARES = 8
@@ -216,8 +219,14 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["label", "features", "lengths"])
 
-    rows = sampled(labelled.filter("label is not null"), sample_rows).select(F.col("label").cast("int").alias("label"), "text")
-    found = mapped(rows, featured, "label int, features binary, lengths binary").orderBy("label", "features").collect()
+    rows = sampled(labelled.filter("label is not null"), sample_rows)
+    lines = F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    rows = rows.select(F.col("label").cast("int").alias("label"), "text", lines.alias("_lines"), F.xxhash64("doc_id", "text").alias("_h")).filter(F.col("_lines") <= LONGEST_LINES)
+    # a running sum over as many rows as the sample has
+    so_far = Window.partitionBy(F.lit(0)).orderBy("_h", "label").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.select("_h", "label", F.sum("_lines").over(so_far).alias("_sum")).filter(F.col("_sum") > SAMPLE_LINES).agg(F.min("_h")).first()[0]
+    rows = (rows if last is None else rows.filter(F.col("_h") < F.lit(last))).select("label", "text")
+    found = sorted(mapped(rows, featured, "label int, features binary, lengths binary").collect(), key=lambda r: (r.label, bytes(r.features)))
     if len({r.label for r in found}) < 2:
         return QualityModel(np.zeros(FEATURES), np.zeros((2, 2)))
     parts = [np.frombuffer(r.features, "f4").reshape(-1, FEATURES) for r in found]
