@@ -13,33 +13,31 @@ from voxweave.functions.text import UNKNOWN, joined, seconds, stripped, word_cou
 INTERVIEWER, INTERVIEWEE = "INTERVIEWER", "INTERVIEWEE"
 
 
-def overlaps(segments: DataFrame, diarization: DataFrame, bucket_ms: int | None = None) -> DataFrame:
+#: Stretches of time by which segments and intervals are dealt beside their source.
+BUCKET_MS = 300_000
+
+
+def overlaps(segments: DataFrame, diarization: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """One row per segment and interval of a source that overlap: source_id, seq, dseq, speaker, overlap_ms.
 
-    With bucket_ms both sides are also dealt by stretches of time, so that a long source is spread over tasks;
-    a pair is kept only in the stretch where its overlap begins.
+    Both sides are dealt by source and stretch of time, so that a long source is spread over tasks and a segment
+    meets only the intervals of its stretches; a pair is kept only in the stretch where its overlap begins.
     """
     left = segments.select("source_id", "seq", F.col("start_ms").alias("s0"), F.col("end_ms").alias("e0"))
     right = diarization.select("source_id", "dseq", "speaker", F.col("start_ms").alias("s1"), F.col("end_ms").alias("e1"))
-    keys = ["source_id"]
     begins = F.greatest("s0", "s1")
-    if bucket_ms:
-        spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket_ms), F.floor(F.greatest(F.col(a), F.col(b)) / bucket_ms)))
-        left = left.withColumn("bucket", spread("s0", "e0"))
-        right = right.withColumn("bucket", spread("s1", "e1"))
-        keys = ["source_id", "bucket"]
-    met = left.join(right, keys).filter((F.col("s0") < F.col("e1")) & (F.col("e0") > F.col("s1")))
-    if bucket_ms:
-        met = met.filter(F.col("bucket") == F.floor(begins / bucket_ms))
+    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket_ms), F.floor(F.greatest(F.col(a), F.col(b)) / bucket_ms)))
+    met = left.withColumn("bucket", spread("s0", "e0")).join(right.withColumn("bucket", spread("s1", "e1")), ["source_id", "bucket"])
+    met = met.filter((F.col("s0") < F.col("e1")) & (F.col("e0") > F.col("s1")) & (F.col("bucket") == F.floor(begins / bucket_ms)))
     return met.select("source_id", "seq", "dseq", "speaker", (F.least("e0", "e1") - begins).alias("overlap_ms")).filter("overlap_ms > 0")
 
 
-def overlap_by_speaker(segments: DataFrame, diarization: DataFrame, bucket_ms: int | None = None) -> DataFrame:
+def overlap_by_speaker(segments: DataFrame, diarization: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     met = overlaps(segments, diarization, bucket_ms)
     return met.groupBy("source_id", "seq", "speaker").agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("dseq").alias("first_dseq"))
 
 
-def dominant(segments: DataFrame, diarization: DataFrame, bucket_ms: int | None = None) -> DataFrame:
+def dominant(segments: DataFrame, diarization: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Segments with the speaker of the largest overlap, the one met first on a tie; null without any."""
     best = overlap_by_speaker(segments, diarization, bucket_ms).groupBy("source_id", "seq").agg(F.max(F.struct("overlap_ms", (-F.col("first_dseq")).alias("d"), "speaker")).alias("m"))
     return segments.join(best.select("source_id", "seq", F.col("m.speaker").alias("speaker")), ["source_id", "seq"], "left")

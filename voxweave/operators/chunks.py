@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,29 +32,45 @@ def quiet_spans(rows: DataFrame, at: str, quiet: Column, tie: str, least: int) -
     return spans.filter(F.col("n_rows") >= least).drop("island")
 
 
+def cuts_of(total_ms: int, gaps: list[tuple[int, int]], plan: ChunkPlan) -> list[int]:
+    """The cuts of one source from its silences in order of their starts.
+
+    A silence is near a target if it reaches into the window around it. Those that begin before the window's end
+    are found by their starts, those that end after its start by the largest end up to each, so that a step looks at
+    little more than what lies in its window.
+    """
+    starts = [a for a, _ in gaps]
+    reach = list(accumulate((b for _, b in gaps), max))
+    cursor, cuts = 0, []
+    while cursor + plan.target_ms < total_ms:
+        near = cursor + plan.target_ms
+        begin, stop = bisect_right(reach, near - plan.window_ms), bisect_left(starts, near + plan.window_ms)
+        best = max(((b - a, -k) for k, (a, b) in enumerate(gaps[begin:stop], begin) if b > near - plan.window_ms), default=None)
+        middle = sum(gaps[-best[1]]) // 2 if best else -1
+        cursor = middle if middle > cursor else cursor + plan.hard_ms
+        if cursor < total_ms:
+            cuts.append(cursor)
+    return cuts
+
+
 def cut_points(totals: DataFrame, silences: DataFrame, plan: ChunkPlan) -> DataFrame:
     """source_id, total_ms, cuts: at the middle of the longest silence near each target, or hard at the maximum.
 
-    Cuts follow one from another, so each source folds over its own silences. A silence whose middle does
-    not lie beyond the last cut counts as none, and a cut at or past the end is dropped; both keep the fold
-    within one step per silence and per maximal length.
+    Cuts follow one from another, so a source's silences are taken in order, sources side by side. A silence whose
+    middle does not lie beyond the last cut counts as none, and a cut at or past the end is dropped.
     """
     lists = silences.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("_gaps"))
-    rows = totals.join(lists, "source_id", "left").withColumn("_gaps", F.coalesce("_gaps", F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>")))
-    steps = F.sequence(F.lit(1).cast("long"), F.size("_gaps") + F.ceil(F.col("total_ms") / plan.hard_ms) + 1)
-
-    def step(acc: Column, _: Column) -> Column:
-        near = acc.cursor + plan.target_ms
-        ranked = F.transform("_gaps", lambda g, i: F.struct((g.end_ms - g.start_ms).alias("size"), (-i).alias("order"), g.start_ms.alias("a"), g.end_ms.alias("b")))
-        best = F.array_max(F.filter(ranked, lambda g: (g.a < near + plan.window_ms) & (g.b > near - plan.window_ms)))
-        middle = F.floor((best.a + best.b) / 2)
-        cut = F.when(middle > acc.cursor, middle).otherwise(acc.cursor + plan.hard_ms)
-        cut = F.when(near < F.col("total_ms"), cut).otherwise(F.col("total_ms"))
-        more = F.when(cut < F.col("total_ms"), F.concat(acc.cuts, F.array(cut))).otherwise(acc.cuts)
-        return F.struct(F.least(cut, F.col("total_ms")).alias("cursor"), more.alias("cuts"))
-
-    start = F.struct(F.lit(0).cast("long").alias("cursor"), F.array().cast("array<bigint>").alias("cuts"))
-    return rows.select("source_id", "total_ms", F.aggregate(steps, start, step, lambda acc: acc.cuts).alias("cuts"))
+    rows = totals.select("source_id", "total_ms").join(lists, "source_id", "left")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [cuts_of(total or 0, [(g["start_ms"], g["end_ms"]) for g in gaps or ()], plan) for total, gaps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["source_id", "total_ms", "cuts"])
+
+    kind = rows.schema["source_id"].dataType.simpleString()
+    return rows.withColumn("total_ms", F.col("total_ms").cast("long")).mapInArrow(cut, f"source_id {kind}, total_ms long, cuts array<long>")
 
 
 def boundaries(cuts: DataFrame, plan: ChunkPlan) -> DataFrame:

@@ -11,6 +11,8 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxweave.functions.text import word_list
+
 #: Words of each side of a boundary that are compared, and the likeness from which they count as the same.
 EDGE_WORDS, LIKENESS = 30, 0.82
 
@@ -30,7 +32,7 @@ def without_start_overlap(moved: DataFrame) -> DataFrame:
 
 def edge_words(moved: DataFrame, n: int = EDGE_WORDS) -> DataFrame:
     """source_id, idx, head, tail: first and last n words of each chunk, in lower case."""
-    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: F.regexp_extract_all(s.text, F.lit(r"\S+"), F.lit(0))))
+    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: word_list(s.text)))
     rows = moved.groupBy("source_id", "idx").agg(words.alias("w"))
     tail = F.slice("w", F.greatest(F.lit(1), F.size("w") - n + 1), n)
     return rows.select("source_id", "idx", F.lower(F.array_join(F.slice("w", 1, n), " ")).alias("head"), F.lower(F.array_join(tail, " ")).alias("tail"))
@@ -40,6 +42,26 @@ def likeness(a: str, b: str, autojunk: bool = True) -> float:
     return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by the bits of one integer."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    rest = every
+    for c in b:
+        taken = rest & places.get(c, 0)
+        rest = (rest + taken | rest - taken) & every
+    return len(a) - rest.bit_count()
+
+
+def alike(a: str, b: str, autojunk: bool = True) -> bool:
+    """Whether the likeness reaches LIKENESS. Matching blocks are a common subsequence, whose longest length is an upper bound, and soon found."""
+    if 2 * common_length(a, b) < LIKENESS * (len(a) + len(b)):
+        return False
+    return likeness(a, b, autojunk) >= LIKENESS
+
+
 def reassembled(results: DataFrame, chunks: DataFrame, autojunk: bool = True) -> DataFrame:
     """The merged segments: source_id, seq (from 0), idx, start_ms, end_ms, text, confidence.
 
@@ -56,7 +78,7 @@ def reassembled(results: DataFrame, chunks: DataFrame, autojunk: bool = True) ->
         out, tail = [], []
         for _, part in pdf.sort_values(["idx", "seq"]).groupby("idx", sort=True):
             head = " ".join(" ".join(t.strip() for t in part.text).split()[:EDGE_WORDS]).lower()
-            if tail and head and likeness(" ".join(tail).lower(), head, autojunk) >= LIKENESS:
+            if tail and head and alike(" ".join(tail).lower(), head, autojunk):
                 rest = part[part.start_ms >= part.overlap_end_ms]
                 part = rest if len(rest) else part
             tail = (tail + " ".join(t.strip() for t in part.text).split())[-EDGE_WORDS:]
