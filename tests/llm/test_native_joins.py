@@ -1,10 +1,12 @@
 """Decontamination and licence scans against DuckDB, and on awkward rows."""
 
+import re
+
 import duckdb
 import pytest
 
 from tests.llm import cases
-from voxweave.llm import decontaminate, licenses
+from voxweave.llm import decontaminate, licenses, tables
 from voxweave.llm.tables import table
 
 SF = "/root/testdata/sf0.01"
@@ -32,9 +34,9 @@ def test_decontamination_table(spark):
     assert ours == oracle(decontaminate.SQL) and len(ours[1]) > 5
 
 
-@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
-def test_decontamination_cases(spark, monkeypatch, rows):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+@pytest.mark.parametrize("limit", [tables.BROADCAST_BYTES, 0])
+def test_decontamination_cases(spark, monkeypatch, limit):
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", limit)
     docs = cases.frame(spark, extra=True)
     items = spark.createDataFrame(
         [(1, "quick brown FOX jumps over the lazy dog. a"), (2, None), (3, ""), (4, "word"), (5, "more words"), (6, "a b c d e f g h"), (7, "not there at all, is it"), (8, "a b c d e f g h"), (9, "jumps over the lazy dog. but then not much else here")],
@@ -48,9 +50,9 @@ def test_decontamination_cases(spark, monkeypatch, rows):
     assert decontaminate.op8_decontaminate(docs, items.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
-def test_decontamination_without_ids(spark, monkeypatch, rows):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+@pytest.mark.parametrize("limit", [tables.BROADCAST_BYTES, 0])
+def test_decontamination_without_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", limit)
     a, b, c = "one two three four five six", "red green blue black white grey", "up down left right in out"
     docs = spark.createDataFrame([(None, "x " + a), (None, c + " y"), (1, "z " + b), (2, "nothing at all of these items")], "doc_id long, text string")
     items = spark.createDataFrame([(None, b), (1, a), (2, c), (3, "not in any of these documents")], "item_id long, text string")
@@ -86,5 +88,33 @@ def test_licenses_cases(spark):
     assert licenses.op9_licenses(docs.union(docs)).count() == 2 * licenses.op9_licenses(docs).count()
 
 
+def test_known_texts_inside_longer_ones(spark):
+    """Licences with blank lines, in the middle of other text, with their own copyright lines and spellings."""
+    by = {}
+    for name, text in licenses.KNOWN:
+        by.setdefault(name, []).append(text)
+    rows, want = [], set()
+    for k, (name, texts) in enumerate(sorted(by.items())):
+        text = max(texts, key=len)
+        inside = "Some words.\n\nCopyright (c) 2021 A. Body\n\n" + re.sub(r"\blicense\b", "licence", text) + "\n \nAnd more words."
+        rows.append((k, inside))
+        want.add((k, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.op9_licenses(docs).collect()
+    assert {(r.doc_id, r.license) for r in found} == want
+    assert all(r.place in (2, 3) for r in found if r.scope == "blocks")  # with its heading, and without
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    theirs = con.sql(licenses.SQL).fetchall()
+    assert sorted(theirs) == sorted((r.doc_id, r.scope, r.place, r.license, r.digest) for r in found)
+
+
+def test_anchors_of_other_texts(spark):
+    texts = [("own", "Use it for zymurgy only.")]
+    docs = spark.createDataFrame([(1, "use it for ZYMURGY only"), (2, "x")], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan(docs, texts).filter("scope = 'text'").collect()] == [(1, "own")]
+    assert [r.doc_id for r in licenses.scan(docs, [("odd", "Ξ")]).collect()] == []
+
+
 def test_every_known_text_has_an_anchor():
-    assert all(any(a in text.lower() for a in licenses.ANCHORS) for _, text in licenses.KNOWN)
+    assert all(any(a in text.lower() for a in licenses.anchors()) for _, text in licenses.KNOWN)
