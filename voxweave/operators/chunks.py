@@ -80,3 +80,10 @@ def boundaries(cuts: DataFrame, plan: ChunkPlan) -> DataFrame:
     rows = rows.withColumn("end_ms", F.lead("start_ms").over(Window.partitionBy("source_id").orderBy("idx"))).filter("end_ms is not null")
     padded_start, padded_end = F.greatest(F.lit(0), F.col("start_ms") - plan.overlap_ms), F.least("total_ms", F.col("end_ms") + plan.overlap_ms)
     return rows.select("source_id", F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms", (F.col("start_ms") - padded_start).cast("long").alias("overlap_start_ms"), (padded_end - F.col("end_ms")).cast("long").alias("overlap_end_ms"))
+
+
+def chunk_name(source: Column, idx: Column) -> Column:
+    """The file name of a piece: its source's stem and its number, of three digits at least."""
+    stem = F.regexp_replace(F.regexp_extract(source, r"([^/]+)$", 1), r"\.[^.]*$", "")
+    number = F.when(idx < 1000, F.lpad(idx.cast("string"), 3, "0")).otherwise(idx.cast("string"))
+    return F.concat(stem, F.lit("_chunk"), number, F.lit(".wav"))

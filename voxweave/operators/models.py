@@ -7,7 +7,9 @@ part of this package: they cut the signal by loudness alone, always in the same
 
 from __future__ import annotations
 
+import hashlib
 import math
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
@@ -15,6 +17,8 @@ from typing import Protocol, runtime_checkable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: One row per file; segments as in SEGMENTS, without the source.
+ATTEMPTS = "source_id string, status string, error string, elapsed_s double, segments array<struct<seq: bigint, start_ms: bigint, end_ms: bigint, text: string, confidence: double>>"
 SEGMENTS = "source_id string, seq long, start_ms long, end_ms long, text string, confidence double"
 INTERVALS = "source_id string, dseq long, speaker string, start_ms long, end_ms long"
 _made: dict[object, object] = {}
@@ -72,44 +76,78 @@ class AlternatingDiarizer:
             yield f"SPEAKER_{k % (num_speakers or 2):02d}", a, b
 
 
-def _model(factory: Callable[[], object]) -> object:
-    key = getattr(factory, "__qualname__", factory)
+#: Engines by name.
+ENGINES: dict[str, Callable[[], Transcriber]] = {"loudness": LoudnessTranscriber}
+DIARIZERS: dict[str, Callable[[], Diarizer]] = {"alternating": AlternatingDiarizer}
+
+
+def _key(factory: Callable[[], object]) -> str:
+    """What tells a factory from others: its code and all that it holds, not only its name."""
+    from pyspark import cloudpickle
+
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def _model(factory: Callable[[], object], key: str) -> object:
     if key not in _made:
         _made[key] = factory()
     return _made[key]
 
 
-def transcribed(files: DataFrame, factory: Callable[[], Transcriber] = LoudnessTranscriber) -> DataFrame:
-    """files: path, content -> the segments of each, source_id being the path."""
+def attempted(files: DataFrame, factory: Callable[[], Transcriber] = LoudnessTranscriber) -> DataFrame:
+    """files: path, content -> ATTEMPTS: status DONE, or FAILED with the error; a file that fails leaves the others alone. Halted ends the job."""
+    key = _key(factory)
 
     def rows(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        from voxweave.operators.halt import Halted
+
+        segment = pa.struct([("seq", pa.int64()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("text", pa.string()), ("confidence", pa.float64())])
+        schema = pa.schema([("source_id", pa.string()), ("status", pa.string()), ("error", pa.string()), ("elapsed_s", pa.float64()), ("segments", pa.list_(segment))])
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                began, error, segments = time.perf_counter(), None, []
+                path = path.as_py()
+                try:
+                    for seq, s in enumerate(_model(factory, key).transcribe(path, content.as_py())):
+                        segments.append({"seq": seq, "start_ms": s.start_ms, "end_ms": s.end_ms, "text": s.text, "confidence": round(min(1.0, max(0.0, math.exp(s.avg_logprob))), 4)})
+                except Halted:
+                    raise
+                except Exception as e:  # whatever a file or an engine leads to
+                    error, segments = f"{type(e).__name__}: {e}", []
+                row = {"source_id": path, "status": "FAILED" if error else "DONE", "error": error, "elapsed_s": time.perf_counter() - began, "segments": segments}
+                yield pa.RecordBatch.from_pylist([row], schema)
 
-        model = _model(factory)
-        for pdf in batches:
-            out = [
-                (path, seq, s.start_ms, s.end_ms, s.text, round(min(1.0, max(0.0, math.exp(s.avg_logprob))), 4))
-                for path, content in zip(pdf.path, pdf.content)
-                for seq, s in enumerate(model.transcribe(path, content))
-            ]
-            yield pd.DataFrame(out, columns=["source_id", "seq", "start_ms", "end_ms", "text", "confidence"])
+    return files.select("path", "content").mapInArrow(rows, ATTEMPTS)
 
-    return files.select("path", "content").mapInPandas(rows, SEGMENTS)
+
+def segments_of(attempts: DataFrame) -> DataFrame:
+    """SEGMENTS of the attempts that are DONE."""
+    rows = attempts.filter("status = 'DONE'").select("source_id", F.explode("segments").alias("s"))
+    return rows.select("source_id", "s.seq", "s.start_ms", "s.end_ms", "s.text", "s.confidence")
+
+
+def transcribed(files: DataFrame, factory: Callable[[], Transcriber] = LoudnessTranscriber) -> DataFrame:
+    """files: path, content -> the segments of each, source_id being the path; files that fail have none (see attempted)."""
+    return segments_of(attempted(files, factory))
 
 
 def diarized(files: DataFrame, factory: Callable[[], Diarizer] = AlternatingDiarizer, num_speakers: int | None = None) -> DataFrame:
-    """files: path, content -> the speaker intervals of each in order of their start."""
+    """files: path, content -> the speaker intervals of each in order of their start; files that can't be decoded have none."""
+    key = _key(factory)
 
     def rows(batches):
-        import pandas as pd
-
-        model = _model(factory)
-        for pdf in batches:
-            out = [
-                (path, k, speaker, a, b)
-                for path, content in zip(pdf.path, pdf.content)
-                for k, (speaker, a, b) in enumerate(sorted(model.diarize(path, content, num_speakers), key=lambda x: x[1]))
-            ]
-            yield pd.DataFrame(out, columns=["source_id", "dseq", "speaker", "start_ms", "end_ms"])
-
-    return files.select(F.col("path"), F.col("content")).mapInPandas(rows, INTERVALS)
+        import pyarrow as pa
+
+        from voxweave.sources.audio import _error
+
+        schema = pa.schema([("source_id", pa.string()), ("dseq", pa.int64()), ("speaker", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64())])
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                data = content.as_py()
+                if _error(data) is None:
+                    found = sorted(_model(factory, key).diarize(path.as_py(), data, num_speakers), key=lambda x: x[1])
+                    yield pa.RecordBatch.from_pylist([{"source_id": path.as_py(), "dseq": k, "speaker": speaker, "start_ms": a, "end_ms": b} for k, (speaker, a, b) in enumerate(found)], schema)
+
+    return files.select(F.col("path"), F.col("content")).mapInArrow(rows, INTERVALS)

@@ -90,6 +90,22 @@ def reassembled(results: DataFrame, chunks: DataFrame, autojunk: bool = True) ->
     return kept.groupBy("source_id").applyInPandas(merged, f"source_id {kept.schema['source_id'].dataType.simpleString()}, seq long, idx long, start_ms long, end_ms long, text string, confidence double")
 
 
+def headers(chunks: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """source_id, language, duration_ms, source: the end of a source's last chunk, and the language of its first result (languages: source_id, idx, language); es without one."""
+    ends = chunks.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms"))
+    if languages is None:
+        return ends.select("source_id", F.lit("es").alias("language"), "duration_ms", F.col("source_id").cast("string").alias("source"))
+    first = languages.groupBy("source_id").agg(F.min_by("language", "idx").alias("language"))
+    return ends.join(first, "source_id", "left").select("source_id", F.coalesce("language", F.lit("es")).alias("language"), "duration_ms", F.col("source_id").cast("string").alias("source"))
+
+
+def matched(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunks, if each has a result (source_id, idx), which may have no segments; else an error when it is read."""
+    have = results.select("source_id", "idx").distinct().withColumn("_has", F.lit(True))
+    rows = chunks.join(have, ["source_id", "idx"], "left")
+    return rows.filter(F.when(F.col("_has").isNull(), F.raise_error(F.lit("a chunk has no result")).cast("boolean")).otherwise(F.lit(True))).drop("_has")
+
+
 def concatenated(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """The merge before words are compared: all kept segments in order."""
     kept = without_start_overlap(shifted(results, chunks))

@@ -92,6 +92,29 @@ def preview(turned: DataFrame, most: int = 5, length: int = 120) -> DataFrame:
     return rows.select("source_id", "turn_index", line.alias("line"), F.greatest(F.lit(0), F.col("n") - most).cast("long").alias("more_turns"))
 
 
+def segment_lines(segments: DataFrame) -> DataFrame:
+    """source_id, seq, line: a segment with its speaker (if it has one), times, confidence and text."""
+    speaker = F.when(F.length("speaker") > 0, F.concat(F.lit("["), "speaker", F.lit("] "))).otherwise(F.lit("")) if "speaker" in segments.columns else F.lit("")
+    times = F.format_string("[%.1fs → %.1fs] (%.0f%%) ", F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0, F.col("confidence") * 100)
+    return segments.select("source_id", "seq", F.concat(speaker, times, stripped(F.col("text"))).alias("line"))
+
+
+def turn_lines(turned: DataFrame, length: int = 80) -> DataFrame:
+    """source_id, turn_index, line: a turn with its speaker and times, its text cut to a length."""
+    times = F.format_string("%.1fs–%.1fs: ", F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0)
+    return turned.select("source_id", "turn_index", F.concat(F.lit("["), "speaker", F.lit("] "), times, F.substring("text", 1, length)).alias("line"))
+
+
+def summaries(segments: DataFrame, results: DataFrame) -> DataFrame:
+    """source_id, line: language, duration, number of segments and mean confidence of each source."""
+    n = segments.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("m"))
+    rows = results.join(n, "source_id", "left")
+    line = F.format_string("language=%s, duration=%.1fs, segments=%d, avg_confidence=%.0f%%", "language", F.col("duration_ms") / 1000.0, F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0.0)) * 100)
+    return rows.select("source_id", line.alias("line"))
+
+
+#: Of turns and results, where the others are of segments.
+OF_TURNS = ("transcript.json", "transcript.txt")
 #: Suffixes by format name, without regard to case.
 FORMATS = {".txt": plain, ".json": raw_json, ".srt": srt, "transcript.json": turn_json, "transcript.txt": turn_text}
 
@@ -104,7 +127,7 @@ def renderer(name: str):
 
 
 def write(rendered: DataFrame, folder: str, ext: str) -> int:
-    """Writes each body to folder/source_id + ext, on the executors; JSON is indented. The number of files.
+    """Writes each body (text or bytes) to folder/source_id + ext, on the executors; JSON is indented. The number of files.
 
     The folder must be one that all executors reach by its path. A file appears under its name only when whole.
     """
@@ -116,9 +139,9 @@ def write(rendered: DataFrame, folder: str, ext: str) -> int:
         for pdf in batches:
             for source, body in zip(pdf.source_id, pdf.body, strict=True):
                 path = os.path.join(folder, f"{source}{ext}")
-                text = json.dumps(json.loads(body), ensure_ascii=False, indent=2) if ext.endswith("json") else body
-                with open(f"{path}.tmp-{os.getpid()}", "w", encoding="utf-8") as out:
-                    out.write(text)
+                data = body if isinstance(body, bytes) else (json.dumps(json.loads(body), ensure_ascii=False, indent=2) if ext.endswith("json") else body).encode()
+                with open(f"{path}.tmp-{os.getpid()}", "wb") as out:
+                    out.write(data)
                 os.replace(f"{path}.tmp-{os.getpid()}", path)
             yield pd.DataFrame({"n": [len(pdf)]})
 

@@ -52,3 +52,13 @@ def look_up(asked: DataFrame, names: DataFrame) -> DataFrame:
     keyed = names.select("name", name_key(F.col("name")).alias("_key"))
     single = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias("name")).filter("_n = 1 and _key <> ''")
     return asked.withColumn("_key", name_key(F.col("asked"))).join(single, "_key").select("asked", "name")
+
+
+def completed(done: DataFrame) -> DataFrame:
+    """source_id, idxs: the numbers of the completed units, each once, ascending."""
+    return done.groupBy("source_id").agg(F.sort_array(F.collect_set("idx")).alias("idxs"))
+
+
+def real_time_factor(audio_s, elapsed_s):
+    """Seconds of audio for each second of work, 0 for no work; of columns."""
+    return F.when(elapsed_s > 0, audio_s / elapsed_s).otherwise(F.lit(0.0))

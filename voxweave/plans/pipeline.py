@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from voxweave.functions.text import stripped
 from voxweave.operators import align, chunks, models, reassemble, render, resume
+from voxweave.shared import saved
 from voxweave.sources import audio
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content of the WAV files under a folder. Other audio needs a decoder that this package does not have."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def read(spark: SparkSession, folder: str, batch: bool = True) -> DataFrame:
+    """path, content of the WAV files under a folder (batch), or of one file. Other audio needs a decoder that this package does not have."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(batch).lower()).load(folder)
     return files.filter(F.lower("path").endswith(".wav")).select("path", "content")
 
 
@@ -30,28 +31,28 @@ def plan_chunks(files: DataFrame, plan: chunks.ChunkPlan, least_ms: int = 800, d
 
 
 def cut(files: DataFrame, pieces: DataFrame) -> DataFrame:
-    """path, idx and content of each piece with its padding, as WAV at audio.RATE."""
+    """path, idx and content of each piece with its padding, as WAV at audio.RATE. A file is decoded once for all its pieces."""
 
     def rows(batches):
-        import io
-        import wave
+        import pyarrow as pa
 
-        import numpy as np
-        import pandas as pd
+        schema = pa.schema([("path", pa.string()), ("idx", pa.int64()), ("content", pa.binary())])
+        for batch in batches:
+            for path, content, found in zip(*batch.columns, strict=True):
+                x = audio.samples(content.as_py())
+                for p in found.as_py():
+                    some = audio.encoded(x[max(0, p["a"]) * audio.RATE // 1000 : p["b"] * audio.RATE // 1000])
+                    yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "idx": p["idx"], "content": some}], schema)
 
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                x = audio.samples(r.content)[max(0, r.a) * audio.RATE // 1000 : r.b * audio.RATE // 1000]
-                f = io.BytesIO()
-                with wave.open(f, "wb") as w:
-                    w.setnchannels(1), w.setsampwidth(2), w.setframerate(audio.RATE)
-                    w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
-                out.append((r.path, r.idx, f.getvalue()))
-            yield pd.DataFrame(out, columns=["path", "idx", "content"])
+    span = F.struct("idx", (F.col("start_ms") - F.col("overlap_start_ms")).alias("a"), (F.col("end_ms") + F.col("overlap_end_ms")).alias("b"))
+    lists = pieces.groupBy(F.col("source_id").alias("path")).agg(F.sort_array(F.collect_list(span)).alias("pieces"))
+    return files.select("path", "content").join(lists, "path").select("path", "content", "pieces").mapInArrow(rows, "path string, idx long, content binary")
 
-    span = pieces.select(F.col("source_id").alias("path"), "idx", (F.col("start_ms") - F.col("overlap_start_ms")).alias("a"), (F.col("end_ms") + F.col("overlap_end_ms")).alias("b"))
-    return files.join(span, "path").select("path", "idx", "a", "b", "content").mapInPandas(rows, "path string, idx long, content binary")
+
+def keep_chunks(files: DataFrame, pieces: DataFrame, folder: str) -> int:
+    """Writes each piece as a WAV file into a folder that all executors reach; the number of files."""
+    named = cut(files, pieces).select(chunks.chunk_name(F.col("path"), F.col("idx")).alias("source_id"), F.col("content").alias("body"))
+    return render.write(named, folder, "")
 
 
 def transcribe_chunked(files: DataFrame, plan: chunks.ChunkPlan, transcriber: Callable[[], models.Transcriber] = models.LoudnessTranscriber, done: DataFrame | None = None, least_ms: int = 800) -> DataFrame:
@@ -80,11 +81,26 @@ def results(segments: DataFrame, language: str = "es") -> DataFrame:
     return segments.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms")).select("source_id", F.lit(language).alias("language"), "duration_ms", F.col("source_id").alias("source"))
 
 
-def export(segments: DataFrame, folder: str, formats: list[str], stem: Callable = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/]+)$", 1), r"\.[^.]*$", "")) -> dict[str, int]:
-    """Writes raw formats (.txt, .json, .srt) of each source under its file's name; files by format."""
-    out, head = {}, results(segments)
+STEM = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/]+)$", 1), r"\.[^.]*$", "")
+
+
+def export(segments: DataFrame, folder: str, formats: list[str], stem: Callable = STEM, turned: DataFrame | None = None, head: DataFrame | None = None) -> dict[str, int]:
+    """Writes formats of each source under its file's name; files by format.
+
+    Raw formats are of segments, those of render.OF_TURNS of turned, which they need. The tables are written to the shared
+    folder first, so that models run once, however many formats there are.
+    """
+    segments = saved(segments)
+    head = saved(results(segments) if head is None else head)
+    turned = saved(turned) if turned is not None else None
+    out = {}
     for name in formats:
         make = render.renderer(name)
-        rendered = make(segments, head) if make is render.raw_json else make(segments)
-        out[name] = render.write(rendered.withColumn("source_id", stem(F.col("source_id"))), folder, name)
+        if name.lower() in render.OF_TURNS:
+            if turned is None:
+                raise ValueError(f"{name} needs turns")
+            rendered = make(turned, head)
+        else:
+            rendered = make(segments, head) if make is render.raw_json else make(segments)
+        out[name] = render.write(rendered.withColumn("source_id", stem(F.col("source_id"))), folder, name if name.startswith(".") else f".{name}")
     return out

@@ -13,22 +13,28 @@ from voxweave.functions.text import suffix
 
 #: Suffixes that are taken for audio.
 SUFFIXES = (".mp3", ".wav", ".m4a", ".flac", ".ogg", ".opus", ".aac", ".wma")
+#: Those that a batch takes.
+BATCH_SUFFIXES = tuple(x for x in SUFFIXES if x != ".wma")
 RATE = 16_000
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
+def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """path, length of the audio files under a folder, by path; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.filter(suffix(F.col("path")).isin(*SUFFIXES)).select("path", "length").orderBy("path")
+    return files.filter(suffix(F.col("path")).isin(*suffixes)).select("path", "length").orderBy("path")
 
 
 def samples(content: bytes, rate: int = RATE) -> np.ndarray:
     """Mono samples from -1 to 1 at the given rate, by linear interpolation."""
     with wave.open(io.BytesIO(content)) as f:
         width, channels, had, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
-    kind = {1: "u1", 2: "<i2", 4: "<i4"}[width]
-    x = np.frombuffer(raw, kind).astype("f8")
-    x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
+    if width == 3:  # put above an empty byte, so that the sign is in its place
+        wide = np.zeros((len(raw) // 3, 4), "u1")
+        wide[:, 1:] = np.frombuffer(raw, "u1").reshape(-1, 3)
+        x = wide.view("<i4").ravel() / float(1 << 31)
+    else:
+        x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype("f8")
+        x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
     x = x.reshape(-1, channels).mean(axis=1)
     if had != rate and len(x):
         x = np.interp(np.arange(int(len(x) * rate / had)) * had / rate, np.arange(len(x)), x)
@@ -51,27 +57,75 @@ def silent_spans(x: np.ndarray, rate: int = RATE, least_ms: int = 800, dbfs: flo
     return [(int(a), int(b) + least_ms) for a, b in zip(firsts, lasts)]
 
 
+def encoded(x: np.ndarray, rate: int = RATE) -> bytes:
+    """Samples as a WAV file of 16 bits."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def prepared(content: bytes, rate: int = RATE) -> bytes:
+    """The file itself if it is mono of the rate and 16 bits, else its samples as such a file."""
+    with wave.open(io.BytesIO(content)) as f:
+        if (f.getsampwidth(), f.getnchannels(), f.getframerate()) == (2, 1, rate):
+            return content
+    return encoded(samples(content, rate), rate)
+
+
+def readable(files: DataFrame) -> DataFrame:
+    """path and error (null if the content can be decoded) of each file."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            errors = pa.array([_error(c.as_py()) for c in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), errors], names=["path", "error"])
+
+    return files.select("path", "content").mapInArrow(rows, "path string, error string")
+
+
+def _error(content: bytes) -> str | None:
+    try:
+        samples(content, RATE)
+    except Exception as e:  # whatever a damaged file leads to
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
+def _each(batches, rate: int):
+    """path and samples of each file that can be decoded, one at a time."""
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            data = content.as_py()
+            if _error(data) is None:
+                yield path.as_py(), samples(data, rate)
+
+
 def decoded(files: DataFrame, rate: int = RATE) -> DataFrame:
-    """files: path, content -> path, n_samples, duration_s, rms."""
+    """files: path, content -> path, n_samples, duration_s, rms; files that can't be decoded are left out (see readable)."""
 
     def rows(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            xs = [samples(c, rate) for c in pdf.content]
-            yield pd.DataFrame({"path": pdf.path, "n_samples": [len(x) for x in xs], "duration_s": [len(x) / rate for x in xs], "rms": [float(np.sqrt(np.mean(x**2))) if len(x) else 0.0 for x in xs]})
+        schema = pa.schema([("path", pa.string()), ("n_samples", pa.int64()), ("duration_s", pa.float64()), ("rms", pa.float64())])
+        for path, x in _each(batches, rate):
+            row = {"path": path, "n_samples": len(x), "duration_s": len(x) / rate, "rms": float(np.sqrt(np.mean(x**2))) if len(x) else 0.0}
+            yield pa.RecordBatch.from_pylist([row], schema)
 
-    return files.select("path", "content").mapInPandas(rows, "path string, n_samples long, duration_s double, rms double")
+    return files.select("path", "content").mapInArrow(rows, "path string, n_samples long, duration_s double, rms double")
 
 
 def silences(files: DataFrame, least_ms: int = 800, dbfs: float = -40.0) -> DataFrame:
     """files: path, content -> path, start_ms, end_ms."""
 
     def rows(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            found = [(p, a, b) for p, c in zip(pdf.path, pdf.content) for a, b in silent_spans(samples(c), RATE, least_ms, dbfs)]
-            yield pd.DataFrame(found, columns=["path", "start_ms", "end_ms"])
+        schema = pa.schema([("path", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64())])
+        for path, x in _each(batches, RATE):
+            yield pa.RecordBatch.from_pylist([{"path": path, "start_ms": a, "end_ms": b} for a, b in silent_spans(x, RATE, least_ms, dbfs)], schema)
 
-    return files.select("path", "content").mapInPandas(rows, "path string, start_ms long, end_ms long")
+    return files.select("path", "content").mapInArrow(rows, "path string, start_ms long, end_ms long")

@@ -16,6 +16,19 @@ SEGMENT = "struct<start: double, end: double, text: string, confidence: double,
 RESULT = f"struct<language: string, duration: double, segments: array<{SEGMENT}>>"
 DOCUMENT = f"struct<version: int, source: string, source_size_bytes: bigint, total_chunks: int, completed_chunks: array<int>, created_at: string, updated_at: string, chunk_results: map<string, {RESULT}>>"
 TABLE = f"source_id string, source_size_bytes bigint, total_chunks int, version int, idx int, result {RESULT}"
+#: Finished transcripts that wait for their speakers.
+STAGE = "source_id string, source_size_bytes bigint, version int, segments array<struct<seq: bigint, start_ms: bigint, end_ms: bigint, text: string, confidence: double>>"
+
+
+def append_stage(transcripts: DataFrame, path: str) -> None:
+    """Adds finished transcripts (source_id, source_size_bytes, segments) to the stage checkpoint at path."""
+    transcripts.withColumn("version", F.lit(VERSION)).select("source_id", "source_size_bytes", "version", "segments").write.mode("append").parquet(path)
+
+
+def load_stage(spark: SparkSession, path: str, now: DataFrame) -> DataFrame:
+    """The transcripts at path whose sources still have their size (now: source_id, source_size_bytes)."""
+    rows = spark.read.schema(STAGE).parquet(path).filter(F.col("version") == VERSION)
+    return rows.join(now.select("source_id", "source_size_bytes"), ["source_id", "source_size_bytes"], "left_semi").dropDuplicates(["source_id"])
 
 
 def append(results: DataFrame, path: str) -> None:

@@ -1,7 +1,8 @@
 """Extensions over streams; the batch operators' rules hold, rows arriving in order within a source.
 
 ``labelled_stream`` carries the last speaker forward over micro-batches, with one small state per source.
-``closed_turns`` gives each turn when the next speaker begins. ``sessions`` groups events by gaps.
+``closed_turns`` gives each turn when the next speaker begins, or when its source has been still for a while.
+``sessions`` groups events by gaps.
 """
 
 from __future__ import annotations
@@ -34,27 +35,35 @@ def labelled_stream(segments: DataFrame) -> DataFrame:
     return rows.groupBy("source_id").applyInPandasWithState(step, "source_id long, seq long, speaker string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def closed_turns(segments: DataFrame) -> DataFrame:
-    """source_id, seq, speaker, start_ms, end_ms, text (labelled) -> a turn whenever the speaker changes; the last one stays open."""
+def closed_turns(segments: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """source_id, seq, speaker, start_ms, end_ms, text (labelled) -> a turn whenever the speaker changes; the last one when no row has come for idle_ms, else it stays open."""
 
     def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
         held = state.get if state.exists else None  # turn_index, speaker, start, end, text
         out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if held and held[1] == r.speaker:
-                held = (*held[:3], r.end_ms, f"{held[4]} {r.text.strip()}")
-            else:
-                if held:
-                    out.append((key[0], *held))
-                held = (held[0] + 1 if held else 0, r.speaker, r.start_ms, r.end_ms, r.text.strip())
-        state.update(held)
+        if state.hasTimedOut:
+            # the next turn's number is kept, with a speaker that none has
+            out.append((key[0], *held))
+            state.update((held[0], None, held[2], held[3], ""))
+        else:
+            for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+                if held and held[1] == r.speaker:
+                    held = (*held[:3], r.end_ms, f"{held[4]} {r.text.strip()}")
+                else:
+                    if held and held[1] is not None:
+                        out.append((key[0], *held))
+                    held = (held[0] + 1 if held else 0, r.speaker, r.start_ms, r.end_ms, r.text.strip())
+            state.update(held)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["source_id", "turn_index", "speaker", "start_ms", "end_ms", "text"])
 
     rows = segments.select("source_id", "seq", "speaker", "start_ms", "end_ms", "text")
     shape = "turn_index long, speaker string, start_ms long, end_ms long, text string"
-    return rows.groupBy("source_id").applyInPandasWithState(step, f"source_id long, {shape}", shape, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("source_id").applyInPandasWithState(step, f"source_id long, {shape}", shape, "append", timeout)
 
 
 def sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
