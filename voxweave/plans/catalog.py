@@ -370,3 +370,31 @@ def wav_silence(spark, d):
 
 QUERIES["srt_time"] = QUERIES.pop("srt_times")
 QUERIES["reassemble"] = QUERIES.pop("reassemble_rows")
+
+
+@query
+def turn_lines(spark, d):
+    return render.turn_lines(_turns(spark, d))
+
+
+@query
+def chunk_names(spark, d):
+    path = F.concat(F.lit("/audio/"), F.col("source_id").cast("string"), F.lit(".mp3"))
+    return fixtures.chunks(spark, d).select("source_id", "idx", chunks.chunk_name(path, F.col("idx")).alias("name"))
+
+
+@query
+def completed_ids(spark, d):
+    return resume.completed(_done(spark, d)).select("source_id", F.array_join(F.col("idxs").cast("array<string>"), ",").alias("idxs"))
+
+
+@query
+def chunk_headers(spark, d):
+    languages = _done(spark, d).withColumn("language", F.when(F.col("idx") % 2 == 0, "en").otherwise("fr"))
+    return reassemble.headers(fixtures.chunks(spark, d), languages)
+
+
+@query
+def real_time_factor(spark, d):
+    rows = fixtures.chunks(spark, d).withColumn("elapsed_s", (F.col("idx") % 4).cast("double"))
+    return rows.select("source_id", "idx", resume.real_time_factor(seconds(F.col("end_ms") - F.col("start_ms")), F.col("elapsed_s")).alias("factor"))

@@ -111,4 +111,9 @@ SQL = {
     "scan_paths": r"SELECT url AS path, row_number() OVER (ORDER BY url) AS place FROM pages WHERE lower(url) LIKE '%.html'",
     "rename_plan": r"SELECT url AS old_name, 'song_n_' || row_number() OVER (ORDER BY url) || '.html' AS new_name FROM pages WHERE url LIKE '%.html'",
     "fuzzy_name_lookup": _NAMES + f"SELECT replace(url, '/', '_') AS asked, name FROM pages JOIN keyed ON {_KEY.format(chr(114) + 'eplace(url, chr(47), chr(95))')} = k WHERE n = 1 AND k <> ''",
+    "turn_lines": _with("turns") + f"SELECT source_id, turn_index, '[' || speaker || '] ' || printf('%.1f', {_S('start_ms')}) || 's–' || printf('%.1f', {_S('end_ms')}) || 's: ' || text[1:80] AS line FROM turns",
+    "chunk_names": _with("pieces") + "SELECT source_id, idx, source_id || '_chunk' || CASE WHEN idx < 1000 THEN lpad(idx::VARCHAR, 3, '0') ELSE idx::VARCHAR END || '.wav' AS name FROM pieces",
+    "completed_ids": _with("done") + "SELECT source_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS idxs FROM done GROUP BY source_id",
+    "chunk_headers": _with("pieces", "done") + "SELECT source_id, coalesce(first, 'es') AS language, duration_ms, source_id::VARCHAR AS source FROM (SELECT source_id, max(end_ms)::BIGINT AS duration_ms FROM pieces GROUP BY source_id) LEFT JOIN (SELECT source_id, arg_min(CASE WHEN idx % 2 = 0 THEN 'en' ELSE 'fr' END, idx) AS first FROM done GROUP BY source_id) USING (source_id)",
+    "real_time_factor": _with("pieces") + f"SELECT source_id, idx, CASE WHEN idx % 4 > 0 THEN {_S('(end_ms - start_ms)')} / (idx % 4)::DOUBLE ELSE 0.0::DOUBLE END AS factor FROM pieces",
 }
