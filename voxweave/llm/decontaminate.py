@@ -2,11 +2,11 @@
 
 A test item is contained in a document when at least PERCENT / 100 of its distinct five-word shingles occur
 there (an item of fewer words has its whole sequence as its one shingle, looked for as a run of as many
-words). Items are partitioned by their number n of shingles, for the size fixes how long a MinHash sketch
-must be: its n - ceil(n * PERCENT / 100) + 1 smallest hash values. A document that contains the item lacks
-fewer shingles than that, so it has at least one of those values, and the search loses no item, however
-long the document. Each sketch value found in a document makes a candidate, which is then checked by the
-exact shingles.
+words). Items are partitioned by their number of shingles, a partition for each power of two, for the size fixes how
+long a MinHash sketch must be: if an item of the partition may lack m shingles at most, its sketch is its 2 * m + 1
+smallest hash values (or all). A document that contains an item of n shingles lacks n - ceil(n * PERCENT / 100) of
+them at most, so it has all but as many of the sketch; an item with as many hits is a candidate, and the
+search loses none, however long the document. Candidates are then checked by the exact shingles.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. Null and empty texts contain
 nothing and are contained in nothing. Rows with equal doc_id or item_id count as one document or item that
@@ -51,19 +51,23 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """h, item_id, width: of each item the smallest hash values, as many as its size partition asks for."""
+    """h, width, item_id, need: of each item the smallest hash values, as many as its size partition asks for, and how many of them a document must have."""
     per_item = shingles.groupBy("item_id", "n").agg(F.sort_array(F.collect_set(F.struct("h", "width"))).alias("_all"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
-    return per_item.select("item_id", F.explode(F.slice("_all", F.lit(1), F.greatest(F.lit(1), length).cast("int"))).alias("_v")).select(F.col("_v.h").alias("h"), F.col("_v.width").alias("width"), "item_id")
+    lacks = lambda n: n - F.ceil(n * percent / 100).cast("long")
+    largest = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("long")  # of the item's partition
+    taken = F.least(F.col("n"), 2 * lacks(largest) + 1)
+    rows = per_item.select("item_id", (taken - lacks(F.col("n"))).alias("need"), F.explode(F.slice("_all", F.lit(1), taken.cast("int"))).alias("_v"))
+    return rows.select(F.col("_v.h").alias("h"), F.col("_v.width").alias("width"), "item_id", "need")
 
 
 def candidates(docs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Distinct (doc_id, item_id) where the document has a value of the item's sketch."""
+    """Distinct (doc_id, item_id) where the document has as many values of the item's sketch as it needs."""
     widths = sorted(r.width for r in sketch.select("width").distinct().collect())  # five values at most
     hashed = [F.transform(runs(F.col("_w"), k), lambda s: F.xxhash64(s)) for k in widths]
     rows = docs.select("doc_id", words(F.col("text")).alias("_w"))
     rows = rows.select("doc_id", F.explode(F.concat(*hashed) if hashed else F.array().cast("array<long>")).alias("h"))
-    return rows.join(small(sketch.select("h", "item_id"), 48), "h").select("doc_id", "item_id").distinct()
+    hits = rows.join(small(sketch.select("h", "item_id", "need"), 56), "h").distinct()
+    return hits.groupBy("doc_id", "item_id", "need").agg(F.count(F.lit(1)).alias("hits")).filter("hits >= need").select("doc_id", "item_id")
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
