@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxweave.llm.tables import saved
+from voxweave.llm.tables import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,5 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         # settled when every node hangs on a root: no edge's upper end is another edge's lower end
         if after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and after.groupBy("u").count().filter("count > 1").isEmpty():
             break
+        discard(now)
         now = after
+    discard(now)
     return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from voxweave.llm.arrow import mapped
 from voxweave.llm.components import components
-from voxweave.llm.tables import saved, small
+from voxweave.llm.tables import discard, saved, small
 
 PERCENT = 75
 #: Documents and shingles that a block of step 1 holds, and entries that a bucket of lists should hold.
@@ -543,13 +543,18 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     counts = saved(shared_counts(docs))
     sets = saved(shared_sets(docs, counts, percent))
     lists = saved(search_lists(sets))
-    links = saved(verified(_oriented(saved(_pivot_pairs(lists, percent))), sets, percent))
+    pairs = saved(_pivot_pairs(lists, percent))
+    oriented = saved(_oriented(pairs))
+    links = saved(verified(oriented, sets, percent))
     roots = saved(components(links))
     rows = saved(_open(lists, roots))
     if not rows.isEmpty():
         more = saved(block_links(rows, sets, percent))
         if not more.isEmpty():
-            roots = saved(components(links.unionByName(more)))
+            before, roots = roots, saved(components(links.unionByName(more)))
+            discard(before)
+        discard(more)
+    discard(sets, lists, pairs, oriented, links, rows)
     lone = counts.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = lone.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = lone.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

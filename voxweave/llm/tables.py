@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxweave.shared import saved, scratch, shared_dir
+from voxweave.shared import discard, saved, scratch, shared_dir
 
-__all__ = ["id_ranges", "saved", "scratch", "shared_dir", "small", "table"]
+__all__ = ["discard", "id_ranges", "saved", "scratch", "shared_dir", "small", "table"]
 
 #: Bytes up to which a table is broadcast; beyond it, it is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20

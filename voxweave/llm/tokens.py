@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from voxweave.llm.arrow import keep
 
 #: Parts in a generation of a worker's cache, of which there are two, and the longest part that is kept.
-KEPT_PARTS, KEPT_LENGTH = 400_000, 64
+KEPT_PARTS, KEPT_LENGTH = 300_000, 64
 #: A run of white space that a cut at a space might split.
 ODD_SPACE = re.compile(r"\s\s(?:\s|\Z)")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")

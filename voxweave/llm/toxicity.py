@@ -31,7 +31,7 @@ from voxweave.llm.arrow import keep as keep_cache
 from voxweave.llm.arrow import mapped
 from voxweave.llm.language import held_out, sampled
 from voxweave.llm.quality import fit_logistic, labelled_texts
-from voxweave.llm.tables import saved
+from voxweave.llm.tables import discard, saved
 
 SAMPLE_ROWS = 20_000
 PRIOR = 50.0
@@ -220,6 +220,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     found = [(r.label, r.evidence) for r in _assessed(rows.select("label", "text"), model, ["label"]).select("label", "evidence").collect()]
     y, x = np.array([f[0] for f in found], "f8"), np.array([f[1] for f in found])
     model.slope, model.bias = fit_logistic(x, y)
+    discard(rows, counted)
     return model
 
 
