@@ -27,7 +27,7 @@ from voxweave.llm.shingles import _word_hashes
 SAMPLE_ROWS = 6_000
 #: Lines of the sampled texts in all, and of one of them; a text of more is not learned from.
 SAMPLE_LINES, LONGEST_LINES = 250_000, 2_000
-STEPS = 250
+STEPS = 150
 BLOCK_BYTES = 4 << 20
 SHARES = 8
 #: Bias, own shares, length, word length, first, last, and the shares of both neighbours.
