@@ -130,7 +130,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     is_top = (F.col("range") == F.col("r")) & (F.col("_has") == F.col("top._has")) & (F.col("_id") == F.col("top._id")) & (F.col("_tie") == F.col("top._tie"))
     ghosts = rows.join(small(tops, 64), is_top).groupBy("to").agg(F.max(F.struct("doc_id", "text")).alias("m"))
     ghosts = ghosts.select("m.doc_id", "m.text", F.col("to").alias("range"), *[F.lit(0).cast(rows.schema[k].dataType).alias(k) for k in KEY], F.lit(1).alias("ghost"))
-    both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition(n, "range")
+    both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartitionByRange(n, "range")
     order = Window.partitionBy("range").orderBy("ghost", *[F.desc(k) for k in KEY])
     both = both.select("*", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("after"))
     edited = F.concat(F.expr("left(text, char_length(text) - char_length(text) div 3)"), F.expr("left(after, char_length(text) div 3)"))
