@@ -192,7 +192,7 @@ def test_options_paths_and_formats(monkeypatch, tmp_path):
     monkeypatch.setenv("VOXWEAVE_BEAM_SIZE", "3")
     monkeypatch.setenv("VOXWEAVE_VAD_FILTER", "false")
     assert (Options.read(language="EN").language, Options.read().beam_size, Options.read().vad_filter) == ("en", 3, False)
-    for bad in ({"beam_size": 11}, {"device": "tpu"}, {"language": "e"}, {"vad_min_silence_ms": -1}):
+    for bad in ({"beam_size": 11}, {"device": "tpu"}, {"language": "e"}, {"vad_min_speech_duration_ms": -1}):
         with pytest.raises(ValueError):
             Options(**bad)
     (tmp_path / "My file .wav").write_bytes(b"")

@@ -8,20 +8,23 @@ import os
 import sys
 import time
 
-from voxweave.config import Options
+from voxweave.config import MODEL_SIZES, Options
 from voxweave.log import LEVELS, configure
 
 
 #: Names of options and of what may be chosen.
-RAW, OF_TURNS = (".txt", ".json", ".srt", "txt", "json", "srt"), ("transcript.json", "transcript.txt")
+RAW, OF_TURNS = (".txt", ".json", ".srt", "txt", "json", "srt", "all"), ("transcript.json", "transcript.txt")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="voxweave")
     p.add_argument("input", help="a WAV file, or a folder of them")
-    p.add_argument("--format", action="append", choices=RAW, help="format of the transcript; may be given again")
+    p.add_argument("--format", action="append", choices=RAW, help="format of the transcript, or all of them; may be given again")
     p.add_argument("--output", "--output-dir", help="output folder")
     p.add_argument("--language")
+    p.add_argument("--model", choices=MODEL_SIZES, help="size of the speech model, for engines that have sizes")
+    p.add_argument("--device", choices=("cpu", "cuda"))
+    p.add_argument("--engine", choices=("loudness",), default="loudness", help="the speech model")
     p.add_argument("--batch", action="store_true", help="the input is a folder, of which every WAV file is transcribed")
     p.add_argument("--skip-existing", action="store_true", help="leave out files that have all their outputs")
     p.add_argument("--log-level", choices=LEVELS, default="INFO")
@@ -40,13 +43,13 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    given = {k: v for k, v in (("language", args.language), ("output_dir", args.output)) if v}
+    given = {k: v for k, v in (("language", args.language), ("output_dir", args.output), ("model_size", args.model), ("device", args.device)) if v}
     options = Options.read(**given)
     configure(args.log_level)
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from voxweave.operators import halt, render, resume
+    from voxweave.operators import halt, models, render, resume
     from voxweave.operators.chunks import ChunkPlan
     from voxweave.plans import jobs, pipeline
     from voxweave.shared import shared_dir
@@ -63,7 +66,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("voxweave").getOrCreate()
     ship(spark)
     files = pipeline.read(spark, where, batch=os.path.isdir(where))
-    raw = [x if x.startswith(".") else f".{x}" for x in args.format or ([] if args.diarize else [".txt"])]
+    asked = args.format or ([] if args.diarize else [".txt"])
+    raw = [".txt", ".json", ".srt"] if "all" in asked else list(dict.fromkeys(x if x.startswith(".") else f".{x}" for x in asked))
+    engine = models.ENGINES[args.engine]
     formats = raw + ([args.diarize_format] if args.diarize else [])
     if args.skip_existing and os.path.isdir(options.output_dir):
         names = os.listdir(options.output_dir)
@@ -77,21 +82,21 @@ def main(argv: list[str] | None = None) -> int:
     again = hashlib.sha256(f"{os.path.abspath(where)} {args.chunk_minutes} {args.silence_ms}".encode()).hexdigest()[:16]
     turned, head, began = None, None, time.perf_counter()
     if args.diarize:
-        turned, segments = jobs.transcribe_and_diarize(files, f"{shared_dir(spark)}/stage-{again}", num_speakers=args.num_speakers, flip=args.flip_roles)
+        turned, segments = jobs.transcribe_and_diarize(files, f"{shared_dir(spark)}/stage-{again}", engine, num_speakers=args.num_speakers, flip=args.flip_roles)
         for r in render.preview(turned).orderBy("source_id", "turn_index").toLocalIterator():
             print(r.line)
     elif args.chunk:
         plan = ChunkPlan(target_ms=int(args.chunk_minutes * 60_000))
         try:
             stop = halt.Halt(listen=True, at_once=spark.sparkContext.cancelAllJobs)
-            segments, head = jobs.transcribe_in_pieces(files, plan, f"{shared_dir(spark)}/pieces-{again}", stop=stop, least_ms=args.silence_ms, language=options.language)
+            segments, head = jobs.transcribe_in_pieces(files, plan, f"{shared_dir(spark)}/pieces-{again}", engine, stop=stop, least_ms=args.silence_ms, language=options.language)
         except halt.Halted as e:
             print(e, file=sys.stderr)
             return 1
         if args.keep_chunks:
             pipeline.keep_chunks(files, pipeline.plan_chunks(files, plan, args.silence_ms), options.output_dir)
     else:
-        segments, status = jobs.transcribe_batch(files)
+        segments, status = jobs.transcribe_batch(files, engine)
         for r in status.filter("status = 'FAILED'").toLocalIterator():
             print(f"{r.source_id}: {r.error}", file=sys.stderr)
         print(jobs.summary(status, time.perf_counter() - began))

@@ -12,13 +12,13 @@ COMPUTE_TYPES = ("int8", "int8_float16", "float16", "float32")
 
 @dataclass(frozen=True)
 class Options:
-    model_size: str = "base"
+    model_size: str = "large-v3"
     compute_type: str = "int8"
     language: str = "es"
     device: str = "cpu"
     beam_size: int = 5
     vad_filter: bool = True
-    vad_min_silence_ms: int = 500
+    vad_min_speech_duration_ms: int = 250
     output_dir: str = "output"
 
     def __post_init__(self) -> None:
@@ -29,7 +29,7 @@ class Options:
             "language": len(self.language) >= 2,
             "device": self.device in ("cpu", "cuda"),
             "beam_size": 1 <= self.beam_size <= 10,
-            "vad_min_silence_ms": self.vad_min_silence_ms >= 0,
+            "vad_min_speech_duration_ms": self.vad_min_speech_duration_ms >= 0,
         }
         for name, right in checks.items():
             if not right:

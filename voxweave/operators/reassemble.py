@@ -38,6 +38,17 @@ def edge_words(moved: DataFrame, n: int = EDGE_WORDS) -> DataFrame:
     return rows.select("source_id", "idx", F.lower(F.array_join(F.slice("w", 1, n), " ")).alias("head"), F.lower(F.array_join(tail, " ")).alias("tail"))
 
 
+def accumulated_tails(moved: DataFrame, n: int = EDGE_WORDS) -> DataFrame:
+    """source_id, idx, tail: the last n words of all that a source's chunks say up to each one, in lower case.
+
+    A chunk with words has one at least, so no more than n chunks are looked back on.
+    """
+    rows = edge_words(moved, n).filter("tail <> ''").select("source_id", "idx", F.split("tail", " ").alias("w"))
+    back = Window.partitionBy("source_id").orderBy("idx").rowsBetween(-(n - 1), 0)
+    rows = rows.withColumn("w", F.flatten(F.collect_list("w").over(back)))
+    return rows.select("source_id", "idx", F.array_join(F.slice("w", F.greatest(F.lit(1), F.size("w") - n + 1), n), " ").alias("tail"))
+
+
 def likeness(a: str, b: str, autojunk: bool = True) -> float:
     return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 

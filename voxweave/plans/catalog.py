@@ -128,10 +128,19 @@ def role_map_flipped(spark, d):
     return align.role_map(fixtures.diarization(spark, d), flip=True)
 
 
+def _of_role(spark, d, role):
+    roles = align.role_map(fixtures.diarization(spark, d)).filter(F.col("role") == role)
+    return _turns(spark, d).join(roles, ["source_id", "speaker"]).select("source_id", "turn_index", "speaker", "role")
+
+
 @query
 def role_filter(spark, d):
-    roles = align.role_map(fixtures.diarization(spark, d)).filter(F.col("role") == align.INTERVIEWEE)
-    return _turns(spark, d).join(roles, ["source_id", "speaker"]).select("source_id", "turn_index", "speaker", "role")
+    return _of_role(spark, d, align.INTERVIEWEE)
+
+
+@query
+def role_filter_interviewer(spark, d):
+    return _of_role(spark, d, align.INTERVIEWER)
 
 
 @query
@@ -239,6 +248,11 @@ def tail_head_words(spark, d):
     return reassemble.edge_words(fixtures.chunk_results(spark, d))
 
 
+@query
+def accumulated_tails(spark, d):
+    return reassemble.accumulated_tails(reassemble.without_start_overlap(reassemble.shifted(fixtures.chunk_results(spark, d), fixtures.chunks(spark, d))))
+
+
 @query
 def similarity(spark, d):
     """Likeness of each chunk's first words to the last ones of the chunk before."""

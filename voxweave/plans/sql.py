@@ -83,6 +83,7 @@ SQL = {
     "role_map": _with("ranked") + f"SELECT source_id, speaker, {_ROLE.format('INTERVIEWER', 'INTERVIEWEE')} FROM ranked",
     "role_map_flipped": _with("ranked") + f"SELECT source_id, speaker, {_ROLE.format('INTERVIEWEE', 'INTERVIEWER')} FROM ranked",
     "role_filter": _with("ranked", "turns") + f"SELECT source_id, turn_index, speaker, role FROM turns JOIN (SELECT source_id, speaker, {_ROLE.format('INTERVIEWER', 'INTERVIEWEE')} FROM ranked) USING (source_id, speaker) WHERE role = 'INTERVIEWEE'",
+    "role_filter_interviewer": _with("ranked", "turns") + f"SELECT source_id, turn_index, speaker, role FROM turns JOIN (SELECT source_id, speaker, {_ROLE.format('INTERVIEWER', 'INTERVIEWEE')} FROM ranked) USING (source_id, speaker) WHERE role = 'INTERVIEWER'",
     "align_full": _with("ranked", "turns") + f"SELECT source_id, turn_index, coalesce(role, speaker) AS speaker, {_S('start_ms')} AS start_s, {_S('end_ms')} AS end_s, text, n_segments FROM turns LEFT JOIN (SELECT source_id, speaker, {_ROLE.format('INTERVIEWER', 'INTERVIEWEE')} FROM ranked) USING (source_id, speaker)",
     "avg_confidence": _with("segments") + "SELECT source_id, round(avg(confidence), 4) AS avg_confidence FROM segments GROUP BY source_id",
     "full_text": _with("segments") + f"SELECT source_id, string_agg({_STRIP}, ' ' ORDER BY seq) AS body FROM segments GROUP BY source_id",
@@ -101,6 +102,7 @@ SQL = {
     "overlap_drop": _with("kept") + "SELECT source_id, idx, seq, start_ms, end_ms FROM kept",
     "reassemble": _with("kept") + "SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY idx, seq) - 1 AS seq, idx, start_ms, end_ms, text FROM kept",
     "tail_head_words": _with("heard") + r"SELECT source_id, idx, lower(array_to_string(w[1:30], ' ')) AS head, lower(array_to_string(w[greatest(1, len(w) - 29):], ' ')) AS tail FROM (SELECT source_id, idx, flatten(list(regexp_extract_all(text, '\S+') ORDER BY seq)) AS w FROM heard GROUP BY source_id, idx)",
+    "accumulated_tails": _with("kept") + r"SELECT source_id, idx, lower(array_to_string(w[greatest(1, len(w) - 29):], ' ')) AS tail FROM (SELECT source_id, idx, flatten(list(w) OVER (PARTITION BY source_id ORDER BY idx ROWS UNBOUNDED PRECEDING)) AS w FROM (SELECT source_id, idx, flatten(list(regexp_extract_all(text, '\S+') ORDER BY seq)) AS w FROM kept GROUP BY source_id, idx) WHERE len(w) > 0)",
     "resume_pending": _with("pieces", "done") + "SELECT source_id, idx FROM pieces ANTI JOIN done USING (source_id, idx)",
     "resume_guard": _with("pieces") + "SELECT source_id, n AS total_chunks FROM (SELECT source_id, count(*) AS n FROM pieces GROUP BY source_id) WHERE source_id % 5 <> 0 AND source_id % 7 <> 0 AND source_id % 11 <> 0",
     "ordered_results": _with("pieces", "heard") + "SELECT p.source_id, p.idx, count(h.seq) AS n_segments FROM pieces p LEFT JOIN heard h USING (source_id, idx) GROUP BY ALL HAVING count(h.seq) > 0",
