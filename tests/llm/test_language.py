@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm import cases
 from voxweave.llm import language
@@ -34,7 +35,9 @@ def value(scores, path):
     return sum(scores[t][k] for t, k in enumerate(path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
 
 
-def test_viterbi_of_many_texts_at_once():
+@pytest.mark.parametrize("together", [1, 5, 32])
+def test_viterbi_of_many_texts_at_once(monkeypatch, together):
+    monkeypatch.setattr(language, "TOGETHER", together)
     rng = np.random.default_rng(1)
     model = language.LanguageModel(["a", "b", "c"], rng.random((language.BUCKETS, 3)), np.ones((len(language.SCRIPTS) + 1, 3)))
     counts = rng.integers(0, 30, 40)

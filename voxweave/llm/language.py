@@ -16,6 +16,7 @@ Ties go to the language whose name comes first. Repeated rows are rows of their
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,8 @@ SWITCH = 12.0
 #: A language takes part in a script if at least this share of its letters are in it.
 SCRIPT_SHARE = 0.01
 BLOCK_CHARS = 1_000_000
+#: Texts of a block that are worth advancing together.
+TOGETHER = 20
 #: First and last code point of the letters of each script.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)],
@@ -104,6 +107,27 @@ def sampled(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     return rows if found.n <= most else rows.filter(h < F.lit(found.h))
 
 
+def _alone(value: list[float] | None, scores: np.ndarray) -> tuple[int, np.ndarray]:
+    """Viterbi over the words of one text, from the values at the word before them: that word's label, and theirs."""
+    many = scores.shape[1]
+    back = array("H")
+    at = 0
+    if value is None:
+        value = [0.0] * many
+    for begin in range(0, len(scores), 1 << 16):
+        for row in scores[begin : begin + (1 << 16)].tolist():
+            most = max(value)
+            best, top = value.index(most), most - SWITCH
+            back.extend([k if v >= top else best for k, v in enumerate(value)])
+            value = [(v if v >= top else top) + x - most for v, x in zip(value, row)]
+    labels = np.empty(len(scores), "u2")
+    at = value.index(max(value))
+    for t in range(len(scores) - 1, -1, -1):
+        labels[t] = at
+        at = back[t * many + at]
+    return at, labels
+
+
 class LanguageModel:
     """Log likelihoods by bucket and language, and which languages each script admits."""
 
@@ -125,14 +149,18 @@ class LanguageModel:
         return np.add.reduceat(self.weights[h], first, axis=0) + self.admits[script], letters, counts
 
     def labels(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The best language of each word, by Viterbi over the words of each text; all texts of a block advance together."""
+        """The best language of each word, by Viterbi over the words of each text.
+
+        All texts of a block advance together, longest first; when fewer than TOGETHER are left, each goes on by itself.
+        """
         out = np.zeros(len(scores), "u2")
         order = np.argsort(-counts, kind="stable")
         begins = (np.cumsum(counts) - counts)[order]
         sizes = counts[order]
         active = len(order) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
+        steps = int(np.searchsorted(-active, -TOGETHER, "right"))  # with TOGETHER texts or more
         value, back = None, []
-        for t, n in enumerate(active.tolist()):
+        for t, n in enumerate(active[:steps].tolist()):
             now = scores[begins[:n] + t]
             if t:
                 value = value[:n]
@@ -142,11 +170,15 @@ class LanguageModel:
                 back.append(np.where(stay, np.arange(now.shape[1]), best[:, None]).astype("u2"))
                 now = now + np.where(stay, value, top)
                 now -= now.max(axis=1, keepdims=True)
-            if t + 1 < len(active) and active[t + 1] < n or t + 1 == len(active):
-                stop = active[t + 1] if t + 1 < len(active) else 0
+            stop = active[t + 1] if t + 1 < len(active) else 0
+            if stop < n:
                 out[begins[stop:n] + t] = now[stop:n].argmax(axis=1)
             value = now
-        for t in range(len(active) - 1, 0, -1):
+        for k in range(active[steps] if steps < len(active) else 0):
+            begin, end = begins[k], begins[k] + sizes[k]
+            before = out[begin + steps - 1 : begin + steps] if steps else out[:0]
+            before[:], out[begin + steps : end] = _alone(value[k].tolist() if steps else None, scores[begin + steps : end])
+        for t in range(steps - 1, 0, -1):
             n = active[t]
             out[begins[:n] + t - 1] = back[t - 1][np.arange(n), out[begins[:n] + t]]
         return out
@@ -156,8 +188,11 @@ class LanguageModel:
         result: list[tuple[str, float, int]] = []
         if not self.languages:
             return [("und", 0.0, 0)] * len(texts)
-        for a, b in _blocks(texts):
-            scores, letters, counts = self.word_scores(texts[a:b])
+        # texts of like length together, so that few blocks have a long one
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        ordered = [texts[k] for k in order]
+        for a, b in _blocks(ordered):
+            scores, letters, counts = self.word_scores(ordered[a:b])
             labels = self.labels(scores, counts)
             ends = np.cumsum(counts)
             of = np.repeat(np.arange(b - a), counts)
@@ -170,7 +205,8 @@ class LanguageModel:
                 turns[1:] = np.cumsum(np.concatenate([[True], (labels[1:] != labels[:-1]) | (of[1:] != of[:-1])]))
             spans = turns[ends] - turns[ends - counts]
             result += [(self.languages[k], s / n, int(c)) if n else ("und", 0.0, 0) for k, s, n, c in zip(best.tolist(), share[np.arange(b - a), best].tolist(), total.tolist(), spans.tolist(), strict=True)]
-        return result
+        by = dict(zip(order, result, strict=True))
+        return [by[k] for k in range(len(texts))]
 
     def spans(self, text: str | None) -> list[tuple[str, int]]:
         """Runs of words in one language: (language, words)."""
