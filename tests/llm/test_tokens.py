@@ -4,6 +4,7 @@ import random
 import unicodedata
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -17,9 +18,13 @@ from voxweave.llm.tables import scratch, table
 SF = "/root/testdata/sf0.001"
 
 
+@cache
+def library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def whole(name, text, end):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
+    return np.array([*library(name).encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
 ODD = [
@@ -195,3 +200,16 @@ def test_occurrences_by_selects(spark):
             chosen = token
     got = wavelet.occurrences(spark, path, chosen).filter("doc_id = 7").collect()
     assert sorted((r.doc_id, r.place) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_are_cut_and_joined(name, monkeypatch):
+    """A text longer than what is gathered at once, among short ones; and one long run without a space."""
+    from voxweave.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHARS", 1000)
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["Word", "two,", "ñandú", "x\ny", "3.14", "it's"]) for _ in range(3000))
+    texts = ["short one", long, "", None, "y" * 5000, "a  b", long + " ", "end"]
+    for text, ids in zip(texts, tokens.PartEncoder(public_tokenizers.path(name), kept=4).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole(name, text, 0)[:-1].tolist()

@@ -17,11 +17,14 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 from voxweave.llm.arrow import keep
 
 #: Parts in a generation of a worker's cache, of which there are two, and the longest part that is kept.
 KEPT_PARTS, KEPT_LENGTH = 300_000, 64
+#: Characters, and texts, whose parts are gathered at once.
+CHARS, STRINGS = 4_000_000, 10_000
 #: A run of white space that a cut at a space might split.
 ODD_SPACE = re.compile(r"\s\s(?:\s|\Z)")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -44,47 +47,12 @@ SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _P
 _encoders: dict[str, "PartEncoder"] = {}
 
 
-class _Pieces(dict):
-    """Ids of pre-tokens of EASY characters and spaces, by their text; those of an earlier generation are taken over when they are asked for."""
-
-    def __init__(self, tokenize, old: dict):
-        self.tokenize, self.old = tokenize, old
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            spelled = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(SPELLED)
-            ids = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
-        if len(piece) <= KEPT_LENGTH:
-            self[piece] = ids
-        return ids
-
-
-class _Parts(dict):
-    """Ids of parts with the space before them."""
-
-    def __init__(self, encoder: PartEncoder, old: dict):
-        self.ids, self.old, self.pieces = encoder.part, old, encoder.pieces
-        self.tokenize, self.space, self.folds = encoder.tokenize, encoder.spelled_before, encoder.folds
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            if not (found := WORD_AND_MARKS.match(part)) or self.folds and not part.islower():
-                ids = self.ids(part)
-            elif marks := found[2]:
-                ids = self[found[1]] + self.pieces[marks]
-            else:
-                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(SPELLED)
-                ids = array("I", [t.id for t in self.tokenize(self.space + spelled)]).tobytes()
-        if len(part) <= KEPT_LENGTH and "\n" not in part:
-            self[part] = ids
-        return ids
-
-
 class PartEncoder:
     """Encodes texts to unsigned 32-bit ids (little-endian, as on all machines that Spark's Arrow transfer supports), adding no special tokens.
 
+    Texts are cut at spaces by Arrow, some megabytes at a time; each different part is looked up once, or encoded if it
+    is new, and the ids of all parts are gathered by numpy.
+
     folds: the vocabulary is of lower case and drops white space, so that a part's case, and the space before
     it, make no difference to its ids.
     """
@@ -104,53 +72,146 @@ class PartEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces = _Pieces(self.tokenize, {})
-        self.parts = _Parts(self, {})
+        #: Ids of parts with the space before them, and of pre-tokens as they are: of this generation, and of the one before.
+        self.parts, self.old_parts, self.pieces, self.old_pieces = {}, {}, {}, {}
 
     def _next_generation(self) -> None:
-        if len(self.parts) > self.kept or len(self.pieces) > self.kept:
-            self.parts.old = self.pieces.old = {}
-            self.pieces = _Pieces(self.tokenize, self.pieces)
-            self.parts = _Parts(self, self.parts)
+        if len(self.parts) > self.kept:
+            self.parts, self.old_parts = {}, self.parts
+        if len(self.pieces) > self.kept:
+            self.pieces, self.old_pieces = {}, self.pieces
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _head(self, part: str) -> bytes:
-        """The ids of a part without a space before it."""
-        if not EASY.match(part):
-            return self._whole(part)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(part)))
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a pre-token of EASY characters and spaces."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                spelled = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(SPELLED)
+                ids = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+            if len(piece) <= KEPT_LENGTH:
+                self.pieces[piece] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a part with the space before it."""
+        ids = self.parts.get(part)
+        return ids if ids is not None else self._new(part)
+
+    def _new(self, part: str) -> bytes:
+        """The ids of a part that this generation does not know, kept for the next time."""
+        ids = self.old_parts.get(part)
+        if ids is None:
+            found = WORD_AND_MARKS.match(part)
+            if not found or self.folds and not part.islower():
+                ids = self._odd_part(part)
+            elif marks := found[2]:
+                ids = self._part(found[1]) + (self.pieces.get(marks) or self._piece(marks))
+            else:
+                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(SPELLED)
+                ids = array("I", [t.id for t in self.tokenize(self.spelled_before + spelled)]).tobytes()
+        if len(part) <= KEPT_LENGTH and "\n" not in part:
+            self.parts[part] = ids
+        return ids
 
-    def part(self, part: str) -> bytes:
-        """The ids of a part with the space before it, for a part that is more than a word of A-Z."""
+    def _odd_part(self, part: str) -> bytes:
+        """The ids of a part with the space before it, for a part that is more than a word and marks."""
         if not EASY.match(part):
             return self._whole(self.before + part)
-        if self.folds and not part.islower():
-            return self.parts[low] if (low := part.lower()) != part else self._head(part)
+        if self.folds:
+            part = part.lower()
         first, *more = self.pattern.findall(self.before + part) or [""]
         word = first[len(self.before) :]
         if not more or not word.isalpha():
-            return b"".join(map(self.pieces.__getitem__, (first, *more) if first else ()))
-        return b"".join((self.parts[word], *map(self.pieces.__getitem__, more)))
+            return b"".join(map(self._piece, (first, *more) if first else ()))
+        return b"".join((self._part(word), *map(self._piece, more)))
 
-    def encode_one(self, text: str) -> bytes:
+    def _head(self, part: str) -> bytes:
+        """The ids of a part without a space before it."""
+        return b"".join(map(self._piece, self.pattern.findall(part))) if EASY.match(part) else self._whole(part)
+
+    def _started(self, text: str) -> tuple[bytes, str | None]:
+        """The ids of what comes before the text's first space, and the parts after it as one string, if there are any."""
         if self.special.search(text):
-            return self._whole(text)
-        ids = self.parts.__getitem__
+            return self._whole(text), None
         if self.folds:
-            return b"".join(map(ids, (text.lower() if text.isascii() or FOLDABLE.match(text) else text).split(" ")))
-        head, *parts = SINGLE_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
-        return b"".join((self._head(head) if head[:1] != " " else self._whole(head), *map(ids, parts)))
+            return b"", text.lower() if text.isascii() or FOLDABLE.match(text) else text
+        if ODD_SPACE.search(text):
+            head, *parts = SINGLE_SPACE.split(text)
+            return b"".join((self._head(head) if head[:1] != " " else self._whole(head), *map(self._part, parts))), None
+        head, space, rest = text.partition(" ")
+        return self._head(head), rest if space else None
+
+    def _gathered(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of strings of parts; null has none."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self._next_generation()
+        split = pc.split_pattern(pa.array(texts, pa.string()), pattern=" ")
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        parts = split.flatten()
+        if not len(parts):
+            return [b""] * len(texts)
+        coded = parts.dictionary_encode()
+        different = coded.dictionary
+        # parts have no space in them
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different), " ")[0].as_py().split(" ")
+        ids = list(map(self.parts.get, words))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        before = list(map(self.old_parts.get, map(words.__getitem__, missing)))
+        self.parts.update((words[k], x) for k, x in zip(missing, before, strict=True) if x is not None)
+        for k, x in zip(missing, before, strict=True):
+            ids[k] = x if x is not None else self._new(words[k])
+        lengths = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        each = lengths[at]
+        ends = np.cumsum(each)
+        place = np.repeat(starts[at] - (ends - each), each)
+        place += np.arange(len(place))
+        found = flat[place]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return list(self.encode_all(texts))
 
     def encode_all(self, texts) -> Iterator[bytes]:
-        """The ids of each text, or Arrow string, one by one; null counts as empty."""
+        """The ids of each text, or Arrow string, one by one; null counts as empty. A long text is cut at spaces, and its ids are joined again."""
+        waiting: list[tuple[bytes, int]] = []  # of each text the ids of its beginning, and the strings of parts that follow
+        strings: list[str | None] = []
+        size = 0
+
+        def done():
+            found = iter(self._gathered(strings))
+            for head, n in waiting:
+                yield b"".join((head, *islice(found, n)))
+            waiting.clear(), strings.clear()
+
         for text in texts:
-            self._next_generation()
-            yield self.encode_one((text if isinstance(text, str) or text is None else text.as_py()) or "")
+            head, rest = self._started((text if isinstance(text, str) or text is None else text.as_py()) or "")
+            if rest is not None and len(rest) > CHARS:
+                yield from done()
+                size, at, found = 0, 0, [head]
+                while at is not None:
+                    end = rest.find(" ", at + CHARS)
+                    found += self._gathered([rest[at : end if end >= 0 else None]])
+                    at = end + 1 if end >= 0 else None
+                yield b"".join(found)
+                continue
+            waiting.append((head, 1))
+            strings.append(rest)
+            size += len(rest or "")
+            if size >= CHARS or len(strings) >= STRINGS:
+                yield from done()
+                size = 0
+        yield from done()
 
 
 def encoder(path: str) -> PartEncoder:
