@@ -23,7 +23,8 @@ _kept: dict[str, list[Callable[[], None]]] = {}
 
 def keep(name: str, forget: Callable[[], None]) -> None:
     """Notes a cache of this worker, and what empties it."""
-    _kept.setdefault(name, []).append(forget)
+    if forget not in (known := _kept.setdefault(name, [])):
+        known.append(forget)
 
 
 def forget_others(name: str) -> None:
