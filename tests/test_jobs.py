@@ -240,6 +240,20 @@ def test_boundary_dedup_against_plain_python(spark):
     assert [(r.source_id, r.idx, r.start_ms, r.text) for r in got] == sorted(want, key=lambda x: (x[0], x[1])) if "text" in got[0].asDict() else len(got) == len(want)
 
 
+def test_similarity_against_plain_python(spark):
+    said = {}
+    for r in fixtures.chunk_results(spark, SF).orderBy("source_id", "idx", "seq").collect():
+        said.setdefault((r.source_id, r.idx), []).extend(r.text.split())
+    edges = {k: (" ".join(w[:30]).lower(), " ".join(w[-30:]).lower()) for k, w in said.items()}
+    want, before = {}, {}
+    for source, idx in sorted(edges):
+        if source in before:
+            want[source, idx] = difflib.SequenceMatcher(None, before[source], edges[source, idx][0]).ratio()
+        before[source] = edges[source, idx][1]
+    got = {(r.source_id, r.idx): r.ratio for r in catalog.QUERIES["similarity"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_headers_names_and_lines(spark):
     pieces = spark.createDataFrame([("a", 0, 5000), ("a", 1, 9000), ("b", 0, 100)], "source_id string, idx long, end_ms long")
     languages = spark.createDataFrame([("a", 1, "fr"), ("a", 0, "en")], "source_id string, idx long, language string")
