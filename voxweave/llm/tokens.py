@@ -44,7 +44,7 @@ WORD_AND_MARKS = re.compile(rf"([A-Za-z{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)\Z")
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
-_encoders: dict[str, "PartEncoder"] = {}
+_encoders: dict[tuple[str, int], "PartEncoder"] = {}
 
 
 class PartEncoder:
@@ -214,9 +214,9 @@ class PartEncoder:
         yield from done()
 
 
-def encoder(path: str) -> PartEncoder:
+def encoder(path: str, kept: int = KEPT_PARTS) -> PartEncoder:
     """One encoder per Python worker and vocabulary; what it keeps goes when the worker begins a stage of another kind."""
-    if path not in _encoders:
-        _encoders[path] = PartEncoder(path)
-        keep("tokens", _encoders[path].forget)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = PartEncoder(path, kept)
+        keep("tokens", _encoders[path, kept].forget)
+    return _encoders[path, kept]

@@ -33,7 +33,9 @@ MAGIC = b"WVM2"
 #: Bits of a block, as a power of two, and the 64-bit words in it.
 BLOCK, WORDS = 9, 8
 #: Ids after which a shard ends, with the document that reaches them.
-SHARD_IDS = 1_000_000
+SHARD_IDS = 250_000
+#: Parts of texts that a worker keeps the ids of, in each of two generations; more than in packing, which shares its workers' memory with other stages.
+KEPT_PARTS = 600_000
 #: Bytes of text that a task should take at most, where the session's number of shuffle partitions would give it more.
 TASK_BYTES = 128 << 20
 FILES = "part int, shard long, before long, n_tokens long, payload binary"
@@ -189,7 +191,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
 
         from voxweave.llm.tokens import encoder
 
-        encode, end = encoder(tokenizer).encode_all, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer, KEPT_PARTS).encode_all, int(end_id).to_bytes(4, "little")
         part, number, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         parts: list[bytes] = []
