@@ -1,6 +1,6 @@
 """Long-running work over recordings: in units, resumed from what is done, stopped between units, failures noted.
 
-A unit is a batch of pieces (or of files) that Spark transcribes side by side; its results are appended to a
+A unit is a batch of pieces that Spark transcribes side by side; its results are appended to a
 table in the shared folder before the next unit begins. So a lost executor costs a task, a lost driver a unit.
 """
 
@@ -10,7 +10,7 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxweave.operators import align, chunks, halt, models, reassemble, resume
@@ -32,9 +32,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def units(pieces: DataFrame, size: int) -> DataFrame:
-    """pieces with ``unit``: they are taken source by source, in order, ``size`` at a time. As light as the table of pieces, without contents."""
-    order = Window.orderBy("source_id", "idx")
-    return pieces.withColumn("unit", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    """pieces with ``unit``, a number below their count / size, drawn by a hash; so units hold about ``size`` of them, without a sort."""
+    n = max(1, -(-pieces.count() // size))
+    return pieces.withColumn("unit", F.pmod(F.xxhash64("source_id", "idx"), F.lit(n)))
 
 
 def _live(files: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def transcribe_in_pieces(
             checkpoints.append(done.join(live, "source_id"), table)
             failed += made.filter("status = 'FAILED'").count()
             finished += done.count()
-            audio_s = mine.agg(F.sum(F.col("end_ms") - F.col("start_ms"))).first()[0] / 1000
+            audio_s = (mine.agg(F.sum(F.col("end_ms") - F.col("start_ms"))).first()[0] or 0) / 1000
             elapsed = time.perf_counter() - began
             logger.info("%d/%d (%d%%): %.0f s of sound in %.0f s, %.1f times real time", finished, total, 100 * finished // max(1, total), audio_s, elapsed, audio_s / elapsed if elapsed > 0 else 0)
     if failed:
