@@ -15,6 +15,8 @@ from voxweave.llm.quality import op7_quality
 from voxweave.llm.secret_scan import op5_secrets
 from voxweave.llm.tables import table
 from voxweave.llm.toxicity import op4_toxicity
+from voxweave.llm.vector_codes import SQL as VECTOR_CODES_SQL
+from voxweave.llm.vector_codes import op13_vector_codes
 from voxweave.llm.wavelet import op6_wavelet
 
 
@@ -30,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": lambda spark, d: decontaminate.op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op9_licenses": lambda spark, d: licenses.op9_licenses(table(spark, d, "documents")),
         "op10_language": lambda spark, d: op10_language(table(spark, d, "documents")),
+        "op13_vector_codes": lambda spark, d: op13_vector_codes(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.SQL, "op9_licenses": licenses.SQL}
+    return {"op8_decontaminate": decontaminate.SQL, "op9_licenses": licenses.SQL, "op13_vector_codes": VECTOR_CODES_SQL}
