@@ -19,7 +19,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=75):
     sets = [(doc, shingles(text)) for doc, text in rows]
     root = list(range(len(sets)))
 
@@ -31,9 +31,9 @@ def brute(rows):
     for i, (_, a) in enumerate(sets):
         for j in range(i):
             b = sets[j][1]
-            if a and b and min(len(a), len(b)) * 4 >= 3 * max(len(a), len(b)):
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)):
                 both = len(a & b)
-                if 100 * both >= 75 * (len(a) + len(b) - both):
+                if 100 * both >= percent * (len(a) + len(b) - both):
                     x, y = find(i), find(j)
                     root[max(x, y)] = min(x, y)
     least = {}
@@ -114,6 +114,35 @@ def test_missing_ids_stay_missing(spark):
     assert {r.doc_id for r in near.op2_ngram_join(df).collect()} == {None, -(2**63), 0}
 
 
+def test_rows_are_met_once_each_whatever_their_ids(spark):
+    """Thousands of rows without a doc_id, and of one doc_id: no join by doc_id makes more rows than there are."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(3)}-{k // 2}-{j}" if j % 40 == 7 else f"w{k // 2}-{j}" for j in range(60)) for k in range(5000)]
+    rows = [(None if k < 2500 else 77, t) for k, t in enumerate(texts)] + [(None, texts[0])] * 300 + [(77, texts[4000])] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts = near.shared_counts(df).cache()
+    met, sets = near.set_texts(df, counts)
+    assert met.count() == sets == counts.select("node").distinct().count()
+    counts.unpersist()
+    found = near.op2_ngram_join(df).collect()
+    assert len(found) == len(rows)
+    plain = [(k, t) for k, (_, t) in enumerate(rows)]
+    groups = {}
+    for k, (_, n, c) in enumerate(sorted(got(near.op2_ngram_join(spark.createDataFrame(plain, "doc_id long, text string").repartition(4))))):
+        groups.setdefault(c, []).append(k)
+    ids = {c: min((rows[k][0] for k in members if rows[k][0] is not None), default=None) for c, members in groups.items()}
+    want = sorted((rows[k][0] or 0, ids[c] or 0) for c, members in groups.items() for k in members)
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == want
+
+
+@pytest.mark.parametrize("hot", [10, 4096])
+def test_hot_lists_are_dealt_out(spark, monkeypatch, hot):
+    monkeypatch.setattr(near, "HOT_ROWS", hot)
+    rows = copies(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(near.op2_ngram_join(df)) == brute(rows)
+
+
 def test_t_occurrence_against_counts():
     rng = np.random.default_rng(2)
     for _ in range(100):

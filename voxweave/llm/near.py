@@ -22,7 +22,8 @@ The work is done in steps that each lose no link:
    whole. A set is sent to a block only if it shares such a list with one of its sets, or, where that makes fewer
    rows, to all blocks of its group.
 
-Null and empty texts have no shingles and link with nothing. Rows with equal doc_id are rows of their own.
+Null and empty texts have no shingles and link with nothing. Rows with equal doc_id, and rows without one, are rows of
+their own, however many there are: a set's text is fetched by doc_id and a hash of the text, so each row is met once.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_ENTRIES = 4096, 1_000_000, 250_000
 SEARCH_BLOCK = 256
 #: Shingles of the sets of a block in the last search.
 BLOCK_ENTRIES = 250_000
+#: Rows of one list beyond which it is dealt to several tasks.
+HOT_ROWS = 4096
 #: In place of a document's number: a shingle that several documents of the block hold.
 SEVERAL = 65535
 
@@ -268,7 +271,7 @@ def _exchange(entries: DataFrame, whole: bool) -> DataFrame:
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """Step 1: doc_id, n, node (the digest of its set) and shared, the number of its shingles that other rows have too."""
+    """Step 1: doc_id, tie (a hash of the text), n, node (the digest of its set) and shared, the number of its shingles that other rows have too."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(256, size // (6 * BUCKET_ENTRIES))
 
@@ -277,9 +280,9 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
         def sets():
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                for doc, hashes in zip(ids, column_sets(batch.column(1)), strict=True):
-                    yield hashes, (doc or 0, 2 * len(hashes) + (doc is None), set_digest(hashes))
+                ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for doc, tie, hashes in zip(ids, ties, column_sets(batch.column(2)), strict=True):
+                    yield hashes, (doc or 0, 2 * len(hashes) + (doc is None), set_digest(hashes), tie)
 
         yield from _blocks(sets(), buckets, False)
 
@@ -287,15 +290,29 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for a, _, back in _by_src(batches):
-            heads = np.frombuffer(a, "i8").reshape(-1, 4)
-            shared = heads[:, 3].copy()
+            heads = np.frombuffer(a, "i8").reshape(-1, 5)
+            shared = heads[:, 4].copy()
             for of, times in back:
                 shared[np.frombuffer(of, "u2")] += np.frombuffer(times, "u4")
             docs = pa.array(heads[:, 0], pa.int64(), mask=heads[:, 1] % 2 == 1)
-            yield _record([docs, heads[:, 1] // 2, heads[:, 2], shared], ["doc_id", "n", "node", "shared"], [pa.int64()] * 4)
+            yield _record([docs, heads[:, 3], heads[:, 1] // 2, heads[:, 2], shared], ["doc_id", "tie", "n", "node", "shared"], [pa.int64()] * 5)
 
-    entries = mapped(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), scan, ENTRY)
-    return mapped(_exchange(entries, False), counted, "doc_id long, n long, node long, shared long")
+    return mapped(_exchange(mapped(keyed(docs), scan, ENTRY), False), counted, "doc_id long, tie long, n long, node long, shared long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (a hash of the text), text."""
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "xxhash64(text) as tie", "text")
+
+
+def set_texts(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
+    """node, text of one row of each node of counts (doc_id, tie, node), and the number of nodes."""
+    each = counts.groupBy("node", "doc_id", "tie").agg(F.count(F.lit(1)).alias("rows"))
+    reps = saved(each.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "rows")).alias("rep")).select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.tie").alias("rep_tie"), "rep.rows"))
+    found = keyed(docs).join(small(reps, 64), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tie") == F.col("rep_tie"))).select("node", "rows", "text")
+    if not reps.filter("rows > 1").isEmpty():  # rows that are alike in both stand for one set
+        found = found.filter("rows = 1").unionByName(found.filter("rows > 1").dropDuplicates(["node"]))
+    return found.select("node", "text"), reps.count()
 
 
 def shared_sets(docs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -304,22 +321,18 @@ def shared_sets(docs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     The last column, ``first``, is n - T + 1 less the shingles that no other set has.
     """
     left = counts.filter((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
-    reps = saved(left.groupBy("node").agg(F.min("doc_id").alias("rep")))
     size = left.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, size // BUCKET_ENTRIES)
-    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(small(reps, 48), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    texts, _ = set_texts(docs, left)
 
     def scan(batches):
-        from voxweave.llm.shingles import column_sets, set_digest
+        from voxweave.llm.shingles import column_sets
 
         def sets():
-            seen: set[int] = set()  # repeated rows of a doc_id are one set
             for batch in batches:
                 nodes = batch.column(0).to_pylist()
                 for node, hashes in zip(nodes, column_sets(batch.column(1)), strict=True):
-                    if node not in seen and set_digest(hashes) == node:  # rows of one doc_id may differ
-                        seen.add(node)
-                        yield hashes, (node, len(hashes), 0)
+                    yield hashes, (node, len(hashes), 0)
 
         yield from _blocks(sets(), buckets, True)
 
@@ -416,27 +429,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(rows, searched, "a long, b long")
 
 
+def met(rows: DataFrame, others: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows.join(others, on, how), with keys that have more than HOT_ROWS rows dealt to several tasks by node, others' rows to each.
+
+    counts: the keys, and ``rows`` of each; it is read twice.
+    """
+    hot = counts.filter(F.col("rows") > HOT_ROWS).select(*on, F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("_parts"))
+    if hot.isEmpty():
+        return rows.join(others, on, how)
+    hot, parts = small(hot, 32), F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(F.lit(1), "node"), parts).cast("int")).drop("_parts")
+    right = others.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Each set of a list with the list's pivots in its band of sizes and the bands beside it."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     rows = lists.select("h", "node", "n", band.alias("band"))
-    pivots = rows.groupBy("h", "band").agg(F.min("node").alias("p0"), F.min_by("node", F.xxhash64("node")).alias("p1"))
-    pivots = pivots.select("h", "band", F.explode(F.array("p0", "p1")).alias("a")).distinct()
+    each = saved(rows.groupBy("h", "band").agg(F.min("node").alias("p0"), F.min_by("node", F.xxhash64("node")).alias("p1"), F.count(F.lit(1)).alias("rows")))
+    pivots = each.select("h", "band", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("a"))
     pivots = pivots.select("h", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), "a")
-    return rows.join(pivots, ["h", "band"]).filter("a <> node").select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")).distinct()
+    return met(rows, pivots, ["h", "band"], each).filter("a <> node").select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")).distinct()
 
 
 def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of lists on which more than one component meets, with their roots."""
     within = lists.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = within.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-    return within.join(mixed, "h", "left_semi")
+    mixed = saved(within.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high").select("h", "rows"))
+    return met(within, mixed.select("h"), ["h"], mixed, "left_semi")
 
 
 def _placed(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """node, group (sets connected by lists of rows), block, blocks of the group, and its sets."""
-    least = rows.groupBy("h").agg(F.min("node").alias("a"))
-    groups = components(rows.join(least, "h").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "group")
+    least = saved(rows.groupBy("h").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("rows")))
+    groups = components(met(rows, least.drop("rows"), ["h"], least).select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "group")
     sized = saved(groups.join(sets.select("node", (F.octet_length("shingles") / 8).alias("entries")), "node"))
     sizes = sized.groupBy("group").agg(F.ceil(F.sum("entries") / BLOCK_ENTRIES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
     return sized.join(sizes, "group").select("node", "group", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks", "members")
@@ -538,11 +565,8 @@ def _oriented(pairs: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("cx") >= F.col("cy"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("cx") >= F.col("cy"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
-def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it links with, over any number of links)."""
-    counts = saved(shared_counts(docs))
-    sets = saved(shared_sets(docs, counts, percent))
-    lists = saved(search_lists(sets))
+def linked(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, root of the sets that link with others on any of the lists (h, node, n), which sets (node, n, shingles) decide; root is the component's least node."""
     pairs = saved(_pivot_pairs(lists, percent))
     oriented = saved(_oriented(pairs))
     links = saved(verified(oriented, sets, percent))
@@ -554,11 +578,25 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             before, roots = roots, saved(components(links.unionByName(more)))
             discard(before)
         discard(more)
-    discard(sets, lists, pairs, oriented, links, rows)
-    lone = counts.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    discard(pairs, oriented, links, rows)
+    return roots.select("node", "root")
+
+
+def with_components(counts: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of the rows of counts (doc_id, n, node)."""
+    lone = counts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = lone.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = lone.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    return lone.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it links with, over any number of links)."""
+    counts = saved(shared_counts(docs))
+    sets = saved(shared_sets(docs, counts, percent))
+    lists = saved(search_lists(sets))
+    roots = linked(lists, sets, percent)
+    discard(sets, lists)
+    return with_components(counts, roots)
 
 
 def op2_ngram_join(docs: DataFrame) -> DataFrame:

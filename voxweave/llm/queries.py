@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxweave.llm import decontaminate, licenses
+from voxweave.llm import decontaminate, licenses, minhash
 from voxweave.llm.fingerprints import op1_fingerprints
 from voxweave.llm.language import op10_language
 from voxweave.llm.near import op2_ngram_join
@@ -32,9 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": lambda spark, d: decontaminate.op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op9_licenses": lambda spark, d: licenses.op9_licenses(table(spark, d, "documents")),
         "op10_language": lambda spark, d: op10_language(table(spark, d, "documents")),
+        "op12_minhash_dedup": lambda spark, d: minhash.op12_minhash_dedup(table(spark, d, "documents")),
         "op13_vector_codes": lambda spark, d: op13_vector_codes(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.SQL, "op9_licenses": licenses.SQL, "op13_vector_codes": VECTOR_CODES_SQL}
+    return {"op2_ngram_join": minhash.join_sql(75), "op8_decontaminate": decontaminate.SQL, "op9_licenses": licenses.SQL, "op12_minhash_dedup": minhash.SQL, "op13_vector_codes": VECTOR_CODES_SQL}
