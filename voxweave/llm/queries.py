@@ -14,6 +14,7 @@ from voxweave.llm.packing import op3_packing
 from voxweave.llm.quality import op7_quality
 from voxweave.llm.secret_scan import op5_secrets
 from voxweave.llm.tables import table
+from voxweave.llm.time_layout import op11_time_partitions
 from voxweave.llm.toxicity import op4_toxicity
 from voxweave.llm.vector_codes import SQL as VECTOR_CODES_SQL
 from voxweave.llm.vector_codes import op13_vector_codes
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": lambda spark, d: decontaminate.op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op9_licenses": lambda spark, d: licenses.op9_licenses(table(spark, d, "documents")),
         "op10_language": lambda spark, d: op10_language(table(spark, d, "documents")),
+        "op11_time_partitions": lambda spark, d: op11_time_partitions(table(spark, d, "clicks")),
         "op12_minhash_dedup": lambda spark, d: minhash.op12_minhash_dedup(table(spark, d, "documents")),
         "op13_vector_codes": lambda spark, d: op13_vector_codes(table(spark, d, "embeddings")),
     }
