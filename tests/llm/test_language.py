@@ -151,6 +151,27 @@ def test_samples_keep_their_bound(spark):
     assert language.sampled(rows, 1000).exceptAll(language.sampled(rows, 1000)).isEmpty()
 
 
+def test_samples_of_rows_with_one_id_or_none(spark):
+    """Ties of the drawing hash: exactly as many rows as the bound, and a model that knows the language."""
+    texts = [f"the old house near the river number {k} is open again" for k in range(70)]
+    for key in ("cast(null as long)", "5L"):
+        rows = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").selectExpr(f"{key} as doc_id", "text", "lang")
+        assert language.sampled(rows, 20).count() == 20 and language.sampled(rows, 20).distinct().count() == 20
+        alike = rows.union(rows.limit(1).selectExpr("*", "explode(sequence(1, 400)) as k").drop("k"))
+        assert language.sampled(alike, 20).count() == 20 and language.sampled(alike, 300).count() == 300
+        assert language.sampled(rows.limit(1).crossJoin(spark.range(50)).drop("id"), 20).count() == 20
+        model = language.fit(rows, 20)
+        assert {r.lang_pred for r in language.identify(rows, model, ["doc_id"]).collect()} == {"en"}
+
+
+def test_more_rows_of_one_id_than_the_sample_holds(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 30)
+    monkeypatch.setattr(language.fit, "__defaults__", (30,))
+    rows = [(None if k % 2 else 8, ("the house is old" if k % 3 else "das haus ist alt und schön") + f" {k}", "en" if k % 3 else "de", None, 1) for k in range(300)]
+    found = language.op10_language(spark.createDataFrame(rows, cases.SCHEMA)).collect()
+    assert len(found) == 300 and {r.lang_pred for r in found} == {"en", "de"}
+
+
 def test_long_text_and_ties():
     rng = np.random.default_rng(1)
     model = language.LanguageModel(["a", "b"], np.ones((language.BUCKETS, 2)), np.ones((len(language.SCRIPTS) + 1, 2)))

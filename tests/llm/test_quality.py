@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from voxweave.llm import quality
@@ -118,6 +119,20 @@ def test_long_texts_are_scored_and_not_learned_from(spark, monkeypatch):
     assert got[100].lines == 50_001 and got[1].quality > 0.5 > got[0].quality
 
 
+def test_alike_rows_at_the_bound_of_lines(spark, monkeypatch):
+    """More lines of rows that are alike in id and text than the sample may hold: as many rows count as there is room for."""
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 60)
+    schema, text = "doc_id long, text string, label int", "A plain sentence, as one would write it.\nAnd a second line of it."
+    bad = spark.createDataFrame([(k, f"$$$ !!! BUY {k}\n>>> xx {k * 7} %%", 0) for k in range(20)], schema)
+    # the good rows are drawn last
+    good = spark.createDataFrame([(1000 + k, text, 1) for k in range(200)], schema).orderBy(F.desc(F.xxhash64("doc_id", "text"))).limit(1)
+    copies = good.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("k")
+    model = quality.fit(bad.union(copies))
+    assert model.weights.any()
+    found = {r.doc_id >= 1000: r.quality for r in quality.assess(bad.union(good), model, ["doc_id"]).collect()}
+    assert found[True] > 0.5 > found[False]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     out = quality.op7_quality(docs, labels).join(labels, "doc_id").filter("held_out").collect()

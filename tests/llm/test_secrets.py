@@ -47,7 +47,8 @@ def check(df):
         b = base(r or "")
         assert s.base_sha256 == hashlib.sha256(shown(b).encode()).hexdigest(), r
         assert [s.n_assign, s.n_access, s.n_hex] == [sum(k == x for _, k, _ in b) for x in range(3)]
-        assert s.spans == shown(sorted(b + extra(r or "", b))), r
+        pieces = [x.split(":") for x in s.piece_spans.split(",") if x]
+        assert s.spans == shown(sorted(b + extra(r or "", b) + [(int(x), scan.KINDS.index(k), int(y)) for k, x, y in pieces])), r
 
 
 def joined(docs):

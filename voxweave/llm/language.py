@@ -101,10 +101,36 @@ def _blocks(texts: list[str]):
 
 
 def sampled(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """At most ``most`` of the rows, at random by a hash of the key and thus the same ones each time; all if there are not as many."""
-    h = F.xxhash64(key)
-    found = rows.select(h.alias("h")).orderBy("h").limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h")).first()
-    return rows if found.n <= most else rows.filter(h < F.lit(found.h))
+    """``most`` of the rows, at random by a hash of the key and thus the same ones each time; all if there are not as many.
+
+    Where rows of one key (or without it) are more than there is room for, they are drawn by a hash of all their columns; of
+    rows that are alike in all of these as many count as there is room for.
+    """
+    below, edge, room = _drawn(rows, F.xxhash64(key), most)
+    if edge is None:
+        return rows
+    out = rows.filter(F.xxhash64(key) < edge)
+    if not room:
+        return out
+    tied = rows.filter(F.xxhash64(key) == edge)
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    _, last, left = _drawn(tied, whole, room)
+    out = out.unionByName(tied.filter(whole < last))
+    return out.unionByName(repeated(tied.filter(whole == last), left)) if left else out
+
+
+def _drawn(rows: DataFrame, h: Column, most: int) -> tuple[int, int | None, int]:
+    """How many rows have an h below the edge, the h of row most + 1 (None if there is no such row), and how many rows with that h there is room for."""
+    first = rows.select(h.alias("h")).orderBy("h").limit(most + 1)
+    found = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("h").alias("h"), F.max_by("n", "h").alias("tied")).first()
+    if (found.n or 0) <= most:
+        return found.n or 0, None, 0
+    return found.n - found.tied, found.h, most - (found.n - found.tied)
+
+
+def repeated(rows: DataFrame, times: int) -> DataFrame:
+    """Any one of the rows, ``times`` times."""
+    return rows.limit(1).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_copy")
 
 
 def _alone(value: list[float] | None, scores: np.ndarray) -> tuple[int, np.ndarray]:
@@ -244,11 +270,13 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "at", "n"])
 
     rows = sampled(labelled.filter("lang is not null and text is not null"), sample_rows).select("lang", "text")
-    found = mapped(rows, counted, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r.lang for r in found})
+    found = mapped(rows, counted, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    named = found["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(named.dictionary.to_pylist())
     counts = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
-    for r in found:
-        counts[r["at"], languages.index(r.lang)] = r.n
+    place = np.array([languages.index(x) for x in named.dictionary.to_pylist()], "i8")
+    if len(found):
+        counts[found["at"].to_numpy(), place[named.indices.to_numpy()]] = found["n"].to_numpy()
     return LanguageModel(languages, counts[:BUCKETS], counts[BUCKETS:])
 
 

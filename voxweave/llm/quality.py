@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxweave.llm.arrow import mapped
-from voxweave.llm.language import held_out, sampled
+from voxweave.llm.language import held_out, repeated, sampled
 from voxweave.llm.shingles import _word_hashes
 
 SAMPLE_ROWS = 6_000
@@ -224,8 +224,14 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     rows = rows.select(F.col("label").cast("int").alias("label"), "text", lines.alias("_lines"), F.xxhash64("doc_id", "text").alias("_h")).filter(F.col("_lines") <= LONGEST_LINES)
     # a running sum over as many rows as the sample has
     so_far = Window.partitionBy(F.lit(0)).orderBy("_h", "label").rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.select("_h", "label", F.sum("_lines").over(so_far).alias("_sum")).filter(F.col("_sum") > SAMPLE_LINES).agg(F.min("_h")).first()[0]
-    rows = (rows if last is None else rows.filter(F.col("_h") < F.lit(last))).select("label", "text")
+    fits = rows.select("_h", "label", F.sum("_lines").over(so_far).alias("_sum"))
+    last = fits.filter(F.col("_sum") > SAMPLE_LINES).agg(F.min("_h")).first()[0]
+    if last is not None:
+        # of the rows that are alike at the bound, as many as there is room for
+        room = fits.filter((F.col("_h") == last) & (F.col("_sum") <= SAMPLE_LINES)).count()
+        some = rows.filter(F.col("_h") < F.lit(last))
+        rows = some.unionByName(repeated(rows.filter(F.col("_h") == last), room)) if room else some
+    rows = rows.select("label", "text")
     found = sorted(mapped(rows, featured, "label int, features binary, lengths binary").collect(), key=lambda r: (r.label, bytes(r.features)))
     if len({r.label for r in found}) < 2:
         return QualityModel(np.zeros(FEATURES), np.zeros((2, 2)))

@@ -250,5 +250,5 @@ def op5_secrets(docs: DataFrame) -> DataFrame:
     rows = scan(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s.kind == kind)).cast("long")
     return rows.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("run_spans")).alias("spans"), as_text(F.col("piece_spans")).alias("piece_spans")
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("secret_spans")).alias("spans"), as_text(F.col("piece_spans")).alias("piece_spans")
     )
