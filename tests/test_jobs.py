@@ -240,6 +240,50 @@ def test_boundary_dedup_against_plain_python(spark):
     assert [(r.source_id, r.idx, r.start_ms, r.text) for r in got] == sorted(want, key=lambda x: (x[0], x[1])) if "text" in got[0].asDict() else len(got) == len(want)
 
 
+def plain_merge(rows, pieces):
+    """rows: (source, idx, seq, start, end, text) from the piece's start; pieces: (source, idx) -> (start, overlap)."""
+    out = []
+    for source in sorted({r[0] for r in rows}):
+        so_far, at = [], 0
+        for idx in sorted({r[1] for r in rows if r[0] == source}):
+            start, overlap = pieces[source, idx]
+            kept = [r for r in sorted(rows) if r[:2] == (source, idx) and (idx == 0 or not overlap or r[4] > overlap)]
+            head = " ".join(" ".join(r[5] for r in kept).split()[:30]).lower()
+            if so_far and head and difflib.SequenceMatcher(None, " ".join(so_far[-30:]).lower(), head).ratio() >= 0.82:
+                kept = [r for r in kept if r[3] >= overlap] or kept
+            for r in kept:
+                so_far += r[5].split()
+                out.append((source, at, idx, r[3] + start, r[5]))
+                at += 1
+    return out
+
+
+@pytest.mark.parametrize(("stretch", "most"), [(2, 12), (3, 40), (64, 20)])
+def test_merge_by_composition_against_plain_python(spark, stretch, most):
+    """Chunks of few and many words, whose first words are often the last ones merged so far, in stretches of any length."""
+    rng = random.Random(stretch)
+    vocab = [f"Word{k}" for k in range(50)]
+    rows, pieces = [], {}
+    for source in range(5):
+        said = []
+        for idx in range(rng.choice([1, 9, 30])):
+            pieces[source, idx] = (idx * 1000, rng.choice([0, 200]))
+            words = [rng.choice(vocab) for _ in range(rng.randint(0, most))]
+            if rng.random() < 0.7:
+                words = said[-rng.randint(5, 30) :] + words
+            # now and then something that no merge has kept
+            said = words if rng.random() < 0.5 else said + words
+            at = 0
+            for seq, k in enumerate(range(0, len(words), 7)):
+                rows.append((source, idx, seq, at, at + rng.choice([90, 150]), " ".join(words[k : k + 7])))
+                at += 100
+    have = spark.createDataFrame([(*r, 0.5) for r in rows], "source_id long, idx long, seq long, start_ms long, end_ms long, text string, confidence double").repartition(3)
+    where = spark.createDataFrame([(*k, *v) for k, v in pieces.items()], "source_id long, idx long, start_ms long, overlap_start_ms long")
+    got = [(r.source_id, r.seq, r.idx, r.start_ms, r.text) for r in reassemble.reassembled(have, where, stretch=stretch).orderBy("source_id", "seq").collect()]
+    assert got == plain_merge(rows, pieces)
+    assert len(got) < len(rows)
+
+
 def test_similarity_against_plain_python(spark):
     said = {}
     for r in fixtures.chunk_results(spark, SF).orderBy("source_id", "idx", "seq").collect():

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxweave.functions.text import word_list
+from voxweave.shared import saved
 
 #: Words of each side of a boundary that are compared, and the likeness from which they count as the same.
 EDGE_WORDS, LIKENESS = 30, 0.82
@@ -73,32 +74,87 @@ def alike(a: str, b: str, autojunk: bool = True) -> bool:
     return likeness(a, b, autojunk) >= LIKENESS
 
 
-def reassembled(results: DataFrame, chunks: DataFrame, autojunk: bool = True) -> DataFrame:
-    """The merged segments: source_id, seq (from 0), idx, start_ms, end_ms, text, confidence.
+#: Chunks of a source that are decided together.
+STRETCH = 64
 
-    A chunk whose first words are like the last ones merged so far loses the segments that start within its
-    overlap, unless that leaves none. What a chunk keeps decides what the next is compared with, so a source
-    is merged in order; sources are merged apart, each with no more than the words of one edge at hand
-    besides its rows.
+
+def chunk_edges(kept: DataFrame, n: int = EDGE_WORDS) -> DataFrame:
+    """One row per chunk: source_id, idx, rows, and what the merge compares, in lower case.
+
+    head, whole: its first and last n words; cut: its last n words without the segments that start within its overlap
+    (the whole's, if that leaves no segment); cuts: whether a cut drops segments and leaves some.
     """
-    kept = without_start_overlap(shifted(results, chunks)).select("source_id", "idx", "seq", "start_ms", "end_ms", "text", "confidence", (F.col("chunk_start_ms") + F.col("overlap_start_ms")).alias("overlap_end_ms"))
+    late = F.col("start_ms") >= F.col("overlap_end_ms")
+    words = lambda when: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("seq", "text")))), lambda s: word_list(F.lower(s.text))))
+    last = lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - n + 1), n)
+    rows = kept.groupBy("source_id", "idx").agg(words(F.lit(True)).alias("w"), words(late).alias("c"), F.count(F.lit(1)).alias("rows"), F.sum(late.cast("long")).alias("left"))
+    left = F.when(F.col("left") > 0, F.col("c")).otherwise(F.col("w"))
+    return rows.select("source_id", "idx", "rows", "left", F.slice("w", 1, n).alias("head"), last(F.col("w")).alias("whole"), last(left).alias("cut"), ((F.col("left") > 0) & (F.col("left") < F.col("rows"))).alias("cuts"))
+
+
+def cut_chunks(edges: DataFrame, autojunk: bool = True, stretch: int = STRETCH, n: int = EDGE_WORDS) -> DataFrame:
+    """source_id, idx of the chunks that lose their overlap in the merge.
 
-    def merged(key, pdf):
+    What a chunk keeps decides what the next is compared with. After a chunk of n words or more, whole or cut, there are
+    just two states: its last words if it was kept whole, or if it was cut. Stretches of chunks end with such a chunk, about
+    ``stretch`` apart. Each stretch is decided by itself for both states before it, which makes it a map from state to
+    state; the maps of a source, two numbers each, are composed in order, and give each stretch the state that holds.
+    """
+    closing = (F.size("whole") >= n) & (F.size("cut") >= n) & (F.col("idx") % stretch == stretch - 1)
+    before = Window.partitionBy("source_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    # a running sum of one flag per chunk
+    ends = edges.select("source_id", "idx", closing.alias("closes")).withColumn("stretch", F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0)))
+    rows = edges.join(ends, ["source_id", "idx"])
+    own = rows.select("source_id", "stretch", "idx", "head", "whole", "cut", "cuts")
+    given = rows.filter("closes").select("source_id", (F.col("stretch") + 1).alias("stretch"), F.lit(-1).cast(edges.schema["idx"].dataType).alias("idx"), "head", "whole", "cut", "cuts")
+    kind = edges.schema["source_id"].dataType.simpleString()
+
+    def decided(key, pdf):
         import pandas as pd
 
-        out, tail = [], []
-        for _, part in pdf.sort_values(["idx", "seq"]).groupby("idx", sort=True):
-            head = " ".join(" ".join(t.strip() for t in part.text).split()[:EDGE_WORDS]).lower()
-            if tail and head and alike(" ".join(tail).lower(), head, autojunk):
-                rest = part[part.start_ms >= part.overlap_end_ms]
-                part = rest if len(rest) else part
-            tail = (tail + " ".join(t.strip() for t in part.text).split())[-EDGE_WORDS:]
-            out.append(part)
-        done = pd.concat(out)
-        done["seq"] = range(len(done))
-        return done[["source_id", "seq", "idx", "start_ms", "end_ms", "text", "confidence"]]
-
-    return kept.groupBy("source_id").applyInPandas(merged, f"source_id {kept.schema['source_id'].dataType.simpleString()}, seq long, idx long, start_ms long, end_ms long, text string, confidence double")
+        pdf = pdf.sort_values("idx")
+        given, own = pdf[pdf.idx < 0], pdf[pdf.idx >= 0]
+        starts = [(), ()] if given.empty else [tuple(given.whole.iloc[0]), tuple(given.cut.iloc[0])]
+        known: dict[tuple[str, str], bool] = {}
+        out = []
+        for state, tail in enumerate(starts):
+            cut, ended = [], 0
+            for idx, head, whole, left, cuts in zip(own.idx, own["head"], own.whole, own.cut, own.cuts):
+                pair = (" ".join(tail), " ".join(head))
+                if pair not in known:
+                    known[pair] = bool(pair[0] and pair[1]) and alike(*pair, autojunk)
+                ended = int(known[pair])
+                if ended and cuts:
+                    cut.append(int(idx))
+                tail = (*tail, *(left if ended else whole))[-n:]
+            out.append((key[0], key[1], state, ended, cut))
+        return pd.DataFrame(out, columns=["source_id", "stretch", "state", "after", "cut"])
+
+    each = saved(own.unionByName(given).groupBy("source_id", "stretch").applyInPandas(decided, f"source_id {kind}, stretch long, state int, after int, cut array<long>"))
+    maps = each.groupBy("source_id", "stretch").agg(F.max(F.when(F.col("state") == 0, F.col("after"))).alias("of0"), F.max(F.when(F.col("state") == 1, F.col("after"))).alias("of1"))
+    lists = maps.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("stretch", "of0", "of1"))).alias("maps"))
+    # the state before each stretch: the composition of all maps before it, from the first state
+    states = F.aggregate("maps", F.array(F.lit(0)), lambda acc, m: F.concat(acc, F.array(F.when(F.element_at(acc, -1) == 0, m.of0).otherwise(m.of1))))
+    holds = lists.select("source_id", F.posexplode(states).alias("stretch", "state")).withColumn("stretch", F.col("stretch").cast("long"))
+    return each.join(holds, ["source_id", "stretch", "state"]).select("source_id", F.explode("cut").alias("idx"))
+
+
+def reassembled(results: DataFrame, chunks: DataFrame, autojunk: bool = True, stretch: int = STRETCH) -> DataFrame:
+    """The merged segments: source_id, seq (from 0), idx, start_ms, end_ms, text, confidence.
+
+    A chunk whose first words are like the last ones merged so far loses the segments that start within its
+    overlap, unless that leaves none. Only edges of chunks are compared (see cut_chunks); segments stay where they are,
+    and are numbered within their chunk, on top of the rows of the chunks before it.
+    """
+    kept = saved(without_start_overlap(shifted(results, chunks)).select("source_id", "idx", "seq", "start_ms", "end_ms", "text", "confidence", (F.col("chunk_start_ms") + F.col("overlap_start_ms")).alias("overlap_end_ms")))
+    edges = saved(chunk_edges(kept))
+    cut = saved(cut_chunks(edges, autojunk, stretch).withColumn("_cut", F.lit(True)))
+    before = Window.partitionBy("source_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = edges.select("source_id", "idx", "rows", "left").join(cut, ["source_id", "idx"], "left").withColumn("n", F.when(F.col("_cut"), F.col("left")).otherwise(F.col("rows")))
+    offsets = sizes.select("source_id", "idx", "_cut", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rows = kept.join(offsets, ["source_id", "idx"]).filter(F.col("_cut").isNull() | (F.col("start_ms") >= F.col("overlap_end_ms")))
+    place = F.row_number().over(Window.partitionBy("source_id", "idx").orderBy("seq")) - 1
+    return rows.select("source_id", (F.col("offset") + place).cast("long").alias("seq"), F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms", "text", F.col("confidence").cast("double").alias("confidence"))
 
 
 def headers(chunks: DataFrame, languages: DataFrame | None = None) -> DataFrame:
