@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tests.test_operators import wav
 from voxweave import __main__, log
+from voxweave.config import Options
 from voxweave.operators import align, chunks, halt, models, reassemble, render, resume
 from voxweave.plans import catalog, jobs, pipeline
 from voxweave.sources import audio, fixtures
@@ -106,11 +107,45 @@ def test_transcripts_wait_for_their_speakers(spark, recordings, tmp_path):
         def transcribe(self, path, content):
             raise AssertionError("it is there already")
 
-    turned, segments = jobs.transcribe_and_diarize(good, stage, transcriber=Never)
+    turned, segments, status = jobs.transcribe_and_diarize(good, stage, transcriber=Never)
+    assert [(r.status, r.error) for r in status.collect()] == [("DONE", None)]
     assert segments.count() == 3 and [r.speaker for r in turned.orderBy("turn_index").collect()] == ["INTERVIEWEE", "INTERVIEWER", "INTERVIEWEE"]
     assert not jobs.exists(spark, stage)
 
 
+def test_speakers_of_recordings_in_pieces(spark, recordings, tmp_path):
+    """Cut, halted, resumed and diarized; a damaged file is a row with its error, and no access is known before any work."""
+    stage, table, made = str(tmp_path / "stage"), str(tmp_path / "table"), tmp_path / "made"
+    made.mkdir()
+    folder = str(made)
+    in_pieces = lambda stop=None: jobs.transcribe_in_pieces(recordings, PLAN, table, lambda: Counting(folder), unit=1, stop=stop)
+
+    class Asks(models.AlternatingDiarizer):
+        def check_access(self):
+            raise PermissionError("no token")
+
+    with pytest.raises(PermissionError, match="no token"):
+        jobs.transcribe_and_diarize(recordings, stage, diarizer=Asks, whole=in_pieces)
+    assert not list(made.iterdir())
+    stop = halt.Halt()
+    stop.ask()
+    with pytest.raises(halt.Halted):
+        jobs.transcribe_and_diarize(recordings, stage, whole=lambda: in_pieces(stop))
+    turned, segments, status = jobs.transcribe_and_diarize(recordings, stage, whole=in_pieces)
+    assert segments.count() == 5 and turned.select("source_id").distinct().count() == 2
+    found = {r.source_id.rsplit("/", 1)[1]: (r.status, r.error) for r in status.collect()}
+    assert found["one.wav"] == found["two.wav"] == ("DONE", None) and found["damaged.wav"][0] == "FAILED" and "Error" in found["damaged.wav"][1]
+
+
+def test_options_reach_engines():
+    class Engine:
+        def __init__(self, model_size, beam_size=1, other=3):
+            self.got = (model_size, beam_size, other)
+
+    assert models.configured(Engine, Options(model_size="tiny", beam_size=4))().got == ("tiny", 4, 3)
+    assert len(list(models.LoudnessTranscriber(vad_filter=True, vad_min_speech_duration_ms=1500).transcribe("x", wav(TALK)))) == 2
+
+
 def test_all_formats_are_written(recordings, tmp_path):
     good, out = recordings.filter("path like '%one%'"), tmp_path / "out"
     turned = pipeline.transcribe_and_diarize(good)
@@ -321,6 +356,10 @@ def test_log_levels():
     assert logging.getLogger("voxweave").isEnabledFor(logging.DEBUG)
     log.configure("ERROR")
     assert not logging.getLogger("voxweave").isEnabledFor(logging.WARNING)
+    out, others = io.StringIO(), list(logging.getLogger().handlers)
+    log.configure("INFO", out)
+    logging.getLogger("voxweave.plans.jobs").info("%d done", 3)
+    assert out.getvalue().startswith("[info ") and out.getvalue().endswith("plans.jobs: 3 done\n") and logging.getLogger().handlers == others
 
 
 def test_a_still_source_closes_its_turn(spark, tmp_path):

@@ -8,10 +8,12 @@ part of this package: they cut the signal by loudness alone, always in the same
 from __future__ import annotations
 
 import hashlib
+import inspect
 import math
 import time
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import partial
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
@@ -55,13 +57,15 @@ def _loud(content: bytes, least_ms: int) -> list[tuple[int, int]]:
 
 
 class LoudnessTranscriber:
-    """One segment per loud stretch; its text says how long it is."""
+    """One segment per loud stretch; its text says how long it is. With vad_filter, stretches below vad_min_speech_duration_ms are left out."""
 
-    def __init__(self, least_ms: int = 300):
-        self.least_ms = least_ms
+    def __init__(self, least_ms: int = 300, vad_filter: bool = False, vad_min_speech_duration_ms: int = 250):
+        self.least_ms, self.shortest_ms = least_ms, vad_min_speech_duration_ms if vad_filter else 0
 
     def transcribe(self, path: str, content: bytes) -> Iterable[Spoken]:
         for a, b in _loud(content, self.least_ms):
+            if b - a < self.shortest_ms:
+                continue
             yield Spoken(a, b, f"{b - a} ms of sound", -0.1)
 
 
@@ -81,6 +85,19 @@ ENGINES: dict[str, Callable[[], Transcriber]] = {"loudness": LoudnessTranscriber
 DIARIZERS: dict[str, Callable[[], Diarizer]] = {"alternating": AlternatingDiarizer}
 
 
+def configured(engine: Callable[..., object], options: object) -> Callable[[], object]:
+    """A factory of the engine with those options (a dataclass) that its parameters name."""
+    wanted = inspect.signature(engine).parameters
+    return partial(engine, **{f.name: getattr(options, f.name) for f in fields(options) if f.name in wanted})
+
+
+def check_access(factory: Callable[[], object]) -> None:
+    """Asks an engine that has check_access for it, which raises where its model can't be had."""
+    ask = getattr(factory(), "check_access", None)
+    if ask is not None:
+        ask()
+
+
 def _key(factory: Callable[[], object]) -> str:
     """What tells a factory from others: its code and all that it holds, not only its name."""
     from pyspark import cloudpickle
@@ -102,6 +119,7 @@ def attempted(files: DataFrame, factory: Callable[[], Transcriber] = LoudnessTra
         import pyarrow as pa
 
         from voxweave.operators.halt import Halted
+        from voxweave.sources.audio import prepared
 
         segment = pa.struct([("seq", pa.int64()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("text", pa.string()), ("confidence", pa.float64())])
         schema = pa.schema([("source_id", pa.string()), ("status", pa.string()), ("error", pa.string()), ("elapsed_s", pa.float64()), ("segments", pa.list_(segment))])
@@ -110,7 +128,7 @@ def attempted(files: DataFrame, factory: Callable[[], Transcriber] = LoudnessTra
                 began, error, segments = time.perf_counter(), None, []
                 path = path.as_py()
                 try:
-                    for seq, s in enumerate(_model(factory, key).transcribe(path, content.as_py())):
+                    for seq, s in enumerate(_model(factory, key).transcribe(path, prepared(content.as_py()))):
                         segments.append({"seq": seq, "start_ms": s.start_ms, "end_ms": s.end_ms, "text": s.text, "confidence": round(min(1.0, max(0.0, math.exp(s.avg_logprob))), 4)})
                 except Halted:
                     raise
@@ -140,14 +158,14 @@ def diarized(files: DataFrame, factory: Callable[[], Diarizer] = AlternatingDiar
     def rows(batches):
         import pyarrow as pa
 
-        from voxweave.sources.audio import _error
+        from voxweave.sources.audio import _error, prepared
 
         schema = pa.schema([("source_id", pa.string()), ("dseq", pa.int64()), ("speaker", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64())])
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = content.as_py()
                 if _error(data) is None:
-                    found = sorted(_model(factory, key).diarize(path.as_py(), data, num_speakers), key=lambda x: x[1])
+                    found = sorted(_model(factory, key).diarize(path.as_py(), prepared(data), num_speakers), key=lambda x: x[1])
                     yield pa.RecordBatch.from_pylist([{"source_id": path.as_py(), "dseq": k, "speaker": speaker, "start_ms": a, "end_ms": b} for k, (speaker, a, b) in enumerate(found)], schema)
 
     return files.select(F.col("path"), F.col("content")).mapInArrow(rows, INTERVALS)

@@ -5,14 +5,12 @@ segments: source_id, seq, start_ms, end_ms, text, confidence; results: source_id
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxweave.functions.text import clock, joined, minute_clock, seconds, srt_time, stripped, word_count
 from voxweave.operators.align import full_text, speaker_stats
+from voxweave.shared import discard, saved
 
 RULE = "═" * 56
 
@@ -127,22 +125,16 @@ def renderer(name: str):
 
 
 def write(rendered: DataFrame, folder: str, ext: str) -> int:
-    """Writes each body (text or bytes) to folder/source_id + ext, on the executors; JSON is indented. The number of files.
+    """Writes each body (text or bytes) to folder/source_id + ext, on the executors, all or none (see sources.sink); JSON is indented. The number of files.
 
-    The folder must be one that all executors reach by its path. A file appears under its name only when whole.
+    The folder must be one that all executors reach by its path.
     """
-
-    def written(batches):
-        import pandas as pd
-
-        os.makedirs(folder, exist_ok=True)
-        for pdf in batches:
-            for source, body in zip(pdf.source_id, pdf.body, strict=True):
-                path = os.path.join(folder, f"{source}{ext}")
-                data = body if isinstance(body, bytes) else (json.dumps(json.loads(body), ensure_ascii=False, indent=2) if ext.endswith("json") else body).encode()
-                with open(f"{path}.tmp-{os.getpid()}", "wb") as out:
-                    out.write(data)
-                os.replace(f"{path}.tmp-{os.getpid()}", path)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    return rendered.select(F.col("source_id").cast("string").alias("source_id"), "body").mapInPandas(written, "n long").groupBy().sum("n").first()[0] or 0
+    from voxweave.sources.sink import Files
+
+    spark = rendered.sparkSession
+    spark.dataSource.register(Files)
+    rows = saved(rendered.select(F.col("source_id").cast("string").alias("source_id"), "body"))
+    rows.write.format(Files.name()).mode("append").option("ext", ext).save(folder)
+    n = rows.count()
+    discard(rows)
+    return n

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from voxweave.operators import align, chunks, halt, models, reassemble, resume
 from voxweave.plans import pipeline
 from voxweave.shared import saved
-from voxweave.sources import audio, checkpoints
+from voxweave.sources import audio, checkpoints, recordings
+
+#: Recordings as a table of path and content, or as a folder that is read by ranges.
+Recordings = DataFrame | pipeline.Contents | recordings.Folder
 
 logger = logging.getLogger(__name__)
 
@@ -31,33 +34,38 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def units(pieces: DataFrame, size: int) -> DataFrame:
+def units(pieces: DataFrame, size: int, by: tuple[str, ...] = ("source_id", "idx")) -> DataFrame:
     """pieces with ``unit``, a number below their count / size, drawn by a hash; so units hold about ``size`` of them, without a sort."""
     n = max(1, -(-pieces.count() // size))
-    return pieces.withColumn("unit", F.pmod(F.xxhash64("source_id", "idx"), F.lit(n)))
+    return pieces.withColumn("unit", F.pmod(F.xxhash64(*by), F.lit(n)))
 
 
-def _live(files: DataFrame, pieces: DataFrame) -> DataFrame:
+def _live(files: Recordings, pieces: DataFrame) -> DataFrame:
     """source_id, source_size_bytes, total_chunks as they are now."""
-    sizes = files.select(F.col("path").alias("source_id"), F.octet_length("content").cast("long").alias("source_size_bytes"))
+    sizes = pipeline.sound(files).sizes()
     return pieces.groupBy("source_id").agg(F.count(F.lit(1)).cast("int").alias("total_chunks")).join(sizes, "source_id")
 
 
 def transcribe_in_pieces(
-    files: DataFrame, plan: chunks.ChunkPlan, table: str, transcriber: Callable[[], models.Transcriber] = models.LoudnessTranscriber, unit: int = 64, stop: halt.Halt | None = None, least_ms: int = 800, keep: bool = False, language: str = "es"
+    files: Recordings, plan: chunks.ChunkPlan, table: str, transcriber: Callable[[], models.Transcriber] = models.LoudnessTranscriber, unit: int = 64, stop: halt.Halt | None = None, least_ms: int = 800, keep: bool = False, language: str = "es"
 ) -> tuple[DataFrame, DataFrame]:
     """Segments and headers of long recordings by way of their pieces; table: path of the checkpoint.
 
+    files: a folder read by ranges, of which each piece reads its own bytes, or a table of contents, whose units are of
+    whole sources, so that each is decoded in one unit.
+
     Pieces that the table has, of a source of the same size and number of pieces, are not made again. After each
     unit a halt that was asked for is granted (halt.Halted), and the next call goes on from there. A piece that fails
     raises when all others are done, so that they are kept. The table is removed at the end unless it is to be kept.
     """
-    spark = files.sparkSession
+    held = pipeline.sound(files)
+    spark = held.spark if isinstance(held, recordings.Folder) else held.files.sparkSession
+    by = ("source_id", "idx") if isinstance(held, recordings.Folder) else ("source_id",)
     stop = stop or halt.Halt()
     pieces = saved(pipeline.plan_chunks(files, plan, least_ms))
     live = saved(_live(files, pieces))
     have = _usable(spark, table, live)
-    todo = saved(units(pieces.join(resume.pending(pieces, have), ["source_id", "idx"], "left_semi"), unit))
+    todo = saved(units(pieces.join(resume.pending(pieces, have), ["source_id", "idx"], "left_semi"), unit, by))
     total, n_units = pieces.count(), (todo.agg(F.max("unit")).first()[0] or 0) + 1 if not todo.isEmpty() else 0
     finished = total - todo.count()
     if finished:
@@ -68,7 +76,7 @@ def transcribe_in_pieces(
             stop.check(f"{finished} of {total} pieces")
             began = time.perf_counter()
             mine = todo.filter(F.col("unit") == k).drop("unit")
-            made = saved(_pieces_made(files, mine, transcriber))
+            made = saved(_pieces_made(held, mine, transcriber))
             done = made.filter("status = 'DONE'").select("source_id", "idx", F.struct(F.lit(language).alias("language"), (F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: F.greatest(a, s.end_ms)) / 1000.0).alias("duration"), _as_results("segments").alias("segments")).alias("result"))
             checkpoints.append(done.join(live, "source_id"), table)
             failed += made.filter("status = 'FAILED'").count()
@@ -95,9 +103,9 @@ def _usable(spark: SparkSession, table: str, live: DataFrame) -> DataFrame:
     return resume.usable(checkpoints.load(spark, table), live)
 
 
-def _pieces_made(files: DataFrame, pieces: DataFrame, transcriber: Callable[[], models.Transcriber]) -> DataFrame:
+def _pieces_made(held: pipeline.Contents | recordings.Folder, pieces: DataFrame, transcriber: Callable[[], models.Transcriber]) -> DataFrame:
     """ATTEMPTS of pieces, with idx."""
-    named = pipeline.cut(files, pieces).select(F.concat_ws("\t", "path", F.col("idx").cast("string")).alias("path"), "content")
+    named = held.cut(pieces).select(F.concat_ws("\t", "path", F.col("idx").cast("string")).alias("path"), "content")
     parts = F.split("source_id", "\t")
     rows = models.attempted(named, transcriber)
     return rows.select(parts[0].alias("source_id"), parts[1].cast("int").alias("idx"), "status", "error", "segments")
@@ -123,24 +131,48 @@ def summary(status: DataFrame, elapsed_s: float) -> str:
 
 
 def transcribe_and_diarize(
-    files: DataFrame, stage: str, transcriber: Callable[[], models.Transcriber] = models.LoudnessTranscriber, diarizer: Callable[[], models.Diarizer] = models.AlternatingDiarizer, num_speakers: int | None = None, flip: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Turns under interview roles, and the segments; stage: path of the stage checkpoint.
-
-    The finished transcript of each source is kept there until its speakers are found, and is used again by a later
-    call if the source still has its size.
+    files: DataFrame,
+    stage: str,
+    transcriber: Callable[[], models.Transcriber] = models.LoudnessTranscriber,
+    diarizer: Callable[[], models.Diarizer] = models.AlternatingDiarizer,
+    num_speakers: int | None = None,
+    flip: bool = False,
+    whole: Callable[[], tuple[DataFrame, DataFrame]] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns under interview roles, the segments, and source_id, status and error of each file; stage: path of the stage checkpoint.
+
+    The diarizer is asked for its access before anything costly is done. The finished transcript of each source is kept in the
+    stage until its speakers are found, and is used again by a later call if the source still has its size. whole gives segments and
+    headers in place of the transcriber, as transcribe_in_pieces does.
     """
+    models.check_access(diarizer)
     spark = files.sparkSession
-    sizes = files.select("path", F.octet_length("content").cast("long").alias("source_size_bytes"))
+    sizes = files.select(F.col("path").alias("source_id"), F.octet_length("content").cast("long").alias("source_size_bytes"))
     have = spark.createDataFrame([], checkpoints.STAGE)
     if exists(spark, stage):
-        have = checkpoints.load_stage(spark, stage, sizes.withColumnRenamed("path", "source_id"))
+        have = checkpoints.load_stage(spark, stage, sizes)
     todo = files.join(have.select(F.col("source_id").alias("path")), "path", "left_anti")
-    made = saved(models.attempted(todo, transcriber).filter("status = 'DONE'"))
-    checkpoints.append_stage(made.join(sizes.withColumnRenamed("path", "source_id"), "source_id"), stage)
-    transcripts = saved(checkpoints.load_stage(spark, stage, sizes.withColumnRenamed("path", "source_id")))
+    if whole is None:
+        attempts = saved(models.attempted(todo, transcriber))
+    elif todo.isEmpty():
+        attempts = spark.createDataFrame([], models.ATTEMPTS)
+    else:
+        attempts = saved(_as_attempts(files, *whole()).join(todo.select(F.col("path").alias("source_id")), "source_id", "left_semi"))
+    checkpoints.append_stage(attempts.filter("status = 'DONE'").join(sizes, "source_id"), stage)
+    transcripts = saved(checkpoints.load_stage(spark, stage, sizes))
     segments = models.segments_of(transcripts.withColumn("status", F.lit("DONE")))
     intervals = models.diarized(files, diarizer, num_speakers)
     turned = saved(align.align(segments, intervals, align.role_map(intervals, flip)))
+    failed = attempts.filter("status = 'FAILED'").select("source_id", "status", "error")
+    status = saved(transcripts.select("source_id", F.lit("DONE").alias("status"), F.lit(None).cast("string").alias("error")).unionByName(failed))
     remove(spark, stage)
-    return turned, segments
+    return turned, segments, status
+
+
+def _as_attempts(files: DataFrame, segments: DataFrame, heads: DataFrame) -> DataFrame:
+    """ATTEMPTS of files whose segments are known; a file without a header failed."""
+    said = segments.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms", "text", "confidence"))).alias("segments"))
+    rows = audio.readable(files).withColumnRenamed("path", "source_id").join(heads.select("source_id", F.lit(True).alias("_has")), "source_id", "left").join(said, "source_id", "left")
+    done = F.col("_has").isNotNull()
+    none = F.array().cast("array<struct<seq: bigint, start_ms: bigint, end_ms: bigint, text: string, confidence: double>>")
+    return rows.select("source_id", F.when(done, "DONE").otherwise("FAILED").alias("status"), F.when(~done, F.coalesce("error", F.lit("no pieces"))).alias("error"), F.lit(0.0).alias("elapsed_s"), F.coalesce("segments", none).alias("segments"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from voxweave.functions.text import stripped
 from voxweave.operators import align, chunks, models, reassemble, render, resume
 from voxweave.shared import saved
-from voxweave.sources import audio
+from voxweave.sources import audio, recordings
 
 
 def read(spark: SparkSession, folder: str, batch: bool = True) -> DataFrame:
@@ -23,11 +24,36 @@ def transcribe(files: DataFrame, transcriber: Callable[[], models.Transcriber] =
     return models.transcribed(files, transcriber)
 
 
-def plan_chunks(files: DataFrame, plan: chunks.ChunkPlan, least_ms: int = 800, dbfs: float = -40.0) -> DataFrame:
+@dataclass(frozen=True)
+class Contents:
+    """Recordings as a table of path and content: what a job over long recordings needs of them. For small ones; a folder is better read by ranges (recordings.Folder)."""
+
+    files: DataFrame
+
+    def totals(self) -> DataFrame:
+        """source_id, total_ms."""
+        return audio.decoded(self.files).select(F.col("path").alias("source_id"), F.floor(F.col("duration_s") * 1000).alias("total_ms"))
+
+    def silences(self, least_ms: int, dbfs: float) -> DataFrame:
+        return audio.silences(self.files, least_ms, dbfs)
+
+    def sizes(self) -> DataFrame:
+        """source_id, source_size_bytes."""
+        return self.files.select(F.col("path").alias("source_id"), F.octet_length("content").cast("long").alias("source_size_bytes"))
+
+    def cut(self, pieces: DataFrame) -> DataFrame:
+        return cut(self.files, pieces)
+
+
+def sound(files: DataFrame | Contents | recordings.Folder) -> Contents | recordings.Folder:
+    return Contents(files) if isinstance(files, DataFrame) else files
+
+
+def plan_chunks(files: DataFrame | Contents | recordings.Folder, plan: chunks.ChunkPlan, least_ms: int = 800, dbfs: float = -40.0) -> DataFrame:
     """The pieces to which the silences of each recording lead: source_id, idx, start_ms, end_ms and overlaps."""
-    ends = audio.decoded(files).select(F.col("path").alias("source_id"), F.floor(F.col("duration_s") * 1000).alias("total_ms"))
-    gaps = audio.silences(files, least_ms, dbfs).withColumnRenamed("path", "source_id")
-    return chunks.boundaries(chunks.cut_points(ends, gaps, plan), plan)
+    held = sound(files)
+    gaps = held.silences(least_ms, dbfs).withColumnRenamed("path", "source_id")
+    return chunks.boundaries(chunks.cut_points(held.totals(), gaps, plan), plan)
 
 
 def cut(files: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -49,9 +75,9 @@ def cut(files: DataFrame, pieces: DataFrame) -> DataFrame:
     return files.select("path", "content").join(lists, "path").select("path", "content", "pieces").mapInArrow(rows, "path string, idx long, content binary")
 
 
-def keep_chunks(files: DataFrame, pieces: DataFrame, folder: str) -> int:
+def keep_chunks(files: DataFrame | Contents | recordings.Folder, pieces: DataFrame, folder: str) -> int:
     """Writes each piece as a WAV file into a folder that all executors reach; the number of files."""
-    named = cut(files, pieces).select(chunks.chunk_name(F.col("path"), F.col("idx")).alias("source_id"), F.col("content").alias("body"))
+    named = sound(files).cut(pieces).select(chunks.chunk_name(F.col("path"), F.col("idx")).alias("source_id"), F.col("content").alias("body"))
     return render.write(named, folder, "")
 
 

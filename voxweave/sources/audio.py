@@ -24,10 +24,13 @@ def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES)
     return files.filter(suffix(F.col("path")).isin(*suffixes)).select("path", "length").orderBy("path")
 
 
-def samples(content: bytes, rate: int = RATE) -> np.ndarray:
-    """Mono samples from -1 to 1 at the given rate, by linear interpolation."""
-    with wave.open(io.BytesIO(content)) as f:
-        width, channels, had, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+#: Taps of the low-pass filter on each side of a sample, for each sample of the lower rate.
+TAPS = 16
+
+
+def mono(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Frames of PCM as samples from -1 to 1, channels averaged."""
+    raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 3:  # put above an empty byte, so that the sign is in its place
         wide = np.zeros((len(raw) // 3, 4), "u1")
         wide[:, 1:] = np.frombuffer(raw, "u1").reshape(-1, 3)
@@ -35,10 +38,26 @@ def samples(content: bytes, rate: int = RATE) -> np.ndarray:
     else:
         x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype("f8")
         x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
-    x = x.reshape(-1, channels).mean(axis=1)
-    if had != rate and len(x):
-        x = np.interp(np.arange(int(len(x) * rate / had)) * had / rate, np.arange(len(x)), x)
-    return x
+    return x.reshape(-1, channels).mean(axis=1)
+
+
+def resampled(x: np.ndarray, had: int, rate: int) -> np.ndarray:
+    """x at another rate by linear interpolation; on the way down what the lower rate can't hold is taken out by a windowed sinc first."""
+    if had == rate or not len(x):
+        return x
+    if had > rate:
+        half = min(len(x) - 1, TAPS * had // rate)
+        at = np.arange(-half, half + 1)
+        kernel = np.sinc(at * rate * 0.9 / had) * np.hamming(2 * half + 1)
+        x = np.convolve(x, kernel / kernel.sum())[half : half + len(x)]
+    return np.interp(np.arange(int(len(x) * rate / had)) * had / rate, np.arange(len(x)), x)
+
+
+def samples(content: bytes, rate: int = RATE) -> np.ndarray:
+    """Mono samples from -1 to 1 at the given rate."""
+    with wave.open(io.BytesIO(content)) as f:
+        width, channels, had, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+    return resampled(mono(raw, width, channels), had, rate)
 
 
 def silent_spans(x: np.ndarray, rate: int = RATE, least_ms: int = 800, dbfs: float = -40.0) -> list[tuple[int, int]]:
@@ -67,7 +86,7 @@ def encoded(x: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def prepared(content: bytes, rate: int = RATE) -> bytes:
-    """The file itself if it is mono of the rate and 16 bits, else its samples as such a file."""
+    """What engines are given: the file itself if it is mono of the rate and 16 bits, else its samples as such a file."""
     with wave.open(io.BytesIO(content)) as f:
         if (f.getsampwidth(), f.getnchannels(), f.getframerate()) == (2, 1, rate):
             return content
