@@ -158,8 +158,21 @@ def test_checkpoints(spark, tmp_path):
     path = str(tmp_path / "table")
     checkpoints.append(rows, path)
     checkpoints.append(rows.filter("idx = 1"), path)
-    back = checkpoints.load(spark, path)
+    back = checkpoints.load(spark, path).cache()
     assert back.count() == 2
+    checkpoints.append(rows.filter("idx = 1").withColumn("total_chunks", F.lit(7)), path)
+    checkpoints.compact(spark, path)
+    checkpoints.append(rows.filter("idx = 0").withColumn("total_chunks", F.lit(8)), path)
+    assert {r.idx: r.total_chunks for r in checkpoints.load(spark, path).collect()} == {0: 8, 1: 7}
+    # a compaction that broke off leaves what was there
+    (tmp_path / "table" / "generation-2").mkdir()
+    assert checkpoints.load(spark, path).count() == 2
+    checkpoints.compact(spark, path)
+    many = spark.range(100_000).select(F.col("id").cast("string").alias("source_id"), F.lit(1).cast("long").alias("source_size_bytes"), F.lit(1).alias("total_chunks"), F.lit(0).alias("idx"), F.lit(None).cast(checkpoints.RESULT).alias("result"))
+    checkpoints.append(many.coalesce(1), path)
+    assert checkpoints.load(spark, path).count() == 100_002
+    checkpoints.compact(spark, path)
+    assert [p.name for p in (tmp_path / "table").iterdir()] == ["generation-3"] and len(list((tmp_path / "table" / "generation-3").glob("bucket=*"))) == checkpoints.BUCKETS
     documents = checkpoints.to_documents(back, "2024-01-01T00:00:00+00:00")
     again = checkpoints.from_documents(documents.union(spark.createDataFrame([("b", "NOT JSON"), ("c", '{"version": 2}')], "source_id string, body string")))
     assert sorted((r.source_id, r.idx, r.result.language) for r in again.collect()) == [("a", 0, "es"), ("a", 1, "es")]

@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
     plan, chosen = ChunkPlan(target_ms=int(args.chunk_minutes * 60_000)), recordings.Folder(spark, where)
     if args.skip_existing or args.diarize:  # some of the folder's files, or such as are decoded whole for their speakers anyway
         chosen = pipeline.Contents(files)
-    stop = halt.Halt(listen=args.chunk, at_once=spark.sparkContext.cancelAllJobs)
+    stop = halt.Halt(listen=args.chunk)
     in_pieces = lambda: jobs.transcribe_in_pieces(chosen, plan, f"{shared_dir(spark)}/pieces-{again}", engine, stop=stop, least_ms=args.silence_ms, language=options.language)
     try:
         if args.diarize:

@@ -19,7 +19,7 @@ class Halt:
     """As a context, listens for SIGINT and SIGTERM, and for WORDS if the input is a terminal.
 
     The first signal asks for a halt, which the job grants when its unit of work is done. The second one calls
-    ``at_once`` (such as ``spark.sparkContext.cancelAllJobs``) and exits.
+    ``at_once`` (which a job sets to what stops its own work) and exits.
     """
 
     def __init__(self, listen: bool = False, at_once: Callable[[], None] = lambda: None):

@@ -1,6 +1,6 @@
 """Long-running work over recordings: in units, resumed from what is done, stopped between units, failures noted.
 
-A unit is a batch of pieces that Spark transcribes side by side; its results are appended to a
+A unit is a micro-batch of pieces that Spark transcribes side by side (streaming.units); its results are appended to a
 table in the shared folder before the next unit begins. So a lost executor costs a task, a lost driver a unit.
 """
 
@@ -17,6 +17,7 @@ from voxweave.operators import align, chunks, halt, models, reassemble, resume
 from voxweave.plans import pipeline
 from voxweave.shared import saved
 from voxweave.sources import audio, checkpoints, recordings
+from voxweave.streaming import units as work
 
 #: Recordings as a table of path and content, or as a folder that is read by ranges.
 Recordings = DataFrame | pipeline.Contents | recordings.Folder
@@ -66,24 +67,27 @@ def transcribe_in_pieces(
     live = saved(_live(files, pieces))
     have = _usable(spark, table, live)
     todo = saved(units(pieces.join(resume.pending(pieces, have), ["source_id", "idx"], "left_semi"), unit, by))
-    total, n_units = pieces.count(), (todo.agg(F.max("unit")).first()[0] or 0) + 1 if not todo.isEmpty() else 0
+    total = pieces.count()
     finished = total - todo.count()
     if finished:
         logger.info("resuming: %d of %d pieces are done", finished, total)
     failed = 0
+
+    def made_of(mine: DataFrame, number: int) -> None:
+        nonlocal failed, finished
+        began = time.perf_counter()
+        made = saved(_pieces_made(held, mine, transcriber))
+        done = made.filter("status = 'DONE'").select("source_id", "idx", F.struct(F.lit(language).alias("language"), (F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: F.greatest(a, s.end_ms)) / 1000.0).alias("duration"), _as_results("segments").alias("segments")).alias("result"))
+        checkpoints.append(done.join(live, "source_id"), table)
+        failed += made.filter("status = 'FAILED'").count()
+        finished += done.count()
+        audio_s = (mine.agg(F.sum(F.col("end_ms") - F.col("start_ms"))).first()[0] or 0) / 1000
+        elapsed = time.perf_counter() - began
+        logger.info("%d/%d (%d%%): %.0f s of sound in %.0f s, %.1f times real time", finished, total, 100 * finished // max(1, total), audio_s, elapsed, audio_s / elapsed if elapsed > 0 else 0)
+
     with stop:
-        for k in range(n_units):
-            stop.check(f"{finished} of {total} pieces")
-            began = time.perf_counter()
-            mine = todo.filter(F.col("unit") == k).drop("unit")
-            made = saved(_pieces_made(held, mine, transcriber))
-            done = made.filter("status = 'DONE'").select("source_id", "idx", F.struct(F.lit(language).alias("language"), (F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: F.greatest(a, s.end_ms)) / 1000.0).alias("duration"), _as_results("segments").alias("segments")).alias("result"))
-            checkpoints.append(done.join(live, "source_id"), table)
-            failed += made.filter("status = 'FAILED'").count()
-            finished += done.count()
-            audio_s = (mine.agg(F.sum(F.col("end_ms") - F.col("start_ms"))).first()[0] or 0) / 1000
-            elapsed = time.perf_counter() - began
-            logger.info("%d/%d (%d%%): %.0f s of sound in %.0f s, %.1f times real time", finished, total, 100 * finished // max(1, total), audio_s, elapsed, audio_s / elapsed if elapsed > 0 else 0)
+        if not todo.isEmpty():
+            work.run(todo, made_of, stop, progress=lambda: f"{finished} of {total} pieces")
     if failed:
         raise RuntimeError(f"{failed} of {total} pieces failed; the others are kept in {table}")
     results = saved(_usable(spark, table, live))

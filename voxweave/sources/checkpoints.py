@@ -1,12 +1,14 @@
 """Completed work as a table, and as JSON documents.
 
-The table holds one row per completed piece and its segments; a unit of work is appended as files that
-appear only when whole, so a lost executor or driver leaves nothing half done, and completed pieces are
-never rewritten. The JSON form is for exchange; unreadable or outdated documents count as absent.
+The table holds one row per completed piece and its segments, in a fixed number of buckets by source; a unit of work is
+appended as files that appear only when whole, so a lost executor or driver leaves nothing half done. Of several rows of a
+piece the latest counts. The JSON form is for exchange; unreadable or outdated documents count as absent.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +33,60 @@ def load_stage(spark: SparkSession, path: str, now: DataFrame) -> DataFrame:
     return rows.join(now.select("source_id", "source_size_bytes"), ["source_id", "source_size_bytes"], "left_semi").dropDuplicates(["source_id"])
 
 
+#: Folders that sources are dealt to, however many there are.
+BUCKETS = 64
+#: What a row of the table on disk has besides: when it was added.
+ADDED = "added bigint"
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """The generations of the table that were written to their end, ascending."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [d.getPath().getName() for d in fs.listStatus(at)] if fs.exists(at) else []
+    numbers = sorted(int(n.removeprefix("generation-")) for n in names if n.startswith("generation-"))
+    return [n for n in numbers if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation-{n}/_SUCCESS"))]
+
+
+def _write(rows: DataFrame, path: str, generation: int, mode: str) -> None:
+    bucket = F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).write.mode(mode).partitionBy("bucket").parquet(f"{path}/generation-{generation}")
+
+
 def append(results: DataFrame, path: str) -> None:
     """Adds completed pieces (source_id, source_size_bytes, total_chunks, idx, result) to the table at path."""
-    results.withColumn("version", F.lit(VERSION)).select("source_id", "source_size_bytes", "total_chunks", "version", "idx", "result").write.mode("append").partitionBy("source_id").parquet(path)
+    spark = results.sparkSession
+    now = F.lit(time.time_ns())
+    rows = results.withColumn("version", F.lit(VERSION)).select("source_id", "source_size_bytes", "total_chunks", "version", "idx", "result", now.alias("added"))
+    _write(rows, path, max(_generations(spark, path), default=0), "append")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The table at path, one row per piece; a piece that was saved twice counts once."""
-    return spark.read.schema(TABLE).parquet(path).dropDuplicates(["source_id", "idx"])
+    """The table at path, one row per piece: the latest of those that were added."""
+    found = [f"{path}/generation-{n}" for n in _generations(spark, path)]
+    if not found:
+        return spark.createDataFrame([], TABLE)
+    rows = spark.read.schema(f"{TABLE}, {ADDED}").parquet(*found)
+    names = [f.name for f in rows.schema.fields if f.name not in ("source_id", "idx", "added")]
+    latest = rows.groupBy("source_id", "idx").agg(F.max_by(F.struct(*names), "added").alias("r"))
+    return latest.select("source_id", "r.source_size_bytes", "r.total_chunks", "r.version", "idx", "r.result")
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Rewrites the table's many small files as one file a bucket, without rows that later ones replaced.
+
+    The new generation counts once it is written to its end; only then are those before it removed. Reading takes the latest row
+    of all generations, so a break between the two changes nothing.
+    """
+    old = _generations(spark, path)
+    if not old:
+        return
+    rows = load(spark, path).withColumn("added", F.lit(time.time_ns()))
+    bucket = F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS))
+    _write(rows.repartition(BUCKETS, bucket), path, old[-1] + 1, "overwrite")
+    for n in old:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation-{n}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def from_documents(texts: DataFrame) -> DataFrame:
