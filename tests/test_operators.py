@@ -5,6 +5,8 @@ import math
 import struct
 import wave
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +242,35 @@ def test_chunked_recordings_compare_words_at_boundaries(spark, tmp_path):
     done = spark.createDataFrame([(pieces[0].source_id, i, k, a, b, t, 0.9) for i, k, a, b, t in rows], "source_id string, idx long, seq long, start_ms long, end_ms long, text string, confidence double")
     out = pipeline.transcribe_chunked(files, plan, done=done).orderBy("seq").collect()
     assert [(r.source_id, r.seq, r.text) for r in out] == [(pieces[0].source_id, k, t) for k, t in enumerate([said, "then more", "and the end"])]
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 7, 50_000])
+def test_labels_and_turns_in_stretches(spark, stretch):
+    """Sources of many stretches, gaps in seq, stretches without a label, sources without one: as one pass over each source."""
+    rng = random.Random(stretch)
+    rows = []
+    for source in range(12):
+        rare = rng.choice([0.05, 0.5, 0.9])
+        at = 0
+        for _ in range(rng.choice([1, 5, 40])):
+            at += rng.choice([1, 1, 1, 9])
+            speaker = rng.choice("AB") if rng.random() < rare else rng.choice([None, ""])
+            rows.append((source, at, speaker if source else None, at * 10, at * 10 + 5, f"w{at}"))
+    df = spark.createDataFrame(rows, "source_id long, seq long, speaker string, start_ms long, end_ms long, text string").repartition(3)
+    want, last, whole = [], {}, []
+    for source, seq, speaker, start, end, text in rows:
+        now = speaker or last.get(source, "UNKNOWN")
+        if last.get(source) == now:
+            whole[-1][3:] = [end, f"{whole[-1][4]} {text}"]
+        else:
+            whole.append([source, whole[-1][1] + 1 if whole and whole[-1][0] == source else 0, now, end, text])
+        last[source] = now
+        want.append((source, seq, now))
+    assert sorted((r.source_id, r.seq, r.speaker) for r in align.carried(df, stretch).collect()) == sorted(want)
+    shown = lambda df: sorted([r.source_id, r.turn_index, r.speaker, r.end_ms, r.text] for r in df.collect())
+    assert shown(align.turns(df, carry=True, stretch=stretch)) == sorted(whole)
+    assert shown(align.turns(align.carried(df), stretch=stretch)) == sorted(whole)
+    # without carrying, a missing speaker is one of its own
+    plain = align.turns(df.filter("source_id = 3"), stretch=stretch).count()
+    said = [r[2] for r in rows if r[0] == 3]
+    assert plain == sum(k == 0 or said[k] != said[k - 1] for k in range(len(said)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxweave.functions.text import UNKNOWN, joined, seconds, stripped, word_count
+from voxweave.operators import scan
 
 INTERVIEWER, INTERVIEWEE = "INTERVIEWER", "INTERVIEWEE"
 
@@ -43,18 +44,22 @@ def dominant(segments: DataFrame, diarization: DataFrame, bucket_ms: int = BUCKE
     return segments.join(best.select("source_id", "seq", F.col("m.speaker").alias("speaker")), ["source_id", "seq"], "left")
 
 
-def carried(labelled: DataFrame) -> DataFrame:
+def carried(labelled: DataFrame, stretch: int = scan.STRETCH) -> DataFrame:
     """Missing and empty speakers taken from the segment before, UNKNOWN before the first."""
-    so_far = Window.partitionBy("source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return labelled.withColumn("speaker", F.coalesce(F.last(F.nullif("speaker", F.lit("")), ignorenulls=True).over(so_far), F.lit(UNKNOWN)))
+    found = scan.numbered(labelled, F.nullif("speaker", F.lit("")), F.lit(UNKNOWN), stretch)
+    return found.withColumn("speaker", F.col("_label")).select(*labelled.columns)
 
 
-def turns(labelled: DataFrame) -> DataFrame:
-    """Runs of segments of one speaker: source_id, turn_index, speaker, start_ms, end_ms (of the last segment), text, n_segments, segments."""
-    order = Window.partitionBy("source_id").orderBy("seq")
-    changed = F.coalesce((~F.lag("speaker").over(order).eqNullSafe(F.col("speaker"))).cast("int"), F.lit(1))
-    first = F.when(F.row_number().over(order) == 1, 1).otherwise(changed)
-    rows = labelled.withColumn("_new", first).withColumn("turn_index", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+def turns(labelled: DataFrame, carry: bool = False, stretch: int = scan.STRETCH) -> DataFrame:
+    """Runs of segments of one speaker: source_id, turn_index, speaker, start_ms, end_ms (of the last segment), text, n_segments, segments.
+
+    carry: missing and empty speakers are first taken from the segment before; else they are a speaker of their own.
+    """
+    if carry:
+        rows = scan.numbered(labelled, F.nullif("speaker", F.lit("")), F.lit(UNKNOWN), stretch).withColumn("speaker", F.col("_label"))
+    else:
+        rows = scan.numbered(labelled, F.struct("speaker"), F.struct(F.lit(None).cast("string").alias("speaker")), stretch)
+    rows = rows.withColumnRenamed("_run", "turn_index")
     pieces = F.collect_list(F.struct("seq", stripped(F.col("text")).alias("text")))
     nested = F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms", "text", "confidence"))) if "confidence" in labelled.columns else F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms", "text")))
     return rows.groupBy("source_id", "turn_index").agg(
@@ -71,7 +76,7 @@ def align(segments: DataFrame, diarization: DataFrame, roles: DataFrame | None =
     """Turns of segments, labelled by roles (source_id, speaker, role) where they are given."""
     if roles is not None:
         diarization = with_roles(diarization, roles)
-    return turns(carried(dominant(segments, diarization)))
+    return turns(dominant(segments, diarization), carry=True)
 
 
 def speech_totals(diarization: DataFrame) -> DataFrame:

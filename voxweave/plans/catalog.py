@@ -30,7 +30,7 @@ def _dominant(spark, d):
 
 
 def _turns(spark, d):
-    return align.turns(align.carried(_dominant(spark, d)))
+    return align.turns(_dominant(spark, d), carry=True)
 
 
 def _results(spark, d):
