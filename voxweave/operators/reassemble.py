@@ -173,6 +173,11 @@ def matched(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.filter(F.when(F.col("_has").isNull(), F.raise_error(F.lit("a chunk has no result")).cast("boolean")).otherwise(F.lit(True))).drop("_has")
 
 
+def orphans(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """source_id, idx, n_segments of the results without a chunk, for which shifted and the merge fail."""
+    return results.join(chunks.select("source_id", "idx"), ["source_id", "idx"], "left_anti").groupBy("source_id", "idx").agg(F.count(F.lit(1)).alias("n_segments"))
+
+
 def concatenated(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """The merge before words are compared: all kept segments in order."""
     kept = without_start_overlap(shifted(results, chunks))

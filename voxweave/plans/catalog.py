@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxweave.functions.text import UNKNOWN, clock, seconds, srt_time, stripped
-from voxweave.operators import align, chunks, reassemble, render, resume
+from voxweave.operators import align, chunks, reassemble, render, resume, table_functions
 from voxweave.plans.sql import SQL
 from voxweave.shared import saved
 from voxweave.sources import audio, fixtures
@@ -386,6 +386,32 @@ QUERIES["srt_time"] = QUERIES.pop("srt_times")
 QUERIES["reassemble"] = QUERIES.pop("reassemble_rows")
 
 
+@query
+def chunk_edges(spark, d):
+    pieces = fixtures.chunks(spark, d)
+    kept = reassemble.without_start_overlap(reassemble.shifted(fixtures.chunk_results(spark, d), pieces)).withColumn("overlap_end_ms", F.col("chunk_start_ms") + F.col("overlap_start_ms"))
+    text = [F.array_join(c, " ").alias(c) for c in ("head", "whole", "cut")]
+    return reassemble.chunk_edges(kept).select("source_id", "idx", F.col("rows").alias("n_rows"), F.col("left").alias("n_left"), *text, "cuts")
+
+
+@query
+def orphaned_results(spark, d):
+    some = fixtures.chunks(spark, d).filter((F.col("source_id") + F.col("idx")) % 5 != 0)
+    return reassemble.orphans(fixtures.chunk_results(spark, d), some)
+
+
+@query
+def turns_by_table_function(spark, d):
+    table_functions.register(spark)
+    return spark.sql("SELECT * FROM speaker_turns(TABLE(SELECT source_id, seq, speaker, start_ms, end_ms, text FROM {labelled}))", labelled=_dominant(spark, d))
+
+
+@query
+def transcribed_in_sql(spark, d):
+    table_functions.register(spark)
+    return spark.sql("SELECT source_id, status, error, seq, start_ms, end_ms, text, confidence FROM transcribe(TABLE(SELECT path, content FROM {files}), engine => 'loudness', vad_filter => true)", files=_recordings(spark, d))
+
+
 @query
 def turn_lines(spark, d):
     return render.turn_lines(_turns(spark, d))

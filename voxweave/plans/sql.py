@@ -117,5 +117,8 @@ SQL = {
     "chunk_names": _with("pieces") + "SELECT source_id, idx, source_id || '_chunk' || CASE WHEN idx < 1000 THEN lpad(idx::VARCHAR, 3, '0') ELSE idx::VARCHAR END || '.wav' AS name FROM pieces",
     "completed_ids": _with("done") + "SELECT source_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS idxs FROM done GROUP BY source_id",
     "chunk_headers": _with("pieces", "done") + "SELECT source_id, coalesce(first, 'es') AS language, duration_ms, source_id::VARCHAR AS source FROM (SELECT source_id, max(end_ms)::BIGINT AS duration_ms FROM pieces GROUP BY source_id) LEFT JOIN (SELECT source_id, arg_min(CASE WHEN idx % 2 = 0 THEN 'en' ELSE 'fr' END, idx) AS first FROM done GROUP BY source_id) USING (source_id)",
+    "turns_by_table_function": _with("turns") + "SELECT source_id, turn_index, speaker, start_ms, end_ms, text, n_segments FROM turns",
+    "orphaned_results": _with("heard") + "SELECT source_id, idx, count(*) AS n_segments FROM heard WHERE (source_id + idx) % 5 = 0 GROUP BY source_id, idx",
+    "chunk_edges": _with("kept") + r"SELECT source_id, idx, n_rows, n_left, lower(array_to_string(w[1:30], ' ')) AS head, lower(array_to_string(w[greatest(1, len(w) - 29):], ' ')) AS whole, lower(array_to_string(c[greatest(1, len(c) - 29):], ' ')) AS cut, n_left > 0 AND n_left < n_rows AS cuts FROM (SELECT *, CASE WHEN n_left > 0 THEN l ELSE w END AS c FROM (SELECT source_id, idx, count(*) AS n_rows, (count(*) FILTER (start_ms >= chunk_start_ms + overlap_start_ms))::BIGINT AS n_left, flatten(list(regexp_extract_all(text, '\S+') ORDER BY seq)) AS w, coalesce(flatten(list(regexp_extract_all(text, '\S+') ORDER BY seq) FILTER (start_ms >= chunk_start_ms + overlap_start_ms)), []) AS l FROM kept GROUP BY source_id, idx))",
     "real_time_factor": _with("pieces") + f"SELECT source_id, idx, CASE WHEN idx % 4 > 0 THEN {_S('(end_ms - start_ms)')} / (idx % 4)::DOUBLE ELSE 0.0::DOUBLE END AS factor FROM pieces",
 }
