@@ -128,3 +128,14 @@ def test_a_word_put_in_keeps_texts_alike(spark):
     pairs = spark.createDataFrame([(k, lanes[0], lanes[k]) for k in (1, 2, 3)], "k long, a array<bigint>, b array<bigint>")
     like = {r.k: r.v for r in pairs.select("k", fp.likeness(F.col("a"), F.col("b")).alias("v")).collect()}
     assert like[1] > 0.85 and like[2] > 0.8 and like[3] < 0.5
+
+
+def test_ranges_have_a_bound(spark, monkeypatch):
+    """However small a range should be, there are no more of them than MOST_RANGES, and the rows are the same."""
+    docs = spark.createDataFrame([(k, f"word {k} and more", None, None, None) for k in range(60)], cases.SCHEMA)
+    want = sorted(map(tuple, fp.op1_fingerprints(docs).collect()))
+    monkeypatch.setattr(tables, "RANGE_BYTES", 10)
+    monkeypatch.setattr(tables, "MOST_RANGES", 7)
+    rows, n = tables.id_ranges(docs.select("doc_id", "text"))
+    assert n == 7 and rows.select("range").distinct().count() == 7
+    assert sorted(map(tuple, fp.op1_fingerprints(docs).collect())) == want

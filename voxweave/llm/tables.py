@@ -16,6 +16,8 @@ BROADCAST_BYTES = 32 << 20
 
 #: Rows and bytes of text that a range of doc_id should hold.
 RANGE_ROWS, RANGE_BYTES = 20_000, 16 << 20
+#: Ranges at most: a shuffle has as many partitions as ranges, times those it reads from; beyond that, ranges are larger.
+MOST_RANGES = 20_000
 #: Column names of a row's place in the order: whether it has a doc_id, that, a hash of its text, and its number.
 KEY = ("_has", "_id", "_tie", "_row")
 
@@ -46,7 +48,7 @@ def _last_reached(bounds: Column, key: Column, most: int) -> Column:
 
 
 def id_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with KEY and ``range``, which numbers ranges of that order of about RANGE_ROWS rows and RANGE_BYTES, and their number.
+    """docs with KEY and ``range``, which numbers ranges of that order of about RANGE_ROWS rows and RANGE_BYTES, or MOST_RANGES alike, and their number.
 
     The ranges are found once, from the keys alone, by Spark's range partitioning; their lower bounds are a small table,
     and rows find their range by two binary searches: among the square root of the ranges, which the driver puts
@@ -54,7 +56,7 @@ def id_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     keyed = ordered(docs)
     rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    n = max(1, -(-rows // RANGE_ROWS), -(-(size or 0) // RANGE_BYTES))
+    n = min(MOST_RANGES, max(1, -(-rows // RANGE_ROWS), -(-(size or 0) // RANGE_BYTES)))
     width = math.isqrt(n - 1) + 1
     dealt = keyed.select(*KEY).repartitionByRange(n, *KEY).groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct(*KEY)).alias("low"))
     dealt = saved(dealt)
