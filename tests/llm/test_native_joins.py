@@ -1,5 +1,6 @@
 """Decontamination and licence scans against DuckDB, and on awkward rows."""
 
+import random
 import re
 
 import duckdb
@@ -60,6 +61,44 @@ def test_decontamination_without_ids(spark, monkeypatch, limit):
     assert {(r.doc_id, r.item_id, r.n_shingles, r.shared) for r in found.collect()} == {(None, 1, 2, 2), (None, 2, 2, 2), (1, None, 2, 2)}
 
 
+def test_long_items_are_found_by_their_sketches(spark):
+    """Items of up to 600 shingles, with part of their words changed, at and about the threshold: sketches of a fixed size against exact search."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [fresh(rng.choice([80, 150, 300, 600])) for _ in range(40)]
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "item_id long, text string")
+    docs = []
+    for k, t in enumerate(texts):
+        for lost in (0.0, 0.02, 0.04, 0.055, 0.06, 0.1, 0.3):
+            part = [w if rng.random() >= lost else "other" for w in t]
+            docs.append((len(docs), " ".join(fresh(50) + part + fresh(400))))
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    shown = lambda df: sorted((r.doc_id, r.item_id, r.shared) for r in df.collect())
+    exact = shown(decontaminate.contained(docs, items, exact=True))
+    assert shown(decontaminate.contained(docs, items)) == exact and len(exact) > 120
+    sizes = {r.item_id: r.n for r in decontaminate.sketches(decontaminate.item_shingles(items)).groupBy("item_id").agg(decontaminate.F.count("*").alias("n")).collect()}
+    assert all(n == decontaminate.SKETCH for n in sizes.values())
+
+
+def test_thousands_of_rows_without_id_are_met_once(spark):
+    """5,000 documents and 100 items without an id or with one id: the rows of the check grow with the texts, not with texts times items."""
+    item = lambda k: " ".join(f"i{k}-{j}" for j in range(9))
+    docs = spark.createDataFrame([(None if k % 2 else 7, f"words before {item(k % 100)} and after") for k in range(5000)], "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(k, item(k)) for k in range(100)], "item_id long, text string")
+    shingles = decontaminate.item_shingles(items).cache()
+    assert decontaminate.matched(docs, shingles).count() == 500
+    found = decontaminate.contained(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.shared) for r in found) == sorted((0 if k % 2 else 7, k, 5) for k in range(100))
+    shingles.unpersist()
+
+
+def test_long_text_around_a_short_item(spark):
+    words = " ".join(f"w{k % 9973}" for k in range(3_000_000))
+    docs = spark.createDataFrame([(1, words + " a needle in this very large stack " + words[:1000])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a needle in this very large stack"), (2, "short one")], "item_id long, text string")
+    assert [(r.item_id, r.shared) for r in decontaminate.contained(docs, items).collect()] == [(1, 3)]
+
+
 def test_licenses_table(spark):
     ours = got(licenses.op9_licenses(table(spark, SF, "documents")))
     assert ours == oracle(licenses.SQL) and len(ours[1]) > 5
