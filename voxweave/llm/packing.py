@@ -126,8 +126,9 @@ def pack_pool(ids: list[bytes], window: int) -> Iterator[list[tuple[int, int, in
             yield from in_powers(pieces)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, pool: int = POOL, pool_ids: int = POOL_IDS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, pool: int = POOL, pool_ids: int = POOL_IDS, with_ids: bool = False, chars: int | None = None) -> DataFrame:
     """One row per piece: where it lies in its document and in its window; with_ids adds the ids themselves, as binary.
+    chars: of texts that are encoded at once, for less memory than tokens.CHARS takes.
 
     docs needs doc_id and text.
     """
@@ -164,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
 
         held = 0
         for batch in batches:
-            for key, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+            for key, found in zip(batch.column(0).to_pylist(), encode(batch.column(1), chars), strict=True):
                 keys.append(key)
                 ids.append(found + end)
                 held += len(found) // 4 + 1

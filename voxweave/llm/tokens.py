@@ -182,8 +182,12 @@ class PartEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return list(self.encode_all(texts))
 
-    def encode_all(self, texts) -> Iterator[bytes]:
-        """The ids of each text, or Arrow string, one by one; null counts as empty. A long text is cut at spaces, and its ids are joined again."""
+    def encode_all(self, texts, chars: int | None = None) -> Iterator[bytes]:
+        """The ids of each text, or Arrow string, one by one; null counts as empty. A long text is cut at spaces, and its ids are joined again.
+
+        chars: characters whose parts are gathered at once, CHARS if none are given; fewer take less memory.
+        """
+        chars = chars or CHARS
         waiting: list[tuple[bytes, int]] = []  # of each text the ids of its beginning, and the strings of parts that follow
         strings: list[str | None] = []
         size = 0
@@ -196,11 +200,11 @@ class PartEncoder:
 
         for text in texts:
             head, rest = self._started((text if isinstance(text, str) or text is None else text.as_py()) or "")
-            if rest is not None and len(rest) > CHARS:
+            if rest is not None and len(rest) > chars:
                 yield from done()
                 size, at, found = 0, 0, [head]
                 while at is not None:
-                    end = rest.find(" ", at + CHARS)
+                    end = rest.find(" ", at + chars)
                     found += self._gathered([rest[at : end if end >= 0 else None]])
                     at = end + 1 if end >= 0 else None
                 yield b"".join(found)
@@ -208,7 +212,7 @@ class PartEncoder:
             waiting.append((head, 1))
             strings.append(rest)
             size += len(rest or "")
-            if size >= CHARS or len(strings) >= STRINGS:
+            if size >= chars or len(strings) >= STRINGS:
                 yield from done()
                 size = 0
         yield from done()
