@@ -118,6 +118,9 @@ def cut_chunks(edges: DataFrame, autojunk: bool = True, stretch: int = STRETCH,
         known: dict[tuple[str, str], bool] = {}
         out = []
         for state, tail in enumerate(starts):
+            if state and tail == starts[0]:  # both states say the same
+                out.append((key[0], key[1], state, *out[0][3:]))
+                break
             cut, ended = [], 0
             for idx, head, whole, left, cuts in zip(own.idx, own["head"], own.whole, own.cut, own.cuts):
                 pair = (" ".join(tail), " ".join(head))
