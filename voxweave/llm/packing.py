@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from voxweave.llm.arrow import mapped
+from voxweave.llm.tokens import KEPT_PARTS
 
 POOL, POOL_IDS = 4096, 4_000_000
 WINDOW = 1024
@@ -126,9 +127,10 @@ def pack_pool(ids: list[bytes], window: int) -> Iterator[list[tuple[int, int, in
             yield from in_powers(pieces)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, pool: int = POOL, pool_ids: int = POOL_IDS, with_ids: bool = False, chars: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, pool: int = POOL, pool_ids: int = POOL_IDS, with_ids: bool = False, chars: int | None = None, kept: int = KEPT_PARTS) -> DataFrame:
     """One row per piece: where it lies in its document and in its window; with_ids adds the ids themselves, as binary.
-    chars: of texts that are encoded at once, for less memory than tokens.CHARS takes.
+    chars: of texts that are encoded at once, kept: parts in each generation of the encoder's cache, for less memory than those of
+    tokens take.
 
     docs needs doc_id and text.
     """
@@ -139,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
 
         from voxweave.llm.tokens import encoder
 
-        encode = encoder(tokenizer).encode_all
+        encode = encoder(tokenizer, kept).encode_all
         end = int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
         keys: list = []
