@@ -20,8 +20,8 @@ from voxweave.llm.tables import saved, small, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least share of a text's letters that its main language must have.
 MAIN_LANGUAGE = 0.5
-#: Characters that the last stage encodes at once, beside executors whose heap the stages before have filled.
-PACKED_CHARS = 1_000_000
+#: Characters that the last stage encodes at once, and parts that it keeps, beside executors whose heap the stages before have filled.
+PACKED_CHARS, PACKED_PARTS = 1_000_000, 60_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a window of 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), chars=PACKED_CHARS)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), chars=PACKED_CHARS, kept=PACKED_PARTS)
 
 
 STAGES = [
