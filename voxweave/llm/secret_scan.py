@@ -34,6 +34,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy", "piece")
 WINDOW = 20
+#: Characters of runs have codes from that of + to that of z; their counts fill ten words of eight bytes.
+FIRST_CODE, COUNT_WORDS = 43, 10
 LONG_RUN = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Least entropy, in bits a character, of a window over hex digits and over the larger alphabet.
 HEX_BITS, TEXT_BITS = 3.0, 3.9
@@ -69,15 +71,19 @@ def _scan(array: Column, merge) -> Column:
     return _let(array, lambda x: F.when(F.size(x) > 0, _let(F.transform(_blocks(x, F.ceil(F.sqrt(F.size(x))).cast("int")), few), joined)).otherwise(F.array().cast("array<int>")))
 
 
-def _found(text: Column, pattern: str, group: int) -> Column:
+def _gapped(pattern: str) -> str:
+    """The pattern with the gap before it, from where the last match ended."""
+    return rf"\G((?s:.*?))({pattern})"
+
+
+def _found(text: Column, gapped: Column, group: int) -> Column:
     """All matches in order as structs of their places and the text of one of the pattern's groups (0: the match).
 
-    The gap before each match is matched along with it, from where the last one ended, so that lengths add up to places.
+    gapped, from _gapped, matches the gap before each match along with it, so that lengths add up to places.
     """
-    whole = F.lit(rf"\G((?s:.*?))({pattern})")
-    gaps = F.regexp_extract_all(text, whole, F.lit(1))
-    matches = F.regexp_extract_all(text, whole, F.lit(2))
-    values = F.regexp_extract_all(text, whole, F.lit(2 + group)) if group else matches
+    gaps = F.regexp_extract_all(text, gapped, F.lit(1))
+    matches = F.regexp_extract_all(text, gapped, F.lit(2))
+    values = F.regexp_extract_all(text, gapped, F.lit(2 + group)) if group else matches
     sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
 
     def placed(parts: Column) -> Column:
@@ -90,54 +96,74 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 def _window_span(value: Column, bits: Column) -> Column:
     """First and last window of the value whose entropy reaches bits, as a struct of their first characters; nulls if none.
 
-    The entropy follows from the sum of c * log2(c) over the counts c of the window's characters. From a window to the
-    next the sum changes by the counts of the character that enters and the one that leaves.
+    The entropy follows from the sum of c * log2(c) over the counts c of the window's characters. Counts are kept from
+    window to window, a byte for each character from FIRST_CODE on, eight to a word: the one that enters adds to its
+    byte, the one that leaves takes from its own, and the sum changes by these two counts alone.
     """
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) - FIRST_CODE)
     g = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
     grown = F.array(*[F.lit(b - a) for a, b in zip(g[:-1], g[1:], strict=True)])
     nothing = F.lit(None).cast("int")
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("at"), nothing.alias("first"), nothing.alias("last"), F.array().cast("array<int>").alias("held"))
+    no_counts = F.array_repeat(F.lit(0).cast("long"), COUNT_WORDS)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("at"), nothing.alias("first"), nothing.alias("last"), no_counts.alias("counts"))
     most = WINDOW * (F.lit(math.log2(WINDOW)) - bits) + F.lit(1e-9)
+    word = lambda code: F.shiftright(code, 3)
+    lane = lambda code: F.shiftleft(code.bitwiseAND(7), 3)
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), lane(code))
+    count = lambda counts, code: F.call_function("shiftright", F.get(counts, word(code)), lane(code)).bitwiseAND(255).cast("int")
 
     def noted(acc: Column) -> list[Column]:
         """The first and last window that reaches bits, with the one that ends before the character to come."""
         here = F.when((acc.at >= WINDOW) & (acc.s <= most), acc.at - WINDOW)
         return [F.coalesce(acc.first, here).alias("first"), F.coalesce(here, acc["last"]).alias("last")]
 
-    def step(acc: Column, code: Column) -> Column:
-        # of the window before, what stays when the character that leaves is gone
-        full = acc.at >= WINDOW
-        stays = F.when(full, F.slice(acc.held, 2, WINDOW - 1)).otherwise(acc.held)
-        n = F.least(acc.at, F.lit(WINDOW - 1))
-        more = lambda x: F.get(grown, n - F.size(F.array_remove(stays, x)))
-        s = acc.s + more(code) - F.when(full, more(F.get(acc.held, 0))).otherwise(F.lit(0.0))
-        return F.struct(s.alias("s"), (acc.at + 1).alias("at"), *noted(acc), F.concat(stays, F.array(code)).alias("held"))
+    def slid(codes: Column) -> Column:
+        def step(acc: Column, code: Column) -> Column:
+            full = acc.at >= WINDOW
+            gone = F.get(codes, acc.at - WINDOW)
+            before = count(acc.counts, code) - F.when(full & (gone == code), 1).otherwise(0)
+            s = acc.s + F.get(grown, before) - F.when(full, F.get(grown, count(acc.counts, gone) - 1)).otherwise(F.lit(0.0))
+            none = F.lit(0).cast("long")
+            counts = F.transform(acc.counts, lambda w, k: w + F.when(k == word(code), one(code)).otherwise(none) - F.when(full & (k == word(gone)), one(gone)).otherwise(none))
+            return F.struct(s.alias("s"), (acc.at + 1).alias("at"), *noted(acc), counts.alias("counts"))
 
-    return F.aggregate(codes, start, step, lambda acc: F.struct(*noted(acc)))
+        return F.aggregate(codes, start, step, lambda acc: F.struct(*noted(acc)))
+
+    return _let(codes, slid)
 
 
 def _run_bits(value: Column) -> Column:
     return F.when(value.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(TEXT_BITS))
 
 
-def _piece_spans(run: Column) -> Column:
-    """Spans of the stretches of a run that reach their alphabet's bound, each once."""
-    pieces = F.filter(_found(run.value, rf"[0-9A-Za-z]{{{WINDOW},}}", 0), lambda p: p.value.rlike("[0-9]") & p.value.rlike("[A-Za-z]") & ~p.value.rlike(f"(?i:{SAMPLES})"))
+def _stretch(at: Column, value: Column, bits: Column, kind: int) -> Column:
+    return F.struct(at.alias("start"), value.alias("value"), bits.alias("bits"), F.lit(kind).alias("kind"))
 
-    def hits(piece: Column, chars: str, bits: float) -> Column:
-        stretches = F.filter(_found(piece.value, rf"[{chars}]{{{WINDOW},}}", 0), lambda x: x.value.rlike("[0-9]") & x.value.rlike("[A-Za-z]"))
-        windows = F.transform(stretches, lambda x: F.struct((run.start + piece.start + x.start).alias("at"), _window_span(x.value, F.lit(bits)).alias("w")))
-        return F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x["at"] + x.w.first).alias("start"), F.lit(4).alias("kind"), (x["at"] + x.w["last"] + WINDOW).alias("end")))
 
-    return F.flatten(F.transform(pieces, lambda p: F.concat(*[hits(p, chars, bits) for chars, bits in PIECES])))
+def _with_stretches(rows: DataFrame) -> DataFrame:
+    """rows with _stretches, what of _wanted the window slides over: runs themselves, or, where allowed, what lies between
+    their samples; and the stretches of their pieces that are of one of the alphabets of PIECES.
 
+    A select for each step keeps functions from being nested, which the analysis of a query takes much time for.
+    """
+    mixed = lambda x: x.value.rlike("[0-9]") & x.value.rlike("[A-Za-z]")
+    alphabets = F.array(*[F.struct(F.lit(_gapped(rf"[{chars}]{{{WINDOW},}}")).alias("gapped"), F.lit(bits).alias("bits")) for chars, bits in PIECES])
+    inner = lambda of, found, made: F.flatten(F.transform(of, lambda x: F.transform(found(x), lambda y: made(x, y))))
 
-def _unsampled_spans(run: Column) -> Column:
-    """Entropy spans of the stretches of a run between its samples."""
-    rest = F.filter(_found(run.value, UNSAMPLED, 0), lambda x: (F.char_length(x.value) >= WINDOW) & ~x.value.rlike(ALLOWED))
-    windows = F.transform(rest, lambda x: F.struct((run.start + x.start).alias("at"), _window_span(x.value, _run_bits(x.value)).alias("w")))
-    return F.transform(F.filter(windows, lambda x: x.w.first.isNotNull()), lambda x: F.struct((x["at"] + x.w.first).alias("start"), F.lit(4).alias("kind"), (x["at"] + x.w["last"] + WINDOW).alias("end")))
+    def piece(run: Column, p: Column) -> Column:
+        return F.struct((run.start + p.start).alias("start"), p.value.alias("value"))
+
+    def asked(p: Column, a: Column) -> Column:
+        return F.struct(p.start.alias("start"), p.value.alias("value"), a.gapped.alias("gapped"), a.bits.alias("bits"))
+
+    rest = lambda r: F.filter(_found(r.value, F.lit(_gapped(UNSAMPLED)), 0), lambda x: (F.char_length(x.value) >= WINDOW) & ~x.value.rlike(ALLOWED))
+    beside = inner(F.filter("_wanted", lambda r: r.allowed), rest, lambda r, x: _stretch(r.start + x.start, x.value, _run_bits(x.value), 4))
+    whole = F.transform(F.filter("_wanted", lambda r: ~r.allowed), lambda r: _stretch(r.start, r.value, _run_bits(r.value), 3))
+    pieces = inner(F.col("_wanted"), lambda r: _found(r.value, F.lit(_gapped(rf"[0-9A-Za-z]{{{WINDOW},}}")), 0), piece)
+    rows = rows.select("*", F.concat(whole, beside).alias("_whole"), F.filter(pieces, lambda p: mixed(p) & ~p.value.rlike(f"(?i:{SAMPLES})")).alias("_pieces"))
+    rows = rows.select("*", inner(F.col("_pieces"), lambda p: alphabets, asked).alias("_asked"))
+    of_pieces = inner(F.col("_asked"), lambda q: _found(q.value, q.gapped, 0), lambda q, x: _stretch(q.start + x.start, x.value, q.bits, 4))
+    return rows.select("*", F.concat("_whole", F.filter(of_pieces, mixed)).alias("_stretches")).drop("_whole", "_pieces", "_asked")
 
 
 def _largest_before(spans: Column) -> Column:
@@ -190,9 +216,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     named = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
     rows = docs.select("*", named.alias("_named"), body.contains("AKIA").alias("_akia"), body.rlike("[0-9a-f]{32}").alias("_hex"), body.rlike(LONG_RUN).alias("_run"))
     none = F.array().cast(NO_SPANS)
-    assign = F.when(F.col("_named"), _spans(F.filter(_found(body, ASSIGN, 2), lambda m: F.char_length(m.value) >= 8), 0)).otherwise(none)
-    access = F.when(F.col("_akia"), _spans(_found(body, ACCESS, 0), 1)).otherwise(none)
-    hexes = F.when(F.col("_hex"), _spans(_found(body, HEX, 0), 2)).otherwise(none)
+    assign = F.when(F.col("_named"), _spans(F.filter(_found(body, F.lit(_gapped(ASSIGN)), 2), lambda m: F.char_length(m.value) >= 8), 0)).otherwise(none)
+    access = F.when(F.col("_akia"), _spans(_found(body, F.lit(_gapped(ACCESS)), 0), 1)).otherwise(none)
+    hexes = F.when(F.col("_hex"), _spans(_found(body, F.lit(_gapped(HEX)), 0), 2)).otherwise(none)
     rows = rows.select("*", F.sort_array(F.concat(assign, access, hexes)).alias("base_spans"))
     judge = lambda m: F.struct(m.start.alias("start"), m.end.alias("end"), m.value.alias("value"), m.value.rlike(ALLOWED).alias("allowed"), m.value.rlike(f"(?i:{SAMPLES})").alias("sample"))
 
@@ -201,24 +227,22 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         spans = F.transform(found, lambda m, i: F.struct(m.start.alias("start"), i.alias("kind"), m.end.alias("end")))
         return F.transform(_outside(spans, F.col("base_spans")), lambda x: F.get(found, x.kind))
 
-    judged = F.transform(_let(_found(body, LONG_RUN, 0), outside_base), judge)
-
-    def of_run(m: Column) -> Column:
-        """The entropy span of a run, if it has one, and its spans of pieces."""
-        window = _window_span(m.value, _run_bits(m.value))
-        whole = F.when(~m.allowed, _let(window, lambda w: F.when(w.first.isNotNull(), F.array(F.struct((m.start + w.first).alias("start"), F.lit(3).alias("kind"), (m.start + w["last"] + WINDOW).alias("end"))))))
-        rest = F.when(m.allowed, _unsampled_spans(m)).otherwise(none)
-        return F.struct(F.coalesce(whole, none).alias("whole"), F.concat(_piece_spans(m), rest).alias("pieces"))
+    judged = F.transform(_let(_found(body, F.lit(_gapped(LONG_RUN)), 0), outside_base), judge)
 
     wanted = F.filter(judged, lambda m: ~m.allowed | m.sample)
-    rows = rows.select("*", F.when(F.col("_run"), F.transform(wanted, of_run)).otherwise(F.array().cast(f"array<struct<whole:{NO_SPANS},pieces:{NO_SPANS}>>")).alias("_of_runs"))
-    extra = _outside(F.flatten(F.transform("_of_runs", lambda x: x.whole)), F.col("base_spans"))
-    rows = rows.select("*", F.when(F.size("_of_runs") > 0, extra).otherwise(none).alias("_extra"))
+    no_runs = F.array().cast("array<struct<start:int,end:int,value:string,allowed:boolean,sample:boolean>>")
+    rows = _with_stretches(rows.select("*", F.when(F.col("_run"), wanted).otherwise(no_runs).alias("_wanted")))
+    slid = F.transform("_stretches", lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), _window_span(x.value, x.bits).alias("w")))
+    rows = rows.select("*", F.filter(slid, lambda x: x.w.first.isNotNull()).alias("_slid"))
+    hits = F.transform("_slid", lambda x: F.struct((x.start + x.w.first).alias("start"), x.kind.alias("kind"), (x.start + x.w["last"] + WINDOW).alias("end")))
+    rows = rows.select("*", hits.alias("_hits"))
+    of_kind = lambda kind: F.filter("_hits", lambda x: x.kind == kind)
+    rows = rows.select("*", F.when(F.size("_hits") > 0, _outside(of_kind(3), F.col("base_spans"))).otherwise(none).alias("_extra"))
     rows = rows.select("*", F.sort_array(F.concat("base_spans", "_extra")).alias("run_spans"))
-    pieces = _outside(_outermost(F.flatten(F.transform("_of_runs", lambda x: x.pieces))), F.col("run_spans"))
-    rows = rows.select("*", F.when(F.size("_of_runs") > 0, pieces).otherwise(none).alias("piece_spans"))
+    pieces = _outside(_outermost(of_kind(4)), F.col("run_spans"))
+    rows = rows.select("*", F.when(F.size("_hits") > 0, pieces).otherwise(none).alias("piece_spans"))
     rows = rows.select("*", F.sort_array(F.concat("run_spans", "piece_spans")).alias("secret_spans"))
-    return rows.drop("_named", "_akia", "_hex", "_run", "_extra", "_of_runs")
+    return rows.drop("_named", "_akia", "_hex", "_run", "_extra", "_wanted", "_stretches", "_slid", "_hits")
 
 
 def as_text(spans: Column) -> Column:
