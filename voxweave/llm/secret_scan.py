@@ -58,17 +58,32 @@ def _blocks(array: Column, size: Column) -> Column:
     return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), F.size(array) - 1, size), lambda i: F.slice(array, i + 1, size))).otherwise(F.array())
 
 
-def _scan(array: Column, merge) -> Column:
-    """An array of ints of 0 and more -> for each element merge over those before it, 0 for none (merge: a sum or a maximum)."""
-    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("out"))
-    few = lambda x: F.aggregate(x, start, lambda acc, v: F.struct(merge(acc.now, v).alias("now"), F.concat(acc.out, F.array(acc.now)).alias("out")))
+def _of(value: Column, function: str) -> Column:
+    """A function written in SQL applied to value, which is computed once.
+
+    What is deeply nested or used in many places is written so: text is parsed at once, while the same built of columns
+    takes some thousands of calls from Python to the JVM, which cost more than all else for a query over few rows.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(function)), 0)
+
+
+def _sum(a: str, b: str) -> str:
+    return f"{a} + {b}"
 
-    def joined(parts: Column) -> Column:
-        """parts: now and out of each block."""
-        before = few(F.transform(parts, lambda p: p.now)).out
-        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p.out, lambda v: merge(v, b))))
 
-    return _let(array, lambda x: F.when(F.size(x) > 0, _let(F.transform(_blocks(x, F.ceil(F.sqrt(F.size(x))).cast("int")), few), joined)).otherwise(F.array().cast("array<int>")))
+def _greatest(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
+
+
+def _scan(array: str, merge) -> str:
+    """SQL of an array of ints of 0 and more -> for each element merge over those before it, 0 for none (merge: _sum or _greatest)."""
+    few = lambda x: f"aggregate({x}, named_struct('now', 0, 'out', cast(array() AS array<int>)), (acc, v) -> named_struct('now', {merge('acc.now', 'v')}, 'out', concat(acc.out, array(acc.now))))"
+    block = "cast(ceil(sqrt(size(xs))) AS int)"
+    blocks = f"transform(sequence(0, size(xs) - 1, {block}), i -> slice(xs, i + 1, {block}))"
+    before = few("transform(parts, part -> part.now)")
+    joined = f"parts -> flatten(zip_with(parts, {before}.out, (part, b) -> transform(part.out, v -> {merge('v', 'b')})))"
+    body = f"get(transform(array(transform({blocks}, ys -> {few('ys')})), {joined}), 0)"
+    return f"get(transform(array({array}), xs -> CASE WHEN size(xs) > 0 THEN {body} ELSE cast(array() AS array<int>) END), 0)"
 
 
 def _gapped(pattern: str) -> str:
@@ -81,16 +96,12 @@ def _found(text: Column, gapped: Column, group: int) -> Column:
 
     gapped, from _gapped, matches the gap before each match along with it, so that lengths add up to places.
     """
-    gaps = F.regexp_extract_all(text, gapped, F.lit(1))
-    matches = F.regexp_extract_all(text, gapped, F.lit(2))
-    values = F.regexp_extract_all(text, gapped, F.lit(2 + group)) if group else matches
-    sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
-
-    def placed(parts: Column) -> Column:
-        before = _scan(F.transform(parts, lambda p: p.g + p.m), lambda a, b: a + b)
-        return F.zip_with(parts, before, lambda p, at: F.struct((at + p.g).alias("start"), (at + p.g + p.m).alias("end")))
-
-    return F.zip_with(_let(sizes, placed), values, lambda p, v: F.struct(p.start.alias("start"), p.end.alias("end"), v.alias("value")))
+    all_of = lambda k: f"regexp_extract_all(q.text, q.gapped, {k})"
+    sizes = f"zip_with({all_of(1)}, {all_of(2)}, (g, m) -> named_struct('g', char_length(g), 'm', char_length(m)))"
+    placed = f"zip_with(sizes, {_scan('transform(sizes, w -> w.g + w.m)', _sum)}, (w, at) -> named_struct('start', at + w.g, 'end', at + w.g + w.m))"
+    places = f"get(transform(array({sizes}), sizes -> {placed}), 0)"
+    found = f"q -> zip_with({places}, {all_of(2 + group)}, (p, value) -> named_struct('start', p.start, 'end', p.`end`, 'value', value))"
+    return _of(F.struct(text.alias("text"), gapped.alias("gapped")), found)
 
 
 def _window_span(value: Column, bits: Column) -> Column:
@@ -100,36 +111,25 @@ def _window_span(value: Column, bits: Column) -> Column:
     window to window, a byte for each character from FIRST_CODE on, eight to a word: the one that enters adds to its
     byte, the one that leaves takes from its own, and the sum changes by these two counts alone.
     """
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) - FIRST_CODE)
     g = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
-    grown = F.array(*[F.lit(b - a) for a, b in zip(g[:-1], g[1:], strict=True)])
-    nothing = F.lit(None).cast("int")
-    no_counts = F.array_repeat(F.lit(0).cast("long"), COUNT_WORDS)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("at"), nothing.alias("first"), nothing.alias("last"), no_counts.alias("counts"))
+    grown = "array(" + ", ".join(f"{b - a!r}D" for a, b in zip(g[:-1], g[1:], strict=True)) + ")"
+    word = lambda code: f"shiftright({code}, 3)"
+    lane = lambda code: f"shiftleft({code} & 7, 3)"
+    one = lambda code: f"shiftleft(1L, {lane(code)})"
+    count = lambda code: f"cast(shiftright(get(acc.counts, {word(code)}), {lane(code)}) & 255 AS int)"
+    full, gone = f"acc.at >= {WINDOW}", f"get(q.codes, acc.at - {WINDOW})"
+    # the first and last window that reaches bits, with the one that ends before the character to come
+    here = f"CASE WHEN {full} AND acc.s <= q.most THEN acc.at - {WINDOW} END"
+    noted = f"'first', coalesce(acc.`first`, {here}), 'last', coalesce({here}, acc.`last`)"
+    entering = f"{count('code')} - CASE WHEN {full} AND {gone} = code THEN 1 ELSE 0 END"
+    s = f"acc.s + get({grown}, {entering}) - CASE WHEN {full} THEN get({grown}, {count(gone)} - 1) ELSE 0.0D END"
+    counts = f"transform(acc.counts, (w, k) -> w + CASE WHEN k = {word('code')} THEN {one('code')} ELSE 0L END - CASE WHEN {full} AND k = {word(gone)} THEN {one(gone)} ELSE 0L END)"
+    start = f"named_struct('s', 0.0D, 'at', 0, 'first', cast(NULL AS int), 'last', cast(NULL AS int), 'counts', array_repeat(0L, {COUNT_WORDS}))"
+    step = f"named_struct('s', {s}, 'at', acc.at + 1, {noted}, 'counts', {counts})"
+    slid = f"q -> aggregate(q.codes, {start}, (acc, code) -> {step}, acc -> named_struct({noted}))"
+    codes = F.expr(f"text -> transform(split(text, ''), c -> ascii(c) - {FIRST_CODE})")
     most = WINDOW * (F.lit(math.log2(WINDOW)) - bits) + F.lit(1e-9)
-    word = lambda code: F.shiftright(code, 3)
-    lane = lambda code: F.shiftleft(code.bitwiseAND(7), 3)
-    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), lane(code))
-    count = lambda counts, code: F.call_function("shiftright", F.get(counts, word(code)), lane(code)).bitwiseAND(255).cast("int")
-
-    def noted(acc: Column) -> list[Column]:
-        """The first and last window that reaches bits, with the one that ends before the character to come."""
-        here = F.when((acc.at >= WINDOW) & (acc.s <= most), acc.at - WINDOW)
-        return [F.coalesce(acc.first, here).alias("first"), F.coalesce(here, acc["last"]).alias("last")]
-
-    def slid(codes: Column) -> Column:
-        def step(acc: Column, code: Column) -> Column:
-            full = acc.at >= WINDOW
-            gone = F.get(codes, acc.at - WINDOW)
-            before = count(acc.counts, code) - F.when(full & (gone == code), 1).otherwise(0)
-            s = acc.s + F.get(grown, before) - F.when(full, F.get(grown, count(acc.counts, gone) - 1)).otherwise(F.lit(0.0))
-            none = F.lit(0).cast("long")
-            counts = F.transform(acc.counts, lambda w, k: w + F.when(k == word(code), one(code)).otherwise(none) - F.when(full & (k == word(gone)), one(gone)).otherwise(none))
-            return F.struct(s.alias("s"), (acc.at + 1).alias("at"), *noted(acc), counts.alias("counts"))
-
-        return F.aggregate(codes, start, step, lambda acc: F.struct(*noted(acc)))
-
-    return _let(codes, slid)
+    return _of(F.struct(F.get(F.call_function("transform", F.array(value), codes), 0).alias("codes"), most.alias("most")), slid)
 
 
 def _run_bits(value: Column) -> Column:
@@ -166,37 +166,32 @@ def _with_stretches(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.concat("_whole", F.filter(of_pieces, mixed)).alias("_stretches")).drop("_whole", "_pieces", "_asked")
 
 
-def _largest_before(spans: Column) -> Column:
-    """Of spans in order, the largest end of those before each one."""
-    return _scan(F.transform(spans, lambda x: x.end), F.greatest)
+#: SQL of spans in order -> of each one, the largest end of those before it.
+LARGEST_BEFORE = _scan("transform(spans, x -> x.`end`)", _greatest)
 
 
-def _longest_first(spans: Column, rank: int) -> Column:
-    """Spans that sort by start, and of those that begin together the longest first."""
-    return F.transform(spans, lambda x: F.struct(x.start.alias("start"), (-x.end).alias("less"), F.lit(rank).alias("rank"), x.kind.alias("kind"), x.end.alias("end")))
+def _longest_first(spans: str, rank: int) -> str:
+    """SQL of spans that sort by start, and of those that begin together the longest first."""
+    return f"transform({spans}, x -> named_struct('start', x.start, 'less', -x.`end`, 'rank', {rank}, 'kind', x.kind, 'end', x.`end`))"
 
 
-def _plain(spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
+def _kept(ends: str, test: str) -> str:
+    """SQL of those of spans that pass a test of themselves (p.s) and of their place's value in ends (p.e), in order."""
+    return f"transform(filter(zip_with(spans, {ends}, (s, e) -> named_struct('s', s, 'e', e)), p -> {test}), p -> named_struct('start', p.s.start, 'kind', p.s.kind, 'end', p.s.`end`))"
 
 
 def _outermost(spans: Column) -> Column:
     """Distinct spans that lie in no other one, in order."""
-
-    def kept(x: Column) -> Column:
-        return _plain(F.transform(F.filter(F.zip_with(x, _largest_before(x), lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda p: p.s.end > p.e), lambda p: p.s))
-
-    return _let(F.sort_array(_longest_first(spans, 0)), kept)
+    order = f"sort_array({_longest_first('q', 0)})"
+    return _of(spans, f"q -> get(transform(array({order}), spans -> {_kept(LARGEST_BEFORE, 'p.s.`end` > p.e')}), 0)")
 
 
 def _outside(spans: Column, others: Column) -> Column:
     """The spans that lie in none of the others, in order."""
-
-    def kept(x: Column) -> Column:
-        ends = _scan(F.transform(x, lambda s: F.when(s["rank"] == 0, s.end).otherwise(F.lit(0))), F.greatest)
-        return _plain(F.transform(F.filter(F.zip_with(x, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda p: (p.s["rank"] == 1) & (p.s.end > p.e)), lambda p: p.s))
-
-    return _let(F.sort_array(F.concat(_longest_first(others, 0), _longest_first(spans, 1))), kept)
+    order = f"sort_array(concat({_longest_first('q.others', 0)}, {_longest_first('q.own', 1)}))"
+    ends = _scan("transform(spans, s -> CASE WHEN s.rank = 0 THEN s.`end` ELSE 0 END)", _greatest)
+    kept = _kept(ends, "p.s.rank = 1 AND p.s.`end` > p.e")
+    return _of(F.struct(spans.alias("own"), others.alias("others")), f"q -> get(transform(array({order}), spans -> {kept}), 0)")
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -264,10 +259,10 @@ def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
         return F.array_join(F.transform(_blocks(stretches, F.ceil(F.sqrt(F.size(stretches))).cast("int")), block), "")
 
     def marked(x: Column) -> Column:
-        kept = F.filter(F.zip_with(x, _largest_before(x), lambda s, e: F.struct(e.alias("begin"), s.start.alias("end"))), lambda k: k.end >= k.begin)
+        kept = _of(x, f"spans -> filter(zip_with(spans, {LARGEST_BEFORE}, (s, e) -> named_struct('begin', e, 'end', s.start)), k -> k.`end` >= k.begin)")
         return F.concat(_let(kept, cut), F.substring(text, F.array_max(F.transform(x, lambda s: s.end)) + 1, F.char_length(text)))
 
-    return F.when(F.size(spans) > 0, _let(F.sort_array(_longest_first(spans, 0)), marked)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(_of(spans, f"q -> sort_array({_longest_first('q', 0)})"), marked)).otherwise(text)
 
 
 def op5_secrets(docs: DataFrame) -> DataFrame:
