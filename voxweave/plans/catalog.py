@@ -11,7 +11,7 @@ from voxweave.functions.text import UNKNOWN, clock, seconds, srt_time, stripped
 from voxweave.operators import align, chunks, reassemble, render, resume, table_functions
 from voxweave.plans.sql import SQL
 from voxweave.shared import saved
-from voxweave.sources import audio, fixtures
+from voxweave.sources import audio, checkpoints, fixtures
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -279,6 +279,46 @@ def resume_guard(spark, d):
     return resume.usable(saved, now).select("source_id", "total_chunks")
 
 
+def _pieces_heard(spark, d):
+    """Completed pieces as the checkpoint table has them; some without a language or a duration."""
+    segment = F.struct("seq", seconds(F.col("start_ms")).alias("start"), seconds(F.col("end_ms")).alias("end"), "text", "confidence")
+    heard = fixtures.chunk_results(spark, d).groupBy("source_id", "idx").agg(F.array_sort(F.collect_list(segment)).alias("s"))
+    segments = F.transform("s", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.text.alias("text"), x.confidence.alias("confidence"), F.lit(None).cast("string").alias("speaker")))
+    result = F.struct(F.when(F.col("idx") % 4 != 1, "en").alias("language"), F.when(F.col("idx") % 4 != 2, 20.0).alias("duration"), segments.alias("segments"))
+    return heard.select("source_id", (F.col("source_id") * 1000).alias("source_size_bytes"), F.lit(9).alias("total_chunks"), F.col("idx").cast("int").alias("idx"), result.alias("result"))
+
+
+@query
+def checkpoint_documents(spark, d):
+    documents = checkpoints.to_documents(_pieces_heard(spark, d), "2024-01-01T00:00:00")
+    spoilt = F.when(F.col("source_id") % 5 == 0, F.replace("body", F.lit('"version":1'), F.lit('"version":2'))).when(F.col("source_id") % 7 == 0, F.substring("body", 1, 90)).otherwise(F.col("body"))
+    rows = checkpoints.from_documents(documents.select("source_id", spoilt.alias("body"))).withColumn("s", F.col("result.segments"))
+    starts = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.round(x.start * 1000).cast("long"))
+    text = F.array_join(F.transform("s", lambda x: x.text), "\n")
+    return rows.select("source_id", F.col("idx").cast("long").alias("idx"), "result.language", "result.duration", F.size("s").cast("long").alias("n_segments"), starts.alias("starts_ms"), text.alias("text"))
+
+
+@query
+def latest_checkpoints(spark, d):
+    """Pieces of which some were made two or three times."""
+    rows = _pieces_heard(spark, d).withColumn("version", F.lit(resume.VERSION))
+    times = F.filter(F.array(*[F.lit(k) for k in (1, 2, 3)]).cast("array<bigint>"), lambda k: (F.col("source_id") + F.col("idx")) % k == 0)
+    rows = rows.select("*", F.explode(times).alias("added")).withColumn("source_size_bytes", F.col("source_size_bytes") + F.col("added"))
+    return checkpoints.latest(rows).select("source_id", F.col("idx").cast("long").alias("idx"), "source_size_bytes", F.size("result.segments").cast("long").alias("n_segments"))
+
+
+@query
+def stage_guard(spark, d):
+    """Finished transcripts that may go on to their speakers; others are of another version or size, and some were added twice."""
+    segment = F.struct("seq", "start_ms", "end_ms", "text", "confidence")
+    heard = fixtures.segments(spark, d).groupBy("source_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    now = heard.select("source_id", (F.col("source_id") * 1000).alias("source_size_bytes"))
+    spoilt = lambda k: (F.col("source_id") % k == 0).cast("int")
+    stage = heard.select("source_id", (F.col("source_id") * 1000 + spoilt(7)).alias("source_size_bytes"), (spoilt(5) + resume.VERSION).alias("version"), "segments")
+    rows = checkpoints.waiting(stage.unionByName(stage.filter("source_id % 3 = 0")), now)
+    return rows.select("source_id", F.size("segments").cast("long").alias("n_segments"), F.array_join(F.transform("segments", lambda x: x.text), "\n").alias("text"))
+
+
 @query
 def ordered_results(spark, d):
     heard = fixtures.chunk_results(spark, d).groupBy("source_id", "idx").agg(F.count(F.lit(1)).alias("n_segments"))

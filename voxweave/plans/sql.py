@@ -105,6 +105,9 @@ SQL = {
     "accumulated_tails": _with("kept") + r"SELECT source_id, idx, lower(array_to_string(w[greatest(1, len(w) - 29):], ' ')) AS tail FROM (SELECT source_id, idx, flatten(list(w) OVER (PARTITION BY source_id ORDER BY idx ROWS UNBOUNDED PRECEDING)) AS w FROM (SELECT source_id, idx, flatten(list(regexp_extract_all(text, '\S+') ORDER BY seq)) AS w FROM kept GROUP BY source_id, idx) WHERE len(w) > 0)",
     "resume_pending": _with("pieces", "done") + "SELECT source_id, idx FROM pieces ANTI JOIN done USING (source_id, idx)",
     "resume_guard": _with("pieces") + "SELECT source_id, n AS total_chunks FROM (SELECT source_id, count(*) AS n FROM pieces GROUP BY source_id) WHERE source_id % 5 <> 0 AND source_id % 7 <> 0 AND source_id % 11 <> 0",
+    "checkpoint_documents": _with("heard") + "SELECT source_id, idx, CASE WHEN idx % 4 = 1 THEN 'es' ELSE 'en' END AS language, CASE WHEN idx % 4 = 2 THEN 0.0::DOUBLE ELSE 20.0::DOUBLE END AS duration, count(*) AS n_segments, sum(start_ms - chunk_start_ms)::BIGINT AS starts_ms, string_agg(text, chr(10) ORDER BY seq) AS text FROM heard WHERE source_id % 5 <> 0 AND source_id % 7 <> 0 GROUP BY source_id, idx",
+    "latest_checkpoints": _with("heard") + "SELECT source_id, idx, source_id * 1000 + CASE WHEN (source_id + idx) % 3 = 0 THEN 3 WHEN (source_id + idx) % 2 = 0 THEN 2 ELSE 1 END AS source_size_bytes, count(*) AS n_segments FROM heard GROUP BY source_id, idx",
+    "stage_guard": _with("segments") + "SELECT source_id, count(*) AS n_segments, string_agg(text, chr(10) ORDER BY seq) AS text FROM segments WHERE source_id % 5 <> 0 AND source_id % 7 <> 0 GROUP BY source_id",
     "ordered_results": _with("pieces", "heard") + "SELECT p.source_id, p.idx, count(h.seq) AS n_segments FROM pieces p LEFT JOIN heard h USING (source_id, idx) GROUP BY ALL HAVING count(h.seq) > 0",
     "progress": _with("pieces", "done") + "SELECT source_id, n_done, n_total, n_done || '/' || n_total || ' (' || n_done * 100 // greatest(n_total, 1) || '%)' AS label FROM (SELECT p.source_id, count(d.idx) AS n_done, count(*) AS n_total FROM pieces p LEFT JOIN done d USING (source_id, idx) GROUP BY p.source_id)",
     "skip_existing": _with("outputs") + "SELECT DISTINCT conv_id AS stem FROM conversations WHERE conv_id NOT IN (SELECT stem FROM outputs WHERE ext IN ('.txt', '.srt') GROUP BY stem HAVING count(DISTINCT ext) = 2)",

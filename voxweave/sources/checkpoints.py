@@ -29,7 +29,12 @@ def append_stage(transcripts: DataFrame, path: str) -> None:
 
 def load_stage(spark: SparkSession, path: str, now: DataFrame) -> DataFrame:
     """The transcripts at path whose sources still have their size (now: source_id, source_size_bytes)."""
-    rows = spark.read.schema(STAGE).parquet(path).filter(F.col("version") == VERSION)
+    return waiting(spark.read.schema(STAGE).parquet(path), now)
+
+
+def waiting(stage: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows of a stage checkpoint that still fit: of this version, and their sources of the same size; one per source."""
+    rows = stage.filter(F.col("version") == VERSION)
     return rows.join(now.select("source_id", "source_size_bytes"), ["source_id", "source_size_bytes"], "left_semi").dropDuplicates(["source_id"])
 
 
@@ -66,10 +71,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     found = [f"{path}/generation-{n}" for n in _generations(spark, path)]
     if not found:
         return spark.createDataFrame([], TABLE)
-    rows = spark.read.schema(f"{TABLE}, {ADDED}").parquet(*found)
+    return latest(spark.read.schema(f"{TABLE}, {ADDED}").parquet(*found))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Rows of the table on disk, the one of each piece that was added last."""
     names = [f.name for f in rows.schema.fields if f.name not in ("source_id", "idx", "added")]
-    latest = rows.groupBy("source_id", "idx").agg(F.max_by(F.struct(*names), "added").alias("r"))
-    return latest.select("source_id", "r.source_size_bytes", "r.total_chunks", "r.version", "idx", "r.result")
+    last = rows.groupBy("source_id", "idx").agg(F.max_by(F.struct(*names), "added").alias("r"))
+    return last.select("source_id", "r.source_size_bytes", "r.total_chunks", "r.version", "idx", "r.result")
 
 
 def compact(spark: SparkSession, path: str) -> None:
