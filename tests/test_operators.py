@@ -274,3 +274,17 @@ def test_labels_and_turns_in_stretches(spark, stretch):
     plain = align.turns(df.filter("source_id = 3"), stretch=stretch).count()
     said = [r[2] for r in rows if r[0] == 3]
     assert plain == sum(k == 0 or said[k] != said[k - 1] for k in range(len(said)))
+
+
+def test_mean_confidence_on_a_tie(spark):
+    """Four confidences with the mean 0.75555, which a sum of binary fractions misses by a little: half a unit goes up, in any order."""
+    import json
+
+    results = spark.createDataFrame([(1, "en", 4, None)], "source_id long, language string, duration_ms long, source string")
+    heard = [0.99, 0.7483, 0.3791, 0.9048]
+    for confidences in (heard, heard[::-1], sorted(heard)):
+        segments = spark.createDataFrame([(1, i, i, i + 1, "a", c) for i, c in enumerate(confidences)], SEG)
+        turned = align.turns(segments.withColumn("speaker", F.when(F.col("seq") < 3, "A").otherwise("B")), carry=True)
+        assert render.average_confidence(segments, results).select(F.round("avg_confidence", 4)).first()[0] == 0.7556
+        assert json.loads(render.raw_json(segments, results).first().body)["average_confidence"] == 0.7556
+        assert json.loads(render.turn_json(turned, results).first().body)["metadata"]["avg_confidence"] == 0.7556

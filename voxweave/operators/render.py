@@ -13,6 +13,8 @@ from voxweave.operators.align import full_text, speaker_stats
 from voxweave.shared import discard, saved
 
 RULE = "═" * 56
+#: Confidences (of four decimals) are averaged as decimals: a mean doesn't depend on the order of rows, and half a unit is rounded up.
+EXACT = "decimal(18,12)"
 
 
 def plain(segments: DataFrame) -> DataFrame:
@@ -21,13 +23,13 @@ def plain(segments: DataFrame) -> DataFrame:
 
 def average_confidence(segments: DataFrame, results: DataFrame) -> DataFrame:
     """source_id, avg_confidence; 0 for a source without segments."""
-    mean = segments.groupBy("source_id").agg(F.avg("confidence").alias("m"))
+    mean = segments.groupBy("source_id").agg(F.avg(F.col("confidence").cast(EXACT)).cast("double").alias("m"))
     return results.select("source_id").join(mean, "source_id", "left").select("source_id", F.coalesce("m", F.lit(0.0)).alias("avg_confidence"))
 
 
 def raw_json(segments: DataFrame, results: DataFrame) -> DataFrame:
     item = F.struct(F.round(seconds(F.col("start_ms")), 3).alias("start"), F.round(seconds(F.col("end_ms")), 3).alias("end"), stripped(F.col("text")).alias("text"), "confidence")
-    lists = segments.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"), F.round(F.avg("confidence"), 4).alias("average_confidence"))
+    lists = segments.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"), F.round(F.avg(F.col("confidence").cast(EXACT)), 4).cast("double").alias("average_confidence"))
     rows = results.join(lists, "source_id", "left")
     body = F.struct(
         "language",
@@ -58,8 +60,9 @@ def turn_json(turned: DataFrame, results: DataFrame) -> DataFrame:
         stripped(F.col("text")).alias("text"),
         F.transform("segments", segment).alias("segments"),
     )
-    lists = turned.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", turn.alias("t")))), lambda x: x["t"]).alias("turns"), F.flatten(F.collect_list("segments")).alias("all"))
-    lists = lists.withColumn("avg_confidence", F.round(F.aggregate("all", F.lit(0.0), lambda a, s: a + s.confidence) / F.size("all"), 4))
+    total = F.aggregate("segments", F.lit(0).cast("decimal(28,12)"), lambda a, s: (a + s.confidence.cast(EXACT)).cast("decimal(28,12)"))
+    mean = F.sum(total).cast("decimal(28,12)") / F.sum(F.size("segments"))
+    lists = turned.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", turn.alias("t")))), lambda x: x["t"]).alias("turns"), F.round(mean, 4).cast("double").alias("avg_confidence"))
     stats = speaker_stats(turned).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("place", "speaker", F.struct(F.round("total_speech_s", 2).alias("total_speech_s"), "turn_count", "word_count").alias("s")))).alias("st"))
     rows = results.join(lists, "source_id").join(stats, "source_id")
     body = F.struct(
@@ -105,9 +108,9 @@ def turn_lines(turned: DataFrame, length: int = 80) -> DataFrame:
 
 def summaries(segments: DataFrame, results: DataFrame) -> DataFrame:
     """source_id, line: language, duration, number of segments and mean confidence of each source."""
-    n = segments.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("m"))
+    n = segments.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("confidence").cast(EXACT)) * 100).cast("double").alias("m"))
     rows = results.join(n, "source_id", "left")
-    line = F.format_string("language=%s, duration=%.1fs, segments=%d, avg_confidence=%.0f%%", "language", F.col("duration_ms") / 1000.0, F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0.0)) * 100)
+    line = F.format_string("language=%s, duration=%.1fs, segments=%d, avg_confidence=%.0f%%", "language", F.col("duration_ms") / 1000.0, F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0.0)))
     return rows.select("source_id", line.alias("line"))
 
 

@@ -61,6 +61,8 @@ _SRT = lambda s: f"printf('%02d:%02d:%02d,%03d', ms({s}) // 3600000, ms({s}) //
 _HMS = lambda s: f"printf('%d:%02d:%02d', trunc({s})::BIGINT // 3600, trunc({s})::BIGINT // 60 % 60, trunc({s})::BIGINT % 60)"
 _STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _S = lambda c: f"({c} / 1000.0::DOUBLE)"
+#: The mean of confidences of four decimals, half a unit rounded up: whole numbers, so that neither the order of rows nor binary fractions decide a tie.
+_MEAN = "(2 * sum((confidence * 10000)::BIGINT) + count(*)) // (2 * count(*)) / 10000.0::DOUBLE"
 _KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _NAMES = f"WITH names AS (SELECT url AS name FROM pages UNION ALL SELECT upper(url) FROM pages WHERE page_id % 10 = 0), keyed AS (SELECT {_KEY.format('name')} AS k, count(*) AS n, min(name) AS name FROM names GROUP BY 1) "
 _ROLE = "CASE r WHEN 0 THEN '{}' WHEN 1 THEN '{}' ELSE 'SPEAKER_' || r END AS role"
@@ -85,15 +87,15 @@ SQL = {
     "role_filter": _with("ranked", "turns") + f"SELECT source_id, turn_index, speaker, role FROM turns JOIN (SELECT source_id, speaker, {_ROLE.format('INTERVIEWER', 'INTERVIEWEE')} FROM ranked) USING (source_id, speaker) WHERE role = 'INTERVIEWEE'",
     "role_filter_interviewer": _with("ranked", "turns") + f"SELECT source_id, turn_index, speaker, role FROM turns JOIN (SELECT source_id, speaker, {_ROLE.format('INTERVIEWER', 'INTERVIEWEE')} FROM ranked) USING (source_id, speaker) WHERE role = 'INTERVIEWER'",
     "align_full": _with("ranked", "turns") + f"SELECT source_id, turn_index, coalesce(role, speaker) AS speaker, {_S('start_ms')} AS start_s, {_S('end_ms')} AS end_s, text, n_segments FROM turns LEFT JOIN (SELECT source_id, speaker, {_ROLE.format('INTERVIEWER', 'INTERVIEWEE')} FROM ranked) USING (source_id, speaker)",
-    "avg_confidence": _with("segments") + "SELECT source_id, round(avg(confidence), 4) AS avg_confidence FROM segments GROUP BY source_id",
+    "avg_confidence": _with("segments") + f"SELECT source_id, {_MEAN} AS avg_confidence FROM segments GROUP BY source_id",
     "full_text": _with("segments") + f"SELECT source_id, string_agg({_STRIP}, ' ' ORDER BY seq) AS body FROM segments GROUP BY source_id",
     "labelled_text": _with("turns") + "SELECT source_id, string_agg('[' || speaker || '] ' || text, chr(10) || chr(10) ORDER BY turn_index) AS body FROM turns GROUP BY source_id",
     "preview_turns": _with("turns") + "SELECT source_id, turn_index, '[' || speaker || '] ' || printf('%d:%02d', trunc(start_ms / 1000.0::DOUBLE)::BIGINT // 60, trunc(start_ms / 1000.0::DOUBLE)::BIGINT % 60) || ' ' || CASE WHEN length(text) > 120 THEN text[1:120] || '…' ELSE text END AS line, greatest(0, n - 5) AS more_turns FROM (SELECT *, count(*) OVER (PARTITION BY source_id) AS n FROM turns) WHERE turn_index < 5",
     "render_txt": _with("segments") + f"SELECT source_id, string_agg({_STRIP}, ' ' ORDER BY seq) AS body FROM segments GROUP BY source_id",
     "render_srt": _with("segments") + f"SELECT source_id, string_agg((seq + 1) || chr(10) || {_SRT(_S('start_ms'))} || ' --> ' || {_SRT(_S('end_ms'))} || chr(10) || {_STRIP} || chr(10), chr(10) ORDER BY seq) AS body FROM segments GROUP BY source_id",
-    "render_json": _with("segments", "results") + f"SELECT source_id, to_json({{'language': language, 'duration': round({_S('duration_ms')}, 3), 'average_confidence': mean, 'source': source, 'segments': segs}})::VARCHAR AS body FROM results JOIN (SELECT source_id, round(avg(confidence), 4) AS mean, list({{'start': round({_S('start_ms')}, 3), 'end': round({_S('end_ms')}, 3), 'text': {_STRIP}, 'confidence': confidence}} ORDER BY seq) AS segs FROM segments GROUP BY source_id) USING (source_id)",
+    "render_json": _with("segments", "results") + f"SELECT source_id, to_json({{'language': language, 'duration': round({_S('duration_ms')}, 3), 'average_confidence': mean, 'source': source, 'segments': segs}})::VARCHAR AS body FROM results JOIN (SELECT source_id, {_MEAN} AS mean, list({{'start': round({_S('start_ms')}, 3), 'end': round({_S('end_ms')}, 3), 'text': {_STRIP}, 'confidence': confidence}} ORDER BY seq) AS segs FROM segments GROUP BY source_id) USING (source_id)",
     "render_turn_txt": _with("turns", "stats", "results") + f"SELECT r.source_id, repeat('═', 56) || chr(10) || 'Interview transcript' || chr(10) || printf('Duration : %.1f min  |  Language: %s', duration_ms / 60000.0::DOUBLE, language) || chr(10) || 'Speakers : ' || who || chr(10) || coalesce('Source   : ' || string_split(source, '/')[-1] || chr(10), '') || repeat('═', 56) || chr(10) || chr(10) || blocks AS body FROM results r JOIN (SELECT source_id, string_agg(speaker || ' (' || turn_count || ' turns, ~' || word_count || ' words)', ' · ' ORDER BY place) AS who FROM stats GROUP BY source_id) USING (source_id) JOIN (SELECT source_id, string_agg('[' || speaker || '] ' || {_HMS(_S('start_ms'))} || chr(10) || text || chr(10), chr(10) ORDER BY turn_index) AS blocks FROM turns GROUP BY source_id) USING (source_id)",
-    "render_turn_json": _with("turns", "stats", "results", "segments") + r"SELECT r.source_id, len(ts) AS n_turns, to_json(ts)::VARCHAR AS turns, who AS speakers, round(duration_ms / 1000.0::DOUBLE, 3) AS duration_s, mean AS avg_confidence FROM results r JOIN (SELECT source_id, list({'turn_index': turn_index, 'speaker': speaker, 'start': round(start_ms / 1000.0::DOUBLE, 3), 'end': round(end_ms / 1000.0::DOUBLE, 3), 'duration': round((end_ms - start_ms) / 1000.0::DOUBLE, 3), 'word_count': len(regexp_extract_all(text, '\S+')), 'text': text, 'segments': segs} ORDER BY turn_index) AS ts FROM turns GROUP BY source_id) USING (source_id) JOIN (SELECT source_id, string_agg(speaker || ':' || turn_count || ':' || word_count, ',' ORDER BY place) AS who FROM stats GROUP BY source_id) USING (source_id) JOIN (SELECT source_id, round(avg(confidence), 4) AS mean FROM segments GROUP BY source_id) USING (source_id)",
+    "render_turn_json": _with("turns", "stats", "results", "segments") + r"SELECT r.source_id, len(ts) AS n_turns, to_json(ts)::VARCHAR AS turns, who AS speakers, round(duration_ms / 1000.0::DOUBLE, 3) AS duration_s, mean AS avg_confidence FROM results r JOIN (SELECT source_id, list({'turn_index': turn_index, 'speaker': speaker, 'start': round(start_ms / 1000.0::DOUBLE, 3), 'end': round(end_ms / 1000.0::DOUBLE, 3), 'duration': round((end_ms - start_ms) / 1000.0::DOUBLE, 3), 'word_count': len(regexp_extract_all(text, '\S+')), 'text': text, 'segments': segs} ORDER BY turn_index) AS ts FROM turns GROUP BY source_id) USING (source_id) JOIN (SELECT source_id, string_agg(speaker || ':' || turn_count || ':' || word_count, ',' ORDER BY place) AS who FROM stats GROUP BY source_id) USING (source_id) JOIN (SELECT source_id, " + _MEAN + " AS mean FROM segments GROUP BY source_id) USING (source_id)",
     "json_roundtrip": _with("segments") + "SELECT source_id, seq, start_ms, end_ms, text, confidence FROM segments",
     "silence_rows": _with("moments") + "SELECT source_id, min(at_ms) AS start_ms, max(at_ms) AS end_ms, count(*) AS n_rows FROM (SELECT *, sum(CASE WHEN value < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY at_ms, event_id ROWS UNBOUNDED PRECEDING) AS island FROM moments) WHERE value < 20 GROUP BY source_id, island HAVING count(*) >= 3",
     "cut_points": _with("cuts") + "SELECT source_id, cut_index, cut AS cut_ms FROM cuts",
