@@ -7,6 +7,7 @@ import wave
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +289,59 @@ def test_mean_confidence_on_a_tie(spark):
         assert render.average_confidence(segments, results).select(F.round("avg_confidence", 4)).first()[0] == 0.7556
         assert json.loads(render.raw_json(segments, results).first().body)["average_confidence"] == 0.7556
         assert json.loads(render.turn_json(turned, results).first().body)["metadata"]["avg_confidence"] == 0.7556
+
+
+class Here:
+    """A table of files whose batches are mapped in this process."""
+
+    def __init__(self, *contents):
+        import pyarrow as pa
+
+        self.batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(len(contents))], "content": list(contents)})
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return [row for out in function(iter([self.batch])) for row in out.to_pylist()]
+
+
+@pytest.fixture
+def opened(monkeypatch):
+    """Which files were opened for decoding."""
+    seen, real = [], wave.open
+    monkeypatch.setattr(audio.wave, "open", lambda f, *mode: (seen.append(f), real(f, *mode))[1])
+    return seen
+
+
+def test_decoded_reads_each_file_once(opened):
+    files = Here(wav([(300, True)]), b"no recording", wav([(200, False)]))
+    opened.clear()
+    assert [(r["path"], r["n_samples"]) for r in audio.decoded(files)] == [("0", 4800), ("2", 3200)]
+    assert len(opened) == 3
+
+
+@pytest.mark.parametrize("had", [8000, 4000, 16_000, 2000])
+def test_resampling_by_a_power_of_two_needs_no_search(monkeypatch, had):
+    x = np.random.default_rng(had).uniform(-1, 1, 1001)
+    for part in (x, x[:1], x[:2], x[:0]):
+        want = np.interp(np.arange(len(part) * 16_000 // had) * had / 16_000, np.arange(len(part)), part) if len(part) else part
+        with monkeypatch.context() as m:
+            m.setattr(audio.np, "interp", None)
+            assert np.array_equal(audio.resampled(part, had, 16_000), want)
+
+
+def test_recordings_are_tones_on_odd_segments(spark):
+    """A content against the sines that it is made of, sample by sample."""
+    from voxweave.plans import catalog
+
+    one = catalog._recordings(spark, SF).orderBy(F.length("content").desc()).first()
+    spans = fixtures.segments(spark, SF).filter(F.col("source_id") == int(one.path[:-4])).collect()
+    x = np.zeros(max(s.end_ms for s in spans) // 10 * 8)
+    for s in spans:
+        if s.seq % 2:
+            x[s.start_ms // 10 * 8 : s.end_ms // 10 * 8] = 0.5
+    x *= np.sin(np.arange(len(x)) * (2 * np.pi * 440 / 8000))
+    with wave.open(io.BytesIO(bytes(one.content))) as f:
+        assert (f.getframerate(), f.getnchannels(), f.getsampwidth()) == (8000, 1, 2)
+        assert f.readframes(f.getnframes()) == (x * 32767).astype("<i2").tobytes()

@@ -389,27 +389,34 @@ def fuzzy_name_lookup(spark, d):
 def _recordings(spark, d):
     """path and WAV content per conversation, a tenth as long: a tone on the odd segments, silence on the even ones."""
 
-    def made(key, pdf):
+    def made(batches):
         import io
         import wave
 
         import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("seq")
-        n = int(pdf.end_ms.max()) // 10 * 8
-        x = np.zeros(n)
-        for seq, a, b in zip(pdf.seq, pdf.start_ms, pdf.end_ms):
-            if seq % 2:
-                x[int(a) // 10 * 8 : int(b) // 10 * 8] = 0.5
-        x *= np.sin(np.arange(n) * (2 * np.pi * 440 / 8000))
-        out = io.BytesIO()
-        with wave.open(out, "wb") as f:
-            f.setnchannels(1), f.setsampwidth(2), f.setframerate(8000)
-            f.writeframes((x * 32767).astype("<i2").tobytes())
-        return pd.DataFrame({"path": [f"{key[0]}.wav"], "content": [out.getvalue()]})
-
-    return fixtures.segments(spark, d).select("source_id", "seq", "start_ms", "end_ms").groupBy("source_id").applyInPandas(made, "path string, content binary")
+        import pyarrow as pa
+
+        # 11 waves of 440 Hz are 200 samples, after which all come again
+        tone = (np.sin(np.arange(200) * (2 * np.pi * 440 / 8000)) * 0.5 * 32767).astype("<i2")
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+        for batch in batches:
+            for source, end, begins, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                n = end // 10 * 8
+                if len(tone) < n:
+                    tone = np.tile(tone, -(-n // len(tone)))
+                x = np.zeros(n, "<i2")
+                for a, b in zip(begins, ends):
+                    part = slice(a // 10 * 8, b // 10 * 8)
+                    x[part] = tone[:n][part]
+                out = io.BytesIO()
+                with wave.open(out, "wb") as f:
+                    f.setnchannels(1), f.setsampwidth(2), f.setframerate(8000)
+                    f.writeframes(x.tobytes())
+                yield pa.RecordBatch.from_pylist([{"path": f"{source}.wav", "content": out.getvalue()}], schema)
+
+    odd = lambda c: F.collect_list(F.when(F.col("seq") % 2 == 1, F.struct("start_ms", "end_ms")))[c]
+    spans = fixtures.segments(spark, d).groupBy("source_id").agg(F.max("end_ms").alias("end"), odd("start_ms").alias("begins"), odd("end_ms").alias("ends"))
+    return spans.mapInArrow(made, "path string, content binary")
 
 
 @query
