@@ -321,6 +321,13 @@ def test_decoded_reads_each_file_once(opened):
     assert len(opened) == 3
 
 
+def test_silences_reads_each_file_once(opened):
+    files = Here(wav([(300, True), (900, False)]), b"no recording", wav([(1000, False)]))
+    opened.clear()
+    assert [(r["path"], r["start_ms"], r["end_ms"]) for r in audio.silences(files)] == [("0", 300, 1200), ("2", 0, 1000)]
+    assert len(opened) == 3
+
+
 @pytest.mark.parametrize("had", [8000, 4000, 16_000, 2000])
 def test_resampling_by_a_power_of_two_needs_no_search(monkeypatch, had):
     x = np.random.default_rng(had).uniform(-1, 1, 1001)
