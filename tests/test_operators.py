@@ -328,6 +328,13 @@ def test_silences_reads_each_file_once(opened):
     assert len(opened) == 3
 
 
+def test_engines_are_given_telephone_recordings_without_a_search(monkeypatch):
+    content = wav([(400, True), (600, False), (300, True)], rate=8000)
+    monkeypatch.setattr(audio.np, "interp", None)
+    said = list(models.LoudnessTranscriber().transcribe("a", audio.prepared(content)))
+    assert [(s.start_ms, s.end_ms) for s in said] == [(0, 400), (1000, 1300)]
+
+
 @pytest.mark.parametrize("had", [8000, 4000, 16_000, 2000])
 def test_resampling_by_a_power_of_two_needs_no_search(monkeypatch, had):
     x = np.random.default_rng(had).uniform(-1, 1, 1001)
